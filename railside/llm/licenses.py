@@ -85,10 +85,16 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]] | None =
     return cut(table.select("license", "template_no", F.size("words").alias("n_words"), F.array_distinct("shingles").alias("shingles")).withColumn("m", F.size("shingles")).where("m > 0"))
 
 
+def _windows(m: int) -> Column:
+    """(m, start) of the windows of m shingles that hold one of the positions ``at``."""
+    step = max(1, m // 8)
+    spans = F.transform("at", lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - m + 1) / step).cast("int")), F.floor(p / step).cast("int")))
+    return F.transform(F.array_distinct(F.flatten(spans)), lambda n: F.struct(F.lit(m).alias("m"), (n * step).alias("start")))
+
+
 def _bands(shingles: Column) -> Column:
     """Band keys of a set of shingles."""
 
-
     def least(j: int) -> Column:
         return F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(j))))
 
@@ -112,18 +118,18 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), missing(F.col(text_col), "").alias("text"))
     rows = cut(with_shingles(rows, F.col("text"), k).select("id", "row", "shingles", F.array_intersect("shingles", every).alias("hits")).select("id", "row", "hits", F.when(F.size("hits") > 0, F.col("shingles")).alias("shingles")))
     some = rows.where(F.size("hits") > 0)
-    # positions that hold a template shingle, and the windows around them, by template length
-    at = some.select("row", "shingles", F.explode(F.filter(F.transform("shingles", lambda s, i: F.when(F.array_contains("hits", s), i)), lambda i: i.isNotNull())).alias("at"))
-    lengths = F.array(*[F.lit(r["m"]) for r in known.select("m").distinct().collect()]).cast("array<int>")
-    step = F.greatest(F.lit(1), F.floor(F.col("m") / 8)).cast("int")
-    windows = at.withColumn("m", F.explode(lengths)).withColumn("step", step)
-    first = F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("m") + 1) / F.col("step"))).cast("int")
-    starts = F.sequence(first, F.floor(F.col("at") / F.col("step")).cast("int"))
-    windows = windows.withColumn("number", F.explode(starts)).select("row", "shingles", "m", (F.col("number") * F.col("step")).alias("start"))
-    windows = cut(windows.groupBy("row", "m", "start").agg(F.first(F.slice("shingles", F.col("start") + 1, F.col("m"))).alias("window"), F.first(F.slice("shingles", F.greatest(F.lit(1), F.col("start") + 1 - F.floor(F.col("m") / 4).cast("int")), F.col("m") + 2 * F.floor(F.col("m") / 4).cast("int"))).alias("around")))
+    # positions that hold a template shingle, and the windows over them, by template length; only
+    # their numbers are exploded beside the document's shingles, and sliced before anything moves
+    at = F.filter(F.transform("shingles", lambda s, i: F.when(F.array_contains("hits", s), i)), lambda i: i.isNotNull())
+    some = some.select("row", "shingles", at.alias("at"))
+    numbered = [_windows(r["m"]) for r in known.select("m").distinct().orderBy("m").collect()]
+    windows = some.select("row", "shingles", F.explode(F.concat(*numbered) if numbered else F.array().cast("array<struct<m:int,start:int>>")).alias("w")).select("row", "shingles", "w.m", "w.start")
+    side = F.floor(F.col("m") / 4).cast("int")
+    around = F.slice("shingles", F.greatest(F.lit(1), F.col("start") + 1 - side), F.col("m") + 2 * side)
+    windows = windows.select("row", "start", "m", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("window"), around.alias("around"))
     keyed = windows.select("row", "start", "m", "around", F.explode(_bands(F.col("window"))).alias("key"))
     banded = small_side(cut(known.select("license", "template_no", "m", "shingles", F.explode(_bands(F.col("shingles"))).alias("key"))))
-    retrieved = keyed.join(banded, ["m", "key"]).dropDuplicates(["row", "start", "license", "template_no"])
+    retrieved = keyed.join(banded, ["m", "key"])
     found = retrieved.where(F.size(F.array_intersect("around", "shingles")) >= F.lit(containment) * F.col("m"))
     # of overlapping windows of one template, the first
     found = found.groupBy("row", "license", "template_no").agg(F.min("start").alias("start"))
