@@ -1 +1,47 @@
-"""To come."""
+"""Name and text search."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from railside.functions.text import STOP_WORDS, lexemes, trigram_similarity
+from railside.plans.racing import Racing
+from railside.registry import racing_query, table_query
+
+
+@racing_query("global_search", None, query="blue widget", limit=10)
+def global_search(r: Racing, query: str, limit: int = 10, least: float = 0.3) -> DataFrame:
+    """The most similar names of each kind; score and id order a kind's list."""
+    kinds = {"horse": (r.horses, "horse_id", "horse_name"), "trainer": (r.trainers, "trainer_id", "trainer_name"), "jockey": (r.jockeys, "jockey_id", "jockey_name"), "course": (r.courses, "course_id", "course_name")}
+    out = []
+    for kind, (frame, id_, name) in kinds.items():
+        scored = frame.select(F.lit(kind).alias("type"), F.col(id_).cast("long").alias("id"), F.col(name).alias("name"), F.round(trigram_similarity(F.col(name), F.lit(query)), 6).alias("score"))
+        out.append(scored.where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(limit))
+    return reduce(DataFrame.unionByName, out)
+
+
+_STEM = r"(?<=[a-z]{3})(ings?|ed|es|s)$"
+_TERMS = "the then that"
+
+
+@table_query(
+    "fts_match",
+    r"WITH t AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in STOP_WORDS) + r"], w)), lambda w: regexp_replace(w, '^(.*[a-z]{3})(ings|ing|ed|es|s)$', '\1')) AS ws FROM documents) SELECT doc_id, CAST(len(list_filter(ws, lambda w: w IN ('onan', 'onon'))) AS INT) AS hits FROM t WHERE list_contains(ws, 'onan') AND list_contains(ws, 'onon')",
+)
+def text_matches(spark: SparkSession, sf_dir: str, query: str = "onan onon") -> DataFrame:
+    """Texts with all of the query's terms, and how often they hold any: the whole text, no index needed."""
+    words = lexemes(F.lit(query))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", lexemes(F.coalesce("text", F.lit(""))).alias("ws"))
+    rows = docs.where((F.size(words) > 0) & (F.size(F.array_except(words, "ws")) == 0))
+    return rows.select("doc_id", F.size(F.filter("ws", lambda w: F.array_contains(words, w))).alias("hits"))
+
+
+@table_query("search_comments", None)
+def search_comments(spark: SparkSession, sf_dir: str, query: str = "onan onon", limit: int = 100) -> DataFrame:
+    """Matches by rank: hits for the text's length, damped, best first."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
+    found = text_matches(spark, sf_dir, query).join(docs, "doc_id")
+    return found.select("doc_id", F.round(F.col("hits") / F.log(F.col("n_chars") + F.lit(2.0)), 6).alias("rank"), "text").orderBy(F.desc("rank"), "doc_id").limit(limit)
