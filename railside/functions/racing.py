@@ -44,7 +44,7 @@ def minutes(text: Column) -> Column:
 
 def clock(minute: Column) -> Column:
     m = F.pmod(minute, F.lit(1440))
-    return F.concat_ws(":", F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lpad((m % 60).cast("string"), 2, "0"))
+    return F.concat(F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"))
 
 
 def time_variants(text: Column) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _FOLDED = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x180)]
 _FOLDED = [(a, b) for a, b in _FOLDED if a != b and b.isascii()]
@@ -125,6 +126,6 @@ def similar_names(a: str | None, b: str | None) -> float | None:
     return j + prefix * 0.1 * (1 - j) if j > 0.7 else j
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar_names(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -95,7 +95,7 @@ def first_unresolved(r: Racing) -> DataFrame:
     return r.runners.where("horse_id % 3 = 0").groupBy("horse_id").agg(F.min("race_id").alias("race_id"))
 
 
-@racing_query("dq_missing_winner", "SELECT race_id FROM races LEFT JOIN runners ru ON ru.race_id = races.race_id AND ru.pos_num = 1 WHERE ru.race_id IS NULL")
+@racing_query("dq_missing_winner", "SELECT races.race_id FROM races LEFT JOIN runners ru ON ru.race_id = races.race_id AND ru.pos_num = 1 WHERE ru.race_id IS NULL")
 def missing_winner(r: Racing) -> DataFrame:
     return r.races.select("race_id").join(r.runners.where("pos_num = 1").select("race_id"), "race_id", "left_anti")
 

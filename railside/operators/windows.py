@@ -15,7 +15,9 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RUNS = "WITH r AS (SELECT o_orderkey AS race_id, o_custkey AS horse_id, CAST(o_orderdate AS DATE) AS d, o_custkey % 7 + o_orderkey % 3 AS trainer_id, o_totalprice AS price FROM orders) "
 _W = "(PARTITION BY horse_id ORDER BY d, race_id)"
-_BY_HORSE = Window.partitionBy("horse_id").orderBy("d", "race_id")
+
+def _by_horse():
+    return Window.partitionBy("horse_id").orderBy("d", "race_id")
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -29,20 +31,20 @@ def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 def lag_dsr(spark: SparkSession, sf_dir: str, horse_id: int = 77) -> DataFrame:
     """Days since the run before, of one horse."""
     rows = _orders(spark, sf_dir).where(F.col("horse_id") == horse_id)
-    return rows.select("race_id", F.datediff("d", F.lag("d").over(_BY_HORSE)).alias("dsr"))
+    return rows.select("race_id", F.datediff("d", F.lag("d").over(_by_horse())).alias("dsr"))
 
 
 @table_query("w_lag_recency", _RUNS + f"SELECT race_id, CAST(date_diff('day', lag(d) OVER {_W}, d) AS INT) AS dsr FROM r WHERE d >= DATE '1999-01-01'")
 def lag_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of all horses, runs before the date range unseen."""
     rows = _orders(spark, sf_dir).where("d >= DATE '1999-01-01'")
-    return rows.select("race_id", F.datediff("d", F.lag("d").over(_BY_HORSE)).alias("dsr"))
+    return rows.select("race_id", F.datediff("d", F.lag("d").over(_by_horse())).alias("dsr"))
 
 
 @table_query("w_lag_trainer", _RUNS + f"SELECT race_id, horse_id, old_id, trainer_id FROM (SELECT *, lag(trainer_id) OVER {_W} AS old_id FROM r) WHERE old_id <> trainer_id")
 def lag_trainer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs under another trainer than the run before."""
-    return _orders(spark, sf_dir).withColumn("old_id", F.lag("trainer_id").over(_BY_HORSE)).where("old_id <> trainer_id").select("race_id", "horse_id", "old_id", "trainer_id")
+    return _orders(spark, sf_dir).withColumn("old_id", F.lag("trainer_id").over(_by_horse())).where("old_id <> trainer_id").select("race_id", "horse_id", "old_id", "trainer_id")
 
 
 @table_query("w_row_number_last", _RUNS + "SELECT horse_id, race_id, d FROM (SELECT *, row_number() OVER (PARTITION BY horse_id ORDER BY d DESC, race_id DESC) AS rn FROM r) WHERE rn = 1")

@@ -41,6 +41,6 @@ def load() -> None:
     """Import the modules that register queries."""
     from railside import functions, operators, sources, streaming  # noqa: F401
     from railside.functions import queries as _functions  # noqa: F401
-    from railside.operators import angle, bias, joins, market, mutations, profile, race, reconcile, reports, search, shapes, windows  # noqa: F401
+    from railside.operators import angle, bias, joins, market, mutations, profile, race, reports, search, shapes, windows  # noqa: F401
     from railside.sources import queries as _sources  # noqa: F401
     from railside.streaming import ticks  # noqa: F401

@@ -1 +1,208 @@
-"""To come."""
+"""Round trips of the sources and sinks: rows of the order tables written as a feed and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from railside.plans.racing import Racing
+from railside.plans.scratch import scratch
+from railside.registry import racing_query, table_query
+from railside.sources import feeds
+
+_FEED = {
+    "event_id": "l_orderkey",
+    "menu_hint": "concat('Ascot ', l_linenumber, 'th')",
+    "event_name": "concat('R', l_orderkey)",
+    "event_dt": "'05-01-2024 13:05'",
+    "selection_id": "l_partkey",
+    "selection_name": "concat('Horse ', l_partkey)",
+    "win_lose": "CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END",
+    "bsp": "round(1 + l_extendedprice / 5000, 2)",
+}
+
+
+def _price_files(spark: SparkSession, sf_dir: str, condition: str) -> str:
+    path = scratch(spark, "prices")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(condition).selectExpr(*[f"CAST({x} AS STRING) AS {name}" for name, x in _FEED.items()])
+    lines.select("*", *[F.lit("2.5").alias(x) for x in feeds.PRICE_COLUMNS[8:]]).write.option("header", True).csv(path)
+    return path
+
+
+@table_query("src_bsp_csv", "SELECT l_orderkey AS event_id, l_partkey AS selection_id, round(1 + l_extendedprice / 5000, 2) AS bsp FROM lineitem WHERE l_linenumber <= 3")
+def price_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = feeds.read_prices(spark, _price_files(spark, sf_dir, "l_linenumber <= 3"))
+    return rows.select(F.col("event_id").try_cast("long").alias("event_id"), F.col("selection_id").try_cast("long").alias("selection_id"), F.col("bsp").try_cast("double").alias("bsp"))
+
+
+@table_query("src_bsp_fetcher", "SELECT coalesce(w.e, p.e) AS event_id, coalesce(w.s, p.s) AS selection_id, win, place FROM (SELECT l_orderkey AS e, l_partkey AS s, max(round(1 + l_extendedprice / 5000, 2)) AS win FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2) w FULL JOIN (SELECT l_orderkey AS e, l_partkey AS s, max(round(1 + l_extendedprice / 5000, 2)) AS place FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1, 2) p ON w.e = p.e AND w.s = p.s")
+def win_and_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN and PLACE files joined by race and runner; rows of one of them stay."""
+
+    def side(condition: str, name: str) -> DataFrame:
+        rows = feeds.read_prices(spark, _price_files(spark, sf_dir, condition))
+        return rows.groupBy(F.col("event_id").try_cast("long").alias("event_id"), F.col("selection_id").try_cast("long").alias("selection_id")).agg(F.max(F.col("bsp").try_cast("double")).alias(name))
+
+    return side("l_linenumber <= 3", "win").join(side("l_linenumber >= 3", "place"), ["event_id", "selection_id"], "full_outer")
+
+
+def _month_files(r: Racing, compression: str = "none") -> str:
+    spark = r.races.sparkSession
+    path = scratch(spark, "months")
+    rows = r.races.select("race_id", "race_date", F.col("course_id").alias("course"), F.date_format("race_date", "yyyy-MM").alias("month"))
+    # one file a month folder at most for each task: months are dealt first
+    rows.repartition("month").write.partitionBy("month").option("header", True).option("compression", compression).csv(path)
+    return path
+
+
+_MONTHS = "SELECT race_id, race_date, course_id AS course, strftime(race_date, '%Y-%m') AS month FROM races"
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("race_id").cast("long").alias("race_id"), F.col("race_date").cast("date").alias("race_date"), F.col("course").cast("long").alias("course"), F.date_format(F.col("race_date").cast("date"), "yyyy-MM").alias("month"))
+
+
+@racing_query("src_master_csv", _MONTHS)
+def master_files(r: Racing) -> DataFrame:
+    return _typed(feeds.read_text_columns(r.races.sparkSession, _month_files(r), "race_id", "race_date"))
+
+
+@racing_query("sink_csv_gzip", _MONTHS)
+def gzipped_files(r: Racing) -> DataFrame:
+    return _typed(feeds.read_text_columns(r.races.sparkSession, _month_files(r, "gzip"), "race_id", "race_date"))
+
+
+@racing_query("src_master_discover", "SELECT strftime(race_date, '%Y-%m') AS month, count(*) AS races FROM races GROUP BY 1")
+def discovered(r: Racing) -> DataFrame:
+    """Months that the folders name, with their rows."""
+    rows = r.races.sparkSession.read.option("header", True).option("inferSchema", False).csv(_month_files(r))
+    return rows.groupBy(F.date_format(F.col("race_date").cast("date"), "yyyy-MM").alias("month")).agg(F.count("*").alias("races"))
+
+
+@racing_query("src_rp_month", "SELECT race_id, num, count(*) OVER (PARTITION BY race_id) AS ran FROM runners JOIN races USING (race_id) WHERE race_date BETWEEN DATE '1999-05-01' AND DATE '1999-05-31'")
+def month_results(r: Racing) -> DataFrame:
+    """A month's runners with their race's number of rows."""
+    races = r.races.where("race_date between DATE '1999-05-01' and DATE '1999-05-31'").select("race_id")
+    rows = r.runners.join(races, "race_id").select("race_id", "num")
+    return rows.join(rows.groupBy("race_id").agg(F.count("*").alias("ran")), "race_id")
+
+
+@racing_query("src_bf_index", "SELECT race_id, count(*) AS n FROM runners GROUP BY 1 HAVING count(*) >= 3")
+def price_index(r: Racing, least: int = 3) -> DataFrame:
+    return r.runners.groupBy("race_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+@racing_query("sink_master_csv", "SELECT race_id, race_type FROM races WHERE race_id % 3 <> 2")
+def appended(r: Racing) -> DataFrame:
+    """Two overlapping batches appended by key: no key stands twice."""
+    spark, path = r.races.sparkSession, scratch(r.races.sparkSession, "master")
+    rows = r.races.select("race_id", "race_type")
+    feeds.append_new(spark, rows.where("race_id % 3 = 0"), path, ["race_id"], ["race_type"])
+    feeds.append_new(spark, rows.where("race_id % 3 <> 2"), path, ["race_id"], ["race_type"])
+    return spark.read.option("header", True).csv(path).select(F.col("race_id").cast("long").alias("race_id"), "race_type")
+
+
+@racing_query("sink_stitched", "SELECT race_type, surface, count(*) AS n FROM races GROUP BY 1, 2")
+def stitched(r: Racing) -> DataFrame:
+    spark, path = r.races.sparkSession, scratch(r.races.sparkSession, "stitched")
+    r.races.select("race_id", "race_type", "surface").repartition("race_type", "surface").write.partitionBy("race_type", "surface").option("header", True).csv(path)
+    return spark.read.option("header", True).csv(path).groupBy("race_type", "surface").agg(F.count("*").alias("n"))
+
+
+@racing_query("sink_manifest", "SELECT strftime(race_date, '%Y-%m') AS month, count(*) AS races FROM races WHERE race_date >= DATE '2000-01-01' GROUP BY 1")
+def manifest(r: Racing) -> DataFrame:
+    """A ledger of months; a second run over all months adds only those that it lacks."""
+    spark, path = r.races.sparkSession, scratch(r.races.sparkSession, "manifest")
+    months = r.races.where("race_date >= DATE '2000-01-01'").groupBy(F.date_format("race_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("races"))
+    months.where("month < '2001'").write.json(path)
+    months.join(spark.read.json(path).select("month"), "month", "left_anti").write.mode("append").json(path)
+    return spark.read.schema("month string, races long").json(path)
+
+
+@racing_query("sink_json", "SELECT race_id, CAST(count(*) AS INT) AS n FROM runners WHERE race_id < 2000 GROUP BY 1")
+def nested_json(r: Racing) -> DataFrame:
+    """Races with their runners nested, as JSON and back."""
+    path = scratch(r.races.sparkSession, "json")
+    r.runners.where("race_id < 2000").groupBy("race_id").agg(F.collect_list(F.struct("num", "horse_id")).alias("runners")).write.json(path)
+    return r.races.sparkSession.read.schema("race_id long, runners array<struct<num: int, horse_id: bigint>>").json(path).select("race_id", F.size("runners").alias("n"))
+
+
+@racing_query("src_json_cache", "SELECT race_date, count(*) AS races FROM races GROUP BY 1")
+def cached_days(r: Racing) -> DataFrame:
+    """A read-through cache of days: written only where it is not there yet."""
+    path = scratch(r.races.sparkSession, "cache")
+    days = r.races.groupBy("race_date").agg(F.count("*").alias("races"))
+    days.write.mode("ignore").json(path)
+    days.limit(1).write.mode("ignore").json(path)
+    return r.races.sparkSession.read.schema("race_date date, races long").json(path)
+
+
+@table_query("src_order_book", "SELECT l_orderkey AS market_id, CAST(count(*) AS INT) AS runners, round(max(l_extendedprice), 2) AS longest FROM lineitem GROUP BY 1")
+def order_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested order books as JSON files, read with their schema."""
+    path = scratch(spark, "books")
+    ladder = F.array(F.struct(F.round("l_extendedprice", 2).alias("price"), F.col("l_quantity").alias("size")))
+    runner = F.struct(F.col("l_partkey").alias("selection_id"), F.lit(2.0).alias("last"), ladder.alias("back"), ladder.alias("lay"), ladder.alias("traded"))
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").cast("string").alias("market_id")).agg(F.lit(False).alias("inplay"), F.collect_list(runner).alias("runners")).write.json(path)
+    best = F.array_max(F.transform("runners", lambda x: F.try_element_at(x["back"], F.lit(1))["price"]))
+    return feeds.read_books(spark, path).select(F.col("market_id").cast("long").alias("market_id"), F.size("runners").alias("runners"), best.alias("longest"))
+
+
+@racing_query("scan_pg", "SELECT race_id, race_date, surface FROM races WHERE race_date = DATE '1999-05-05'")
+def scan(r: Racing) -> DataFrame:
+    return r.races.where("race_date = DATE '1999-05-05'").select("race_id", "race_date", "surface")
+
+
+@table_query("src_dates", "SELECT CAST(d AS DATE) AS d FROM generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-03-02', INTERVAL 1 DAY) g(d)")
+def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.days_between(spark, "2023/12/30-2024/03/02")
+
+
+@racing_query("src_coverage", "SELECT race_type, count(DISTINCT race_date) AS days FROM races GROUP BY 1")
+def coverage(r: Racing) -> DataFrame:
+    return r.races.groupBy("race_type").agg(F.countDistinct("race_date").alias("days"))
+
+
+@racing_query("src_latest_date", "SELECT race_type, max(race_date) AS latest FROM races GROUP BY 1")
+def latest_date(r: Racing) -> DataFrame:
+    return r.races.groupBy("race_type").agg(F.max("race_date").alias("latest"))
+
+
+@table_query("src_results_html", r"SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1), ''), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction from HTML: the first title of each page."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return rows.select("page_id", F.coalesce(F.try_element_at(feeds.tag_texts(F.coalesce("html", F.lit("")), "title"), F.lit(1)), F.lit("")).alias("title"))
+
+
+@table_query("src_stats_html", "SELECT o_orderkey AS k, CAST(o_orderkey % 9 AS INT) AS wins, CAST(o_orderkey % 50 AS INT) AS runs FROM orders")
+def wins_and_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``wins - runs`` cells of statistics tables."""
+    cell = F.concat(F.lit(" "), (F.col("o_orderkey") % 9).cast("string"), F.lit(" - "), (F.col("o_orderkey") % 50).cast("string"))
+    parts = F.split(cell, "-")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.trim(parts[0]).try_cast("int").alias("wins"), F.trim(parts[1]).try_cast("int").alias("runs"))
+
+
+@table_query("src_pedigree", "SELECT p_partkey AS k, p_name AS sire, CASE WHEN p_partkey % 2 = 0 THEN 'IRE' ELSE 'GB' END AS region FROM part")
+def pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sire's name and country, GB where none is given."""
+    raw = F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, " (IRE)").otherwise(""))
+    code = F.nullif(F.regexp_extract(raw, r"\(([A-Z]{2,3})\)\s*$", 1), F.lit(""))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.trim(F.regexp_replace(raw, r"\([A-Z]{2,3}\)\s*$", "")).alias("sire"), F.coalesce(code, F.lit("GB")).alias("region"))
+
+
+@racing_query("mv_refresh", "SELECT horse_id, count(*) AS runs FROM runners JOIN races USING (race_id) GROUP BY 1")
+def refreshed_snapshot(r: Racing) -> DataFrame:
+    """The base snapshot written to a new folder and read from there: readers of the old one are not disturbed."""
+    path = scratch(r.races.sparkSession, "base")
+    r.base.select("race_id", "horse_id", F.date_format("race_date", "yyyy-MM").alias("race_month")).repartition("race_month").write.partitionBy("race_month").parquet(path)
+    return r.races.sparkSession.read.parquet(path).groupBy("horse_id").agg(F.count("*").alias("runs"))
+
+
+@racing_query("partitions", "SELECT strftime(race_date, '%Y-%m') AS month, count(*) AS races FROM races WHERE race_date >= DATE '2000-11-01' AND race_date < DATE '2001-02-01' GROUP BY 1")
+def month_partitions(r: Racing) -> DataFrame:
+    """Month partitions: a filter on the month prunes folders."""
+    path = scratch(r.races.sparkSession, "races")
+    r.races.withColumn("race_month", F.date_format("race_date", "yyyyMM").cast("int")).repartition("race_month").write.partitionBy("race_month").parquet(path)
+    rows = r.races.sparkSession.read.parquet(path).where("race_month between 200011 and 200101")
+    return rows.groupBy(F.date_format("race_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("races"))

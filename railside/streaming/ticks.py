@@ -1 +1,67 @@
-"""To come."""
+"""Live prices as a stream: ticks deduplicated within a watermark, latest ticks mirrored to runners."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from railside.plans.scratch import scratch
+from railside.registry import table_query
+
+TICK = "event_id long, ts timestamp, user_id long, value double"
+
+
+def tick_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Tick files as a stream. A runner's tick of a time counts once; ticks over five minutes late may go."""
+    ticks = spark.readStream.schema(TICK).parquet(path)
+    return ticks.withWatermark("ts", "5 minutes").dropDuplicatesWithinWatermark(["user_id", "ts"])
+
+
+def ingest(spark: SparkSession, path: str) -> DataFrame:
+    """All files that are there, through the stream, into a new table."""
+    table, state = scratch(spark, "ticks"), scratch(spark, "state")
+    query = tick_stream(spark, path).writeStream.format("parquet").option("path", table).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(TICK).parquet(table)
+
+
+def mirror(ticks: DataFrame, as_of: str, minutes: int = 5) -> DataFrame:
+    """Each runner's newest price not older than so many minutes, its day's highest and lowest.
+
+    Where nothing is known there is no row: no sentinel prices. Newest, highest and lowest are
+    partial aggregates.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    today = ticks.where((F.to_date("ts") == F.to_date(now)) & (F.col("ts") <= now))
+    out = today.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "value")).alias("m"), F.max("value").alias("highest"), F.min("value").alias("lowest"))
+    fresh = F.unix_timestamp(now) - F.unix_timestamp("m.ts") <= 60 * minutes
+    return out.where(fresh).select("user_id", F.round("m.value", 4).alias("price"), F.round("highest", 4).alias("highest"), F.round("lowest", 4).alias("lowest"))
+
+
+@table_query("ticks_ingest", "SELECT event_id, user_id, round(value, 4) AS value FROM events")
+def ticks_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table, each row twice, streamed: every tick arrives once."""
+    path = scratch(spark, "feed")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
+    events.unionByName(events).write.parquet(path)
+    return ingest(spark, path).select("event_id", "user_id", F.round("value", 4).alias("value"))
+
+
+_NOW = "2024-01-15 12:00:00"
+
+
+@table_query("ticks_mirror", f"SELECT user_id, round(arg_max(value, (ts, event_id)), 4) AS price, round(max(value), 4) AS highest, round(min(value), 4) AS lowest FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15' AND ts <= TIMESTAMP '{_NOW}' GROUP BY 1 HAVING epoch(TIMESTAMP '{_NOW}') - floor(epoch(max(ts))) <= 7200")
+def ticks_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirror(spark.read.parquet(f"{sf_dir}/events.parquet"), _NOW, 120)
+
+
+@table_query("ticks_active", f"SELECT event_id FROM events WHERE TIMESTAMP '{_NOW}' < ts + INTERVAL 30 MINUTE")
+def active(spark: SparkSession, sf_dir: str, as_of: str = _NOW) -> DataFrame:
+    """Markets that are not half an hour past their off."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").where(F.lit(as_of).cast("timestamp") < F.col("ts") + F.expr("INTERVAL 30 MINUTES")).select("event_id")
+
+
+@table_query("price_staleness", f"SELECT count(*) AS prices, min(ts) AS oldest, count(*) FILTER (ts < TIMESTAMP '{_NOW}' - INTERVAL 60 MINUTE) AS stale FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15'")
+def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("to_date(ts) = DATE '2024-01-15'")
+    return rows.agg(F.count("*").alias("prices"), F.min("ts").alias("oldest"), F.count_if(F.col("ts") < F.lit(_NOW).cast("timestamp") - F.expr("INTERVAL 60 MINUTES")).alias("stale"))
