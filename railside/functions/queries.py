@@ -161,9 +161,9 @@ def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("k", F.when(F.col("k") % 3 == 0, none).otherwise(F.col("ladder")).alias("traded"), F.when(F.col("k") % 5 == 0, none).otherwise(F.col("ladder")).alias("back"), F.reverse("ladder").alias("lay"))
 
 
-@table_query("vwap", f"WITH b AS ({_LADDER}) SELECT k, round(CASE WHEN k % 3 <> 0 THEN list_sum(list_transform(ladder, lambda x: x.price * x.size)) / list_sum(list_transform(ladder, lambda x: x.size)) WHEN k % 5 = 0 THEN 0 ELSE (ladder[1].price + ladder[-1].price) / 2 END, 4) AS v FROM b")
+@table_query("vwap", f"WITH b AS ({_LADDER}) SELECT k, round(CASE WHEN k % 3 <> 0 THEN list_sum(list_transform(ladder, lambda x: x.price * x.size)) / list_sum(list_transform(ladder, lambda x: x.size)) WHEN k % 5 = 0 THEN 0 ELSE (ladder[1].price + ladder[-1].price) / 2 END, 2) AS v FROM b")
 def vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladders(spark, sf_dir).select("k", F.round(R.weighted_price(F.col("traded"), F.col("back"), F.col("lay")), 4).alias("v"))
+    return ladders(spark, sf_dir).select("k", F.round(R.weighted_price(F.col("traded"), F.col("back"), F.col("lay")), 2).alias("v"))
 
 
 @table_query("best_back", f"WITH b AS ({_LADDER}) SELECT k, CASE WHEN k % 5 <> 0 THEN ladder[1].price WHEN k % 2 = 0 THEN 3.5 END AS v FROM b")
