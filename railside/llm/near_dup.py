@@ -30,7 +30,7 @@ from railside.llm.words import SPACED, Words, grams, mix, words_of
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 #: Rounds of hubs before the prefix filter.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
