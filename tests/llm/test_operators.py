@@ -64,7 +64,7 @@ def test_mix_meets_targets(spark):
         longest[own] = max(longest[own], r["size"])
     for (size, target), words in taken.items():  # whole documents: no nearer than one of them allows
         assert target <= 2 * size and abs(words - target) <= longest[size, target]
-    assert Counter(rows) == Counter(Q.op1_mixing(spark, SMALL).collect())
+    assert sorted(map(repr, rows)) == sorted(map(repr, Q.op1_mixing(spark, SMALL).collect()))
 
 
 def test_shards_are_gapless_and_grow(spark):
