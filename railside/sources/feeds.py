@@ -14,9 +14,9 @@ BOOK = "market_id string, inplay boolean, runners array<struct<selection_id: big
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """Price files as text columns; rows with fewer fields are dropped."""
+    """Price files as text columns; rows with fewer fields are dropped, which needs all columns read."""
     schema = ", ".join(f"{c} string" for c in PRICE_COLUMNS) + ", _corrupt string"
-    rows = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(path)
     return rows.where("_corrupt is null").drop("_corrupt")
 
 

@@ -56,3 +56,29 @@ def test_stream_drops_repeats(spark, tmp_path):
     rows = spark.sql("SELECT CAST(1 AS LONG) AS event_id, TIMESTAMP '2024-01-01 00:00:00' AS ts, CAST(5 AS LONG) AS user_id, 2.0D AS value")
     rows.union(rows).write.parquet(str(tmp_path / "ticks"))
     assert ingest(spark, str(tmp_path / "ticks")).count() == 1
+
+
+def test_short_price_rows_are_dropped(spark, tmp_path):
+    from railside.sources import feeds
+
+    whole = ",".join(str(i) for i in range(17))
+    (tmp_path / "a.csv").write_text("\n".join([",".join(feeds.PRICE_COLUMNS), whole, "1,2,3"]) + "\n")
+    assert [r["event_id"] for r in feeds.read_prices(spark, str(tmp_path)).select("event_id").collect()] == ["0"]
+
+
+def test_stitched_rows_of_both_layouts(spark, tmp_path):
+    from railside.sources.pages import STITCHED_COLUMNS, read_stitched
+
+    new = ["d", "o", "e", "v", "h", *["1"] * 21, ""]
+    old = ["d", "o", "e", "h2", *["1"] * 21, "0"]
+    lines = [STITCHED_COLUMNS, new, old, ["d", "o", "e"]]
+    (tmp_path / "a.csv").write_text("\n".join(",".join(x) for x in lines) + "\n")
+    rows = read_stitched(spark, str(tmp_path)).select("horse", "venue", "place_win_lose").orderBy("horse").collect()
+    assert [tuple(r) for r in rows] == [("h", "v", None), ("h2", None, "0")]
+
+
+def test_profile_without_state_takes_its_address(spark):
+    from railside.sources.pages import profiles
+
+    pages = spark.createDataFrame([("https://a.test/profile/horse/7/old-boy", "<html></html>"), ("https://a.test/profile/horse/8/x", None)], "url string, html string")
+    assert sorted(tuple(r) for r in profiles(pages).collect()) == [(7, "Old Boy", None), (8, "X", None)]
