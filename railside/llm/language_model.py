@@ -4,10 +4,11 @@ Word counts of all training documents give the vocabulary and the base. The most
 fill the classes of a class-factored softmax: log p(word) = log p(class | state) + log p(word |
 class, state). All other words, unknown ones included, are one more class, within which the
 probability follows the counts. The output biases start at the counts, so that training starts from
-the unigram model. A share of the training documents, in proportion to the corpus, is cut into
-windows: gradients are truncated at a window's start and the state is carried over it. Each
-partition trains a copy; copies are averaged by the words they saw, in rounds. Scoring carries the
-state through each whole document.
+the unigram model. Every training document is used once: its key's hash deals it to one round. In
+lanes, documents follow each other without gaps and are cut into windows: gradients are truncated
+at a window's start and the state is carried over it, but not from one document into the next. Each
+partition trains a copy; copies are averaged by the words they saw, after each round. Scoring
+carries the state through each whole document.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from railside.llm.words import SPACED, words_of
 CLASSES, CLASS_SIZE, HIDDEN = 31, 32, 16
 #: Frequent words whose counts every task holds (16 bytes each); all others are joined by shuffle.
 HEAD = 1 << 18
-#: Share of the training documents that each round of training uses.
-SHARE, ROUNDS = 0.1, 2
+#: Rounds of training: each document teaches in one of them.
+ROUNDS = 2
 #: Words of a window: gradients go back no further.
 WINDOW = 16
 #: Documents that a partition trains on at once.
-LANES = 64
+LANES = 128
+#: Windows that are taken from the lanes at once.
+AHEAD = 8
 #: The token at the end of each document: no word hashes to it but by chance of 2**-64.
 END = np.uint64(0)
 
@@ -154,10 +157,15 @@ class Model:
         return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Of the mean loss over a window (time, lane) from the state h; the state after it."""
+        """Of the mean loss over a window (time, lane) from the state h; the state after it.
+
+        Where the input is the start, a document begins, with the state of zeros.
+        """
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         steps, states = [], []
+        going = (inputs != _TAIL + 1)[:, :, None]
         for t in range(len(inputs)):
+            h = h * going[t]
             new, *gates = self.step(inputs[t], h)
             steps.append((h, *gates))
             h = np.where(live[t][:, None], new, h)
@@ -203,7 +211,7 @@ class Model:
             dr = dn * b * r * (1 - r)
             np.concatenate([dz, dr, dn], 1, out=into[t])
             np.concatenate([dz, dr, dn * r], 1, out=back[t])
-            dh = np.where(mask, d * z + back[t] @ self.p["u"].T, dh + dh_out[t])
+            dh = np.where(mask, d * z + back[t] @ self.p["u"].T, dh + dh_out[t]) * going[t]
         # sums over the whole window at once: of recurrent weights, and of each input word's rows
         g["u"] += np.concatenate([s[0] for s in steps]).T @ back.reshape(-1, 3 * HIDDEN)
         word = inputs.ravel()
@@ -214,6 +222,45 @@ class Model:
         return g, h
 
 
+def _lessons(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, targets, live), each (time, lane): all documents, each whole and in order in one lane.
+
+    A document goes to the lane that has least to do, so at most the longest one waits in each.
+    """
+    lanes: list[list[np.ndarray]] = [[] for _ in range(LANES)]
+    waiting = np.zeros(LANES, np.int64)
+    size = AHEAD * WINDOW
+
+    def taken() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pairs, live = np.zeros((2, size, LANES), np.int32), np.arange(size)[:, None] < waiting
+        for i, lane in enumerate(lanes):
+            at = 0
+            while lane and at < size:
+                part = lane[0][:, : size - at]
+                pairs[:, at : at + part.shape[1], i] = part
+                at += part.shape[1]
+                if part.shape[1] < lane[0].shape[1]:
+                    lane[0] = lane[0][:, part.shape[1] :]
+                else:
+                    lane.pop(0)
+            waiting[i] -= at
+        return pairs[0], pairs[1], live
+
+    for batch in batches:
+        for _, _, tokens, begins in tokens_of(batch.column(0)):
+            number = vocabulary.find(tokens)[2]
+            before = np.concatenate([[_TAIL + 1], number[:-1]]).astype(np.int32)
+            before[begins[:-1]] = _TAIL + 1
+            for pair in np.split(np.stack([before, number]), begins[1:-1], axis=1):
+                i = int(waiting.argmin())
+                lanes[i].append(pair)
+                waiting[i] += pair.shape[1]
+                while waiting.min() >= size:
+                    yield taken()
+    while waiting.any():
+        yield taken()
+
+
 def _train_form(vocabulary: Vocabulary, start: np.ndarray, rate: float = 0.004):
     """Documents of one partition -> (weights, words seen) of a copy trained on them."""
 
@@ -222,39 +269,42 @@ def _train_form(vocabulary: Vocabulary, start: np.ndarray, rate: float = 0.004):
         m = {k: np.zeros_like(v) for k, v in model.p.items()}
         v = {k: np.zeros_like(x) for k, x in model.p.items()}
         seen, turn = 0, 0
-        queue: list[np.ndarray] = []
-
-        def lessons() -> Iterator[list[np.ndarray]]:
-            for batch in batches:
-                for _, _, tokens, begins in tokens_of(batch.column(0)):
-                    number = vocabulary.find(tokens)[2]
-                    queue.extend(np.split(number, begins[1:-1]))
-                    while len(queue) >= LANES:
-                        yield [queue.pop() for _ in range(LANES)]
-            if queue:
-                yield queue[:]
-
-        for group in lessons():
-            longest = max(map(len, group))
-            target = np.zeros((longest, len(group)), np.int64)
-            live = np.zeros((longest, len(group)), bool)
-            for i, d in enumerate(group):
-                target[: len(d), i], live[: len(d), i] = d, True
-            inputs = np.concatenate([np.full((1, len(group)), _TAIL + 1), target[:-1]])
-            h = np.zeros((len(group), HIDDEN), np.float32)
-            for t in range(0, longest, WINDOW):
+        h = np.zeros((LANES, HIDDEN), np.float32)
+        total, words = {k: np.zeros_like(x) for k, x in model.p.items()}, 0
+
+        def learn() -> None:
+            nonlocal turn, words
+            turn += 1
+            scale = 1 / words
+            scale *= min(1.0, 1.0 / (1e-9 + scale * float(np.sqrt(sum((x * x).sum() for x in total.values())))))
+            # fewer words than a full turn's move the weights by less
+            pace = rate * min(1.0, 2 * words / (WINDOW * LANES)) / (1 + turn / 2000)
+            for k, x in total.items():
+                x *= scale
+                m[k] += 0.1 * (x - m[k])
+                v[k] += 0.01 * (x * x - v[k])
+                model.p[k] -= pace * (m[k] / (1 - 0.9**turn)) / (np.sqrt(v[k] / (1 - 0.99**turn)) + 1e-6)
+                x[...] = 0
+            words = 0
+
+        for inputs, targets, live in _lessons(vocabulary, batches):
+            for t in range(0, len(inputs), WINDOW):
                 on = live[t : t + WINDOW]
                 lanes = np.flatnonzero(on[0])
-                g, h_new = model.gradients(inputs[t : t + WINDOW, lanes], target[t : t + WINDOW, lanes], on[:, lanes], h[lanes])
-                h[lanes] = h_new
-                turn += 1
-                scale = min(1.0, 1.0 / (1e-9 + float(np.sqrt(sum((x * x).sum() for x in g.values())))))
+                if not len(lanes):
+                    break
+                on = on[:, lanes]
+                g, h[lanes] = model.gradients(inputs[t : t + WINDOW, lanes], targets[t : t + WINDOW, lanes], on, h[lanes])
+                n = int(on.sum())
                 for k, x in g.items():
-                    x *= scale
-                    m[k] += 0.1 * (x - m[k])
-                    v[k] += 0.01 * (x * x - v[k])
-                    model.p[k] -= rate / (1 + turn / 2000) * (m[k] / (1 - 0.9**turn)) / (np.sqrt(v[k] / (1 - 0.99**turn)) + 1e-6)
-                seen += int(on.sum())
+                    total[k] += n * x
+                words += n
+                seen += n
+                # when few lanes are left, several windows make one turn
+                if 2 * words >= WINDOW * LANES:
+                    learn()
+        if words:
+            learn()
         if seen:
             flat = model.flat().astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64())), pa.array([seen], pa.int64())], names=["weights", "seen"])
@@ -326,7 +376,7 @@ def _score_form(vocabulary: Vocabulary, flat: np.ndarray):
     return run
 
 
-def fit(texts: DataFrame, counts: DataFrame, head: int = HEAD, share: float = SHARE, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
+def fit(texts: DataFrame, counts: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and trained weights, from training texts (key, text) and all their counts (token, n).
 
     What reaches the driver has a fixed size: the head's counts and one set of weights.
@@ -336,8 +386,7 @@ def fit(texts: DataFrame, counts: DataFrame, head: int = HEAD, share: float = SH
     vocabulary = Vocabulary(list(zip(top["token"].to_pylist(), top["n"].to_pylist(), strict=True)), sums["total"] or 0, sums["distinct"])
     flat = Model.started(vocabulary).flat()
     for turn in range(rounds):
-        # by the key's hash: a round's documents are a fixed share, whatever the corpus's size
-        chosen = texts.where(F.pmod(F.xxhash64(F.lit(turn + 1), "key"), F.lit(1000)) < round(1000 * share))
+        chosen = texts.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == turn)
         copies = chosen.select("text").mapInArrow(_train_form(vocabulary, flat), "weights array<double>, seen long")
         mean = copies.select("seen", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w"))
         table = mean.toArrow()
