@@ -29,6 +29,26 @@ def read_text_columns(spark: SparkSession, path: str, *needed: str) -> DataFrame
     return rows
 
 
+def read_month(spark: SparkSession, path: str, month: str, *needed: str) -> DataFrame:
+    """Rows of a month's files, of which the name begins with the month; INCOMPLETE ones are skipped."""
+    rows = read_text_columns(spark, path, *needed).withColumn("_name", F.regexp_extract("_metadata.file_path", r"(?:^|[/=])([^/=]*)/[^/]*$", 1))
+    return rows.where(F.col("_name").startswith(month) & ~F.col("_name").contains("INCOMPLETE")).select(*needed)
+
+
+def file_ranges(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(kind, first, last) of every file in a folder of its kind whose name is start-end.csv; others are skipped."""
+    files = spark.read.text(path).select(F.col("_metadata.file_path").alias("at")).distinct()
+    part = r"(\d{4}_\d{2}_\d{2})"
+    name = rf"{kind}=([^/]+)/(?:[^/]*=)?{part}-{part}\.csv(?:/|$)"
+    kind_of, first, last = (F.regexp_extract("at", name, i) for i in (1, 2, 3))
+    return files.where(F.col("at").rlike(name)).select(kind_of.alias(kind), F.to_date(first, "yyyy_MM_dd").alias("first"), F.to_date(last, "yyyy_MM_dd").alias("last"))
+
+
+def days_covered(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Each day of each file's range by kind, once for every file."""
+    return file_ranges(spark, path, kind).select(kind, F.explode(F.sequence("first", "last")).alias("day"))
+
+
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BOOK).json(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from railside.plans.racing import Racing
@@ -81,9 +81,12 @@ def discovered(r: Racing) -> DataFrame:
 
 @racing_query("src_rp_month", "SELECT race_id, num, count(*) OVER (PARTITION BY race_id) AS ran FROM runners JOIN races USING (race_id) WHERE race_date BETWEEN DATE '1999-05-01' AND DATE '1999-05-31'")
 def month_results(r: Racing) -> DataFrame:
-    """A month's runners with their race's number of rows."""
-    races = r.races.where("race_date between DATE '1999-05-01' and DATE '1999-05-31'").select("race_id")
-    rows = r.runners.join(races, "race_id").select("race_id", "num")
+    """A month's runners with their race's number of rows, from month files; a copy of each is INCOMPLETE."""
+    spark, path = r.races.sparkSession, scratch(r.races.sparkSession, "results")
+    rows = r.runners.join(r.races.select("race_id", F.date_format("race_date", "yyyy-MM").alias("month")), "race_id").select("race_id", "num", "month")
+    for mark in ("", "_INCOMPLETE"):
+        rows.withColumn("file", F.concat("month", F.lit(mark))).drop("month").repartition("file").write.mode("append").partitionBy("file").option("header", True).csv(path)
+    rows = feeds.read_month(spark, path, "1999-05", "race_id", "num").select(F.col("race_id").cast("long").alias("race_id"), F.col("num").cast("int").alias("num"))
     return rows.join(rows.groupBy("race_id").agg(F.count("*").alias("ran")), "race_id")
 
 
@@ -158,14 +161,28 @@ def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.days_between(spark, "2023/12/30-2024/03/02")
 
 
+def _range_files(r: Racing) -> str:
+    """Races by type, in a file for each run of days without a gap, named start-end.csv."""
+    path = scratch(r.races.sparkSession, "ranges")
+    day = F.datediff("race_date", F.lit("1970-01-01").cast("date"))
+    days = r.races.select("race_type", "race_date").distinct().withColumn("run", day - F.row_number().over(Window.partitionBy("race_type").orderBy("race_date")))
+    ends = days.withColumns({"a": F.min("race_date").over(Window.partitionBy("race_type", "run")), "b": F.max("race_date").over(Window.partitionBy("race_type", "run"))})
+    name = F.concat(F.date_format("a", "yyyy_MM_dd"), F.lit("-"), F.date_format("b", "yyyy_MM_dd"), F.lit(".csv"))
+    named = r.races.join(ends.select("race_type", "race_date", name.alias("file")), ["race_type", "race_date"]).select("race_id", "race_type", "file")
+    named.repartition("race_type", "file").write.partitionBy("race_type", "file").option("header", True).csv(path)
+    return path
+
+
 @racing_query("src_coverage", "SELECT race_type, count(DISTINCT race_date) AS days FROM races GROUP BY 1")
 def coverage(r: Racing) -> DataFrame:
-    return r.races.groupBy("race_type").agg(F.countDistinct("race_date").alias("days"))
+    """Days that the names of the files cover."""
+    return feeds.days_covered(r.races.sparkSession, _range_files(r), "race_type").groupBy("race_type").agg(F.countDistinct("day").alias("days"))
 
 
 @racing_query("src_latest_date", "SELECT race_type, max(race_date) AS latest FROM races GROUP BY 1")
 def latest_date(r: Racing) -> DataFrame:
-    return r.races.groupBy("race_type").agg(F.max("race_date").alias("latest"))
+    """The last day that the names of the files tell."""
+    return feeds.file_ranges(r.races.sparkSession, _range_files(r), "race_type").groupBy("race_type").agg(F.max("last").alias("latest"))
 
 
 @table_query("src_results_html", r"SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1), ''), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM pages")
