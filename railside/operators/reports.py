@@ -63,7 +63,7 @@ def horse_history(r: Racing) -> DataFrame:
 
 @racing_query("dq_orphan_fk", "SELECT race_id, num, horse_id FROM runners WHERE horse_id % 40 = 0 AND NOT EXISTS (SELECT 1 FROM horses h WHERE h.horse_id = runners.horse_id AND h.horse_id % 80 <> 0)")
 def orphan_keys(r: Racing) -> DataFrame:
-    return r.runners.where("horse_id % 40 = 0").join(r.horses.where("horse_id % 80 <> 0").select("horse_id"), "horse_id", "left_anti").select("race_id", "num", "horse_id")
+    return r.runners.join(r.horses.where("horse_id % 80 <> 0").select("horse_id"), "horse_id", "left_anti").select("race_id", "num", "horse_id")
 
 
 @racing_query("dedupe_exists", "SELECT min(race_id) AS race_id, race_date, course_id FROM races GROUP BY race_date, course_id")
