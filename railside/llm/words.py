@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-#: Bytes of text handled in one numpy step; one document may exceed it.
-STEP_BYTES = 1 << 20
+#: Bytes of text handled in one numpy step; one document may exceed it. Small, so that a step's
+#: temporaries stay near the caches and a worker's memory stays low.
+STEP_BYTES = 1 << 18
 #: Documents handled in one step, at most.
-STEP_ROWS = 1024
-
-_M = np.uint64(0x9E3779B97F4A7C15 | 1)
-_M_INVERSE = np.uint64(pow(int(_M), -1, 1 << 64))
-
+STEP_ROWS = 256
+#: Words of more bytes are hashed one by one with BLAKE2.
+LONG_WORD = 512
+#: Bytes of an Arrow batch that Spark hands to a Python worker, unless the session names less.
+BATCH_BYTES = 4 << 20
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
@@ -28,7 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -39,17 +42,16 @@ SPACED[[*range(9, 14), 32]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: By 0 to 8 bytes: a little-endian mask of that many.
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, STEP_BYTES + 1)
-        for k, base in enumerate((_M, _M_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the batches that Python workers get: rows hold whole texts, of any length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)[bB]?", spark.conf.get(name) or "")
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 @dataclass
@@ -94,15 +96,36 @@ def _hash(raw: np.ndarray, at: np.ndarray, first: int, last: int, kind: np.ndarr
     after[edges - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    power, inverse = _power(size + 1)
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(_BYTE[low] * power[:size], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    hashes = _hash_spans(low, starts, ends)
     doc = np.searchsorted(at[1:], starts, "right")
     begins = np.searchsorted(doc, np.arange(last - first + 1))
     return Words(first, last, hashes, doc, begins)
 
 
+def _hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes at a time go through the finaliser, then the length.
+
+    Every lane is mixed with all before it, so no family of texts hashes alike by its structure; two
+    given different spans do with probability near 2**-64.
+    """
+    size = ends - starts
+    out = np.full(len(starts), 0x9E3779B97F4A7C15, np.uint64)
+    if not len(starts):
+        return out
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(raw) + 1, "<u8", padded, 0, (1,))
+    out = mix(out ^ (lanes[starts] & _MASK[np.minimum(size, 8)]))
+    more = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    done = 8
+    while len(more):
+        out[more] = mix(out[more] * np.uint64(0xD1342543DE82EF95) ^ (lanes[starts[more] + done] & _MASK[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(out + size.astype(np.uint64))
+
+
 def hash_words(words: list[str], kind: np.ndarray) -> np.ndarray:
     """The hashes that ``words_of`` gives for words that stand alone."""
     found = [w.hashes for w in words_of(pa.array(words, pa.string()), kind)]
@@ -118,3 +141,11 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = mix(out + hashes[i : i + n] + np.uint64(i + 1))
     return out
+
+
+def grams_at(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Those of ``grams`` that begin at the given words."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(k):
+        out = mix(out + hashes[starts + i] + np.uint64(i + 1))
+    return out
