@@ -2,15 +2,15 @@
 
 Runs of GRAM words are hashed; of every ``span - GRAM + 1`` consecutive run hashes the smallest (the
 last among equals) is kept. Two texts that share ``span`` words share those hashes, so they keep
-the same one: a join of kept hashes misses no shared span. Each hit is extended word by word to both
-sides, and counts if it reaches ``span`` words. A benchmark item with fewer words than the span is
-one window, winnowed with its own length as the span.
+the same one: a match of kept hashes misses no shared span. Each hit is extended to the windows of
+``span`` words around it, and those count that are windows of an item too (64-bit hashes over all of
+a window's words). A benchmark item with fewer words than the span is one window, winnowed with its
+own length as the span. Work is one look-up a window, however many items hold it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railside.llm.cluster import cut, small_side
-from railside.llm.words import ALNUM, grams, words_of
+from railside.llm.cluster import cut
+from railside.llm.words import ALNUM, Words, grams, grams_at, small_batches, words_of
 
 #: Bytes of benchmark text that are sent to every executor at once; a larger benchmark is taken in
 #: blocks of this size, each against all documents.
@@ -50,85 +50,105 @@ def winnow(hashes: np.ndarray, doc: np.ndarray, span: int) -> tuple[np.ndarray,
 
 
 class Benchmark:
-    """Kept hashes of one block of items, by span, with the words around them."""
+    """One block of items: by window length, the kept run hashes, the windows, and each window's items."""
 
     def __init__(self, ids: list, texts: list[str], span: int):
-        self.ids = [str(i) for i in ids]
+        #: An item without id contaminates, but has no name to be listed by.
+        self.ids = [None if i is None else str(i) for i in ids]
         parts = list(words_of(pa.array(texts, pa.string()), ALNUM))
-        self.hashes = np.concatenate([p.hashes for p in parts]) if parts else np.zeros(0, np.uint64)
-        self.item = np.concatenate([p.doc + p.first for p in parts]) if parts else np.zeros(0, np.int64)
-        sizes = np.bincount(self.item, minlength=len(ids))
-        self.ends = np.cumsum(sizes)
-        self.begins = self.ends - sizes
-        self.kept: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
-        for length in {min(span, int(s)) for s in sizes if s}:
-            own = sizes[self.item] >= span if length == span else sizes[self.item] == length
-            index = np.flatnonzero(own)
-            prints, at = winnow(self.hashes[index], self.item[index], length)
-            where = defaultdict(list)
-            for p, a in zip(prints.tolist(), index[at].tolist(), strict=True):
-                where[p].append(a)
-            self.kept[length] = (np.unique(prints), dict(where))
-
-    def hits(self, hashes: np.ndarray, doc: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(document, item, first word, one after the last word) of every extended match."""
-        for length, (prints, where) in self.kept.items():
+        hashes = np.concatenate([p.hashes for p in parts]) if parts else np.zeros(0, np.uint64)
+        item = np.concatenate([p.doc + p.first for p in parts]) if parts else np.zeros(0, np.int64)
+        sizes = np.bincount(item, minlength=len(ids))
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in sorted({min(span, int(s)) for s in sizes if s}):
+            own = sizes[item] >= span if length == span else sizes[item] == length
+            words, of = hashes[own], item[own]
+            prints = np.unique(winnow(words, of, length)[0])
+            runs = grams(words, length)
+            whole = of[: len(runs)] == of[length - 1 : length - 1 + len(runs)]
+            pairs = np.unique(np.stack([runs[whole], of[: len(runs)][whole].astype(np.uint64)], 1), axis=0)
+            windows, begins = np.unique(pairs[:, 0], return_index=True)
+            self.lengths[length] = prints, windows, np.append(begins, len(pairs)), pairs[:, 1].astype(np.int64)
+
+    def hits(self, hashes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, first words of windows that occur, their numbers), for each length.
+
+        A kept run hash that the items kept too is extended to all windows around it, each looked up
+        once however often the items hold it.
+        """
+        for length, (prints, windows, _, _) in self.lengths.items():
             found, at = winnow(hashes, doc, length)
-            spot = np.searchsorted(prints, found)
-            spot[spot == len(prints)] = 0
-            same = prints[spot] == found if len(prints) else np.zeros(len(found), bool)
-            reached: dict[tuple[int, int], int] = {}
-            for p, a in zip(found[same].tolist(), at[same].tolist(), strict=True):
-                d = int(doc[a])
-                low, high = int(begins[d]), int(begins[d + 1])
-                for b in where[p]:
-                    item = int(self.item[b])
-                    if reached.get((item, a - b), -1) >= a:
-                        continue  # inside a match on this diagonal that was extended before
-                    left = _run(hashes[low:a][::-1], self.hashes[self.begins[item] : b][::-1])
-                    right = _run(hashes[a:high], self.hashes[b : self.ends[item]])
-                    reached[item, a - b] = a + right - 1
-                    if left + right >= length:
-                        yield d, item, a - left, a + right
-
-
-def _run(a: np.ndarray, b: np.ndarray) -> int:
-    """How many words two sequences share from their start."""
-    n, done, step = min(len(a), len(b)), 0, 64
-    while done < n:
-        end = min(n, done + step)
-        differ = np.flatnonzero(a[done:end] != b[done:end])
-        if len(differ):
-            return done + int(differ[0])
-        done, step = end, step * 4
-    return n
-
-
-_FOUND = "id long, n_words long, spans array<bigint>, items array<string>"
+            at = at[_spot(prints, found) >= 0]
+            starts = np.unique(at[:, None] - np.arange(length - _gram(length) + 1))
+            starts = starts[(starts >= 0) & (starts + length <= len(doc))]
+            starts = starts[doc[starts] == doc[starts + length - 1]]
+            number = _spot(windows, grams_at(hashes, starts, length))
+            yield length, starts[number >= 0], number[number >= 0]
+
+    def names(self, found: list[tuple[int, np.ndarray]]) -> list[str]:
+        """Ids of the items that hold any of the numbered windows (length, numbers)."""
+        items = []
+        for length, numbers in found:
+            _, _, begins, of = self.lengths[length]
+            items += [of[begins[w] : begins[w + 1]] for w in np.unique(numbers).tolist()]
+        return sorted({self.ids[i] for i in np.unique(np.concatenate(items)).tolist()} - {None}) if items else []
+
+
+def _spot(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in sorted values, -1 where absent."""
+    if not len(values):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return np.where(values[at] == wanted, at, -1)
+
+
+def _matched(benchmark: Benchmark, words: Words) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Which words are hit, and of each length the documents of the windows found with their numbers."""
+    edge, found = np.zeros(len(words.hashes) + 1, np.int64), []
+    for length, starts, number in benchmark.hits(words.hashes, words.doc):
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + length, -1)
+        found.append((length, words.doc[starts], number))
+    return np.cumsum(edge[:-1]) > 0, found
+
+
+_FOUND = "n_words long, spans array<bigint>, items array<string>"
 
 
 def _scan(benchmark: Benchmark):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            counts, spans, items = np.zeros(n, np.int64), [None] * n, [None] * n
+            counts, spans, items = np.zeros(n, np.int64), [[]] * n, [[]] * n
             for words in words_of(batch.column(1), ALNUM):
                 counts[words.first : words.last] = np.diff(words.begins)
-                for d, item, start, end in benchmark.hits(words.hashes, words.doc, words.begins):
-                    row, base = words.first + d, int(words.begins[d])
-                    spans[row] = spans[row] or set()
-                    items[row] = items[row] or set()
-                    spans[row].add((start - base, end - base))
-                    items[row].add(benchmark.ids[item])
-            flat = [[x for s in sorted(v) for x in s] if v else [] for v in spans]
+                hit, found = _matched(benchmark, words)
+                for d in np.unique(words.doc[hit]).tolist():
+                    own = np.flatnonzero(np.diff(hit[words.begins[d] : words.begins[d + 1]], prepend=False, append=False))
+                    spans[words.first + d] = own.tolist()
+                    items[words.first + d] = benchmark.names([(length, number[doc == d]) for length, doc, number in found])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(v) if v else [] for v in items], pa.list_(pa.string()))],
+                [batch.column(0), pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                 names=["id", "n_words", "spans", "items"],
             )
 
     return run
 
 
+def _clean(benchmark: Benchmark, text: int):
+    """Whole rows without a hit in the column of that number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = np.ones(batch.num_rows, bool)
+            for words in words_of(batch.column(text).cast(pa.string()), ALNUM):
+                hit, _ = _matched(benchmark, words)
+                kept[words.first + np.unique(words.doc[hit])] = False
+            yield batch.filter(pa.array(kept))
+
+    return run
+
+
 def _union_length(spans: list[tuple[int, int]]) -> int:
     total, reach = 0, 0
     for start, end in sorted(spans):
@@ -158,15 +178,15 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def benchmark_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """The benchmark's ids and texts, and how many blocks of bounded size hold them."""
-    items = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """The benchmark's distinct ids and texts, and how many blocks of bounded size hold them."""
+    items = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
+    total = items.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
     return items, 1 if total <= block_bytes else -(-2 * total // block_bytes)
 
 
 def _block(items: DataFrame, k: int, n: int, span: int) -> Benchmark:
-    """Block k of n, dealt by a hash of text; with one block the whole benchmark, whose size was checked."""
-    table = (items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)).toArrow()
+    """Block k of n, dealt by a hash of id and text; with one block the whole benchmark, whose size was checked."""
+    table = (items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)).toArrow()
     return Benchmark(table["id"].to_pylist(), table["text"].to_pylist(), span)
 
 
@@ -174,18 +194,21 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row per document row: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit when it lies in an occurrence of ``span`` consecutive words of an item, or of a
-    whole shorter item. Null text has no words; an item without words occurs nowhere; an empty
-    benchmark contaminates nothing; repeated rows get the same result; other columns are ignored.
+    whole shorter item. Null text has no words; an item without words occurs nowhere, one without id
+    hits words but is neither counted nor named; an empty benchmark contaminates nothing; repeated
+    rows get the same result; other columns are ignored. Ids may be of any type that Arrow has.
     ``items_sha256`` digests the sorted item ids joined by commas (of the empty string if none).
     A benchmark above ``block_bytes`` is taken in blocks, each of which scans all documents.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
     items, n = benchmark_blocks(items, item_id_col, item_text_col, block_bytes)
     if n == 1:
-        found = texts.mapInArrow(_scan(_block(items, 0, 1, span)), _FOUND)
+        found = texts.mapInArrow(_scan(_block(items, 0, 1, span)), f"id {kind}, {_FOUND}")
     else:  # a row key keeps repeated ids apart
         texts = cut(texts.withColumn("row", F.monotonically_increasing_id()))
-        parts = [cut(texts.select("row", "text").mapInArrow(_scan(_block(items, k, n, span)), _FOUND)) for k in range(n)]
+        parts = [cut(texts.select("row", "text").mapInArrow(_scan(_block(items, k, n, span)), f"id long, {_FOUND}")) for k in range(n)]
         joined = parts[0]
         for p in parts[1:]:
             joined = joined.unionByName(p)
@@ -195,11 +218,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             .join(texts.select(F.col("row").alias("key"), F.col("id").alias("own")), F.col("id") == F.col("key"))
             .select(F.col("own").alias("id"), "n_words", "spans", "items")
         )
-    out = found.mapInArrow(_summary, "id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    out = found.mapInArrow(_summary, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without words in a benchmark span; all their columns. Ids name documents."""
-    hit = small_side(cut(contamination(docs, items, id_col, **options).where("contaminated").select(F.col(id_col).alias("_hit")).distinct()))
-    return docs.join(hit, docs[id_col] == hit["_hit"], "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", span: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without words in a benchmark span; all their columns.
+
+    Each row is judged by its own text, whatever its id; blocks of a large benchmark go in turn over
+    the rows that are left.
+    """
+    small_batches(docs.sparkSession)
+    items, n = benchmark_blocks(items, item_id_col, item_text_col, block_bytes)
+    text = [c.lower() for c in docs.columns].index(text_col.lower())
+    for k in range(n):
+        docs = docs.mapInArrow(_clean(_block(items, k, n, span), text), docs.schema)
+        docs = cut(docs) if n > 1 else docs
+    return docs
