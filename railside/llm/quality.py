@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railside.llm.cluster import cut, small_side
-from railside.llm.words import SPACED, Words, hash_words, mix, words_of
+from railside.llm.cluster import cut
+from railside.llm.words import SPACED, Words, hash_words, mix, small_batches, words_of
 
 #: Rows of each posterior class in the scorer's training sample, at most, chosen by a hash of the id.
 SAMPLE_ROWS = 2000
@@ -144,8 +144,10 @@ def _vote_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_labellers(counts: dict[str, int], rounds: int = 100) -> dict[str, float]:
     """Vote pattern -> probability that its documents are good, by expectation maximisation.
 
-    Votes are independent given the class. The start is each pattern's share of keep votes, so the
-    good class is the one that labellers vote to keep. Patterns without a vote get the prior.
+    Votes are independent given the class. The start, which names the classes, is 0.1 for patterns with
+    a vote to reject, 0.95 for those with votes to keep alone and 0.8 for those without votes.
+    Pseudo-counts (one vote either way in the bad class, 0.1 to reject and 1.9 to keep in the good
+    one) hold where a labeller hardly votes. Patterns without a vote get the prior.
     """
     if not counts:
         return {}
@@ -222,54 +224,76 @@ def _feature_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for first, last, words, lines, raw, doc in _documents(batch.column(0)):
             x = features(words, raw, doc, _statistics(words, lines, raw, doc))
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, last - first), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["good", "x"])
+            own = [batch.column(i).slice(first, last - first) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["good", "h", "x"])
+
+
+def _judged(column: pa.Array, weights: np.ndarray | None, posterior: dict[str, float]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, posterior, score) of the texts, some at a time."""
+    for first, last, words, lines, raw, doc in _documents(column):
+        statistics = _statistics(words, lines, raw, doc)
+        label = np.array([posterior.get(p, 1.0) for p in _patterns(votes(statistics))])
+        score = label
+        if weights is not None:  # each row is summed by itself, so that reruns agree
+            score = 1 / (1 + np.exp(-np.clip((features(words, raw, doc, statistics) * weights).sum(1, dtype=np.float64), -30, 30)))
+        yield first, last, label, score
 
 
 def _score_form(weights: np.ndarray | None, posterior: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, words, lines, raw, doc in _documents(batch.column(1)):
-                statistics = _statistics(words, lines, raw, doc)
-                label = np.array([posterior.get(p, 1.0) for p in _patterns(votes(statistics))])
-                score = label
-                if weights is not None:  # each row is summed by itself, so that reruns agree
-                    score = 1 / (1 + np.exp(-np.clip((features(words, raw, doc, statistics) * weights).sum(1, dtype=np.float64), -30, 30)))
+            for first, last, label, score in _judged(batch.column(1), weights, posterior):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(label), pa.array(score)], names=["id", "posterior", "score"])
 
     return run
 
 
+def _fit(texts: DataFrame, sample_rows: int) -> tuple[np.ndarray | None, dict[str, float]]:
+    """The scorer's weights (None if only one class has documents) and each vote pattern's posterior."""
+    small_batches(texts.sparkSession)
+    voted = cut(texts.select(F.xxhash64("text").alias("h"), "text").mapInArrow(_vote_form, "h long, votes string"))
+    counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3 ** labellers
+    posterior = fit_labellers(counts)
+    picks = []
+    for sure in ({p for p, x in posterior.items() if x < 0.2}, {p for p, x in posterior.items() if x > 0.8}):
+        own = voted.where(F.col("votes").isin(sorted(sure))).select("h").distinct()
+        picks.append([r["h"] for r in own.orderBy(F.xxhash64(F.lit(9), "h"), "h").limit(sample_rows).collect()])
+    if not all(picks):
+        return None, posterior
+    rows = [(h, float(k)) for k, own in enumerate(picks) for h in own]
+    chosen = texts.sparkSession.createDataFrame(rows, "h long, good double")
+    sample = texts.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), "h").dropDuplicates(["h"])
+    table = sample.select("text", "good", "h").mapInArrow(_feature_form, "good double, h long, x binary").toArrow()
+    order = np.argsort(table["h"].to_numpy())
+    x = np.stack([np.frombuffer(b, np.float16) for b in table["x"].to_pylist()])[order]
+    return train(x.astype(np.float32), table["good"].to_numpy()[order].astype(np.float32)), posterior
+
+
 def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
     """One row per document row: id, posterior, score, kept (score of at least ``threshold``).
 
     ``posterior`` is the label model's probability that the document is good, ``score`` the linear
     scorer's. Vote statistics cover all documents; the scorer is fitted on at most ``sample_rows``
-    documents of each posterior class. If only one class has documents, its members' posterior
-    stands for the score: nothing distinguishes them. Null counts as empty; texts of few words get
-    no votes and are scored all the same; repeated rows score alike; an empty table gives no rows;
-    other columns are ignored.
+    different texts of each posterior class, chosen by a hash. If only one class has documents, its
+    members' posterior stands for the score: nothing distinguishes them. Null counts as empty; texts
+    of few words get no votes and are scored all the same; repeated rows score alike; an empty table
+    gives no rows; ids may be of any type that Arrow has; other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    voted = cut(texts.mapInArrow(_vote_form, "id long, votes string"))
-    counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3 ** labellers
-    posterior = fit_labellers(counts)
-    picks = []
-    for sure in ({p for p, x in posterior.items() if x < 0.2}, {p for p, x in posterior.items() if x > 0.8}):
-        own = voted.where(F.col("votes").isin(sorted(sure))).select("id", F.xxhash64(F.lit(9), "id").alias("h"))
-        picks.append({r["id"] for r in own.where("id is not null").orderBy("h", "id").limit(sample_rows).collect()})
-    weights = None
-    if all(picks):
-        rows = [(i, float(k)) for k, ids in enumerate(picks) for i in ids]
-        chosen = docs.sparkSession.createDataFrame(rows, "id long, good double").dropDuplicates(["id"])
-        table = texts.join(F.broadcast(chosen), "id").select("text", "good").mapInArrow(_feature_form, "good double, x binary").toArrow()
-        x = np.stack([np.frombuffer(b, np.float16) for b in table["x"].to_pylist()])
-        order = np.lexsort((x[:, :8].sum(1), table["good"].to_numpy()))
-        weights = train(x[order].astype(np.float32), table["good"].to_numpy()[order].astype(np.float32))
-    scored = texts.mapInArrow(_score_form(weights, posterior), "id long, posterior double, score double")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    weights, posterior = _fit(texts, sample_rows)
+    kind = texts.schema["id"].dataType.simpleString()
+    scored = texts.mapInArrow(_score_form(weights, posterior), f"id {kind}, posterior double, score double")
     return scored.select(F.col("id").alias(id_col), "posterior", "score", (F.col("score") >= threshold).alias("kept"))
 
 
-def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps; all their columns. Ids name documents."""
-    gone = small_side(cut(quality_scores(docs, id_col=id_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct()))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def drop_low_quality(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps; all their columns. Each row is judged by its own text."""
+    weights, posterior = _fit(docs.select(F.col(text_col).cast("string").alias("text")), sample_rows)
+    text = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [score >= threshold for _, _, _, score in _judged(batch.column(text).cast(pa.string()), weights, posterior)]
+            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
