@@ -149,21 +149,21 @@ def jaro_winkler_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: An order's lines as a ladder: the price and size arrays of its traded volume and offers.
-_LADDER = "SELECT l_orderkey AS k, list(struct_pack(price := round(l_extendedprice / 1000, 2), size := l_quantity) ORDER BY round(l_extendedprice / 1000, 2) DESC, l_quantity) AS ladder FROM lineitem GROUP BY 1"
+_LADDER = "SELECT l_orderkey AS k, list(struct_pack(price := floor(l_extendedprice / 10) / 100, size := l_quantity) ORDER BY floor(l_extendedprice / 10) DESC, l_quantity) AS ladder FROM lineitem GROUP BY 1"
 
 
 def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """market k, traded, back, lay: arrays of (price, size), and the last traded price."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.round(F.col("l_extendedprice") / 1000, 2).alias("price"), F.col("l_quantity").alias("size"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), (F.floor(F.col("l_extendedprice") / 10) / 100).alias("price"), F.col("l_quantity").alias("size"))
     sort = F.sort_array(F.collect_list(F.struct((-F.col("price")).alias("p"), F.col("size"))))
     book = lines.groupBy("k").agg(F.transform(sort, lambda x: F.struct((-x["p"]).alias("price"), x["size"].alias("size"))).alias("ladder"))
     none = F.filter("ladder", lambda x: F.lit(False))
     return book.select("k", F.when(F.col("k") % 3 == 0, none).otherwise(F.col("ladder")).alias("traded"), F.when(F.col("k") % 5 == 0, none).otherwise(F.col("ladder")).alias("back"), F.reverse("ladder").alias("lay"))
 
 
-@table_query("vwap", f"WITH b AS ({_LADDER}) SELECT k, round(CASE WHEN k % 3 <> 0 THEN list_sum(list_transform(ladder, lambda x: x.price * x.size)) / list_sum(list_transform(ladder, lambda x: x.size)) WHEN k % 5 = 0 THEN 0 ELSE (ladder[1].price + ladder[-1].price) / 2 END, 2) AS v FROM b")
+@table_query("vwap", f"WITH b AS ({_LADDER}) SELECT k, CASE WHEN k % 3 <> 0 THEN list_sum(list_transform(ladder, lambda x: x.price * x.size)) / list_sum(list_transform(ladder, lambda x: x.size)) WHEN k % 5 = 0 THEN 0 ELSE (ladder[1].price + ladder[-1].price) / 2 END AS v FROM b")
 def vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladders(spark, sf_dir).select("k", F.round(R.weighted_price(F.col("traded"), F.col("back"), F.col("lay")), 2).alias("v"))
+    return ladders(spark, sf_dir).select("k", R.weighted_price(F.col("traded"), F.col("back"), F.col("lay")).alias("v"))
 
 
 @table_query("best_back", f"WITH b AS ({_LADDER}) SELECT k, CASE WHEN k % 5 <> 0 THEN ladder[1].price WHEN k % 2 = 0 THEN 3.5 END AS v FROM b")

@@ -112,7 +112,7 @@ def _jaro(a: str, b: str) -> float:
     if not left:
         return 0.0
     right = [y for y, t in zip(b, taken, strict=True) if t]
-    half = sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    half = sum(x != y for x, y in zip(left, right, strict=True)) // 2
     m = len(left)
     return (m / len(a) + m / len(b) + (m - half) / m) / 3
 

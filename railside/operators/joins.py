@@ -76,19 +76,20 @@ def snapshot_lookup(r: Racing) -> DataFrame:
     return r.runners.where("num = 2").join(r.races.where("surface = 'AW'"), "race_id").select("horse_id", "race_id", "race_name")
 
 
-@racing_query("j_scalar_corr", "SELECT race_id, (SELECT count(*) FROM runners WHERE runners.race_id = races.race_id) AS n, (SELECT round(max(win_bsp), 4) FROM runners WHERE runners.race_id = races.race_id) AS longest FROM races")
+@racing_query("j_scalar_corr", "SELECT race_id, (SELECT count(*) FROM runners WHERE runners.race_id = races.race_id) AS n, (SELECT max(win_bsp) FROM runners WHERE runners.race_id = races.race_id) AS longest FROM races")
 def scalar_lookups(r: Racing) -> DataFrame:
     """Correlated scalars as one aggregate joined once."""
-    sums = r.runners.groupBy("race_id").agg(F.count("*").alias("n"), F.round(F.max("win_bsp"), 4).alias("longest"))
+    sums = r.runners.groupBy("race_id").agg(F.count("*").alias("n"), F.max("win_bsp").alias("longest"))
     return r.races.join(sums, "race_id", "left").select("race_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "longest")
 
 
-@racing_query("j_norm_lookup", "SELECT horse_id, jockey_id FROM (SELECT horse_id, trim(regexp_replace(lower(horse_name), '[^a-z0-9]+', ' ', 'g')) AS k FROM horses) JOIN (SELECT c_custkey AS jockey_id, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS c FROM customer) ON right(k, 2) = right(c, 2) AND horse_id < 40 AND jockey_id < 400")
+@racing_query("j_norm_lookup", r"SELECT f.horse_id AS feed_id, h.horse_id FROM (SELECT horse_id, trim(regexp_replace(lower(concat(' ', upper(replace(horse_name, ' ', '-')), '.')), '[^a-z0-9]+', ' ', 'g')) AS k FROM horses) f JOIN (SELECT horse_id, trim(regexp_replace(lower(horse_name), '[^a-z0-9]+', ' ', 'g')) AS k FROM horses) h USING (k)")
 def normalised_lookup(r: Racing) -> DataFrame:
-    """Equi-join on names normalised once on each side."""
-    left = r.horses.where("horse_id < 40").select("horse_id", F.right(F.trim(F.regexp_replace(norm_text(F.col("horse_name")), " +", " ")), F.lit(2)).alias("k"))
-    right = r.jockeys.where("jockey_id < 400").select("jockey_id", F.right(F.trim(F.regexp_replace(norm_text(F.col("jockey_name")), " +", " ")), F.lit(2)).alias("k"))
-    return left.join(right, "k").select("horse_id", "jockey_id")
+    """Names as a feed spells them, found by equal normalised names; each side is normalised once."""
+    spelt = F.concat(F.lit(" "), F.upper(F.regexp_replace("horse_name", " ", "-")), F.lit("."))
+    feed = r.horses.select(F.col("horse_id").alias("feed_id"), F.trim(F.regexp_replace(norm_text(spelt), " +", " ")).alias("k"))
+    known = r.horses.select("horse_id", F.trim(F.regexp_replace(norm_text(F.col("horse_name")), " +", " ")).alias("k"))
+    return feed.join(known, "k").select("feed_id", "horse_id")
 
 
 @racing_query("j_composite", "SELECT a.horse_id AS a, b.horse_id AS b FROM horses a JOIN horses b USING (sire, dam, damsire) WHERE a.horse_id < b.horse_id")
@@ -103,18 +104,18 @@ def outer_by_key(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return left.join(right, keys, "full_outer")
 
 
-@racing_query("j_full_outer_runner", "SELECT coalesce(a.race_id, b.race_id) AS race_id, coalesce(a.horse_id, b.horse_id) AS horse_id, p, q FROM (SELECT race_id, horse_id, min(pos_num) AS p FROM runners WHERE num <= 4 GROUP BY 1, 2) a FULL JOIN (SELECT race_id, horse_id, round(max(win_bsp), 4) AS q FROM runners WHERE num >= 3 GROUP BY 1, 2) b ON a.race_id = b.race_id AND a.horse_id = b.horse_id")
+@racing_query("j_full_outer_runner", "SELECT coalesce(a.race_id, b.race_id) AS race_id, coalesce(a.horse_id, b.horse_id) AS horse_id, p, q FROM (SELECT race_id, horse_id, min(pos_num) AS p FROM runners WHERE num <= 4 GROUP BY 1, 2) a FULL JOIN (SELECT race_id, horse_id, max(win_bsp) AS q FROM runners WHERE num >= 3 GROUP BY 1, 2) b ON a.race_id = b.race_id AND a.horse_id = b.horse_id")
 def full_outer_runners(r: Racing) -> DataFrame:
     results = r.runners.where("num <= 4").groupBy("race_id", "horse_id").agg(F.min("pos_num").alias("p"))
-    prices = r.runners.where("num >= 3").groupBy("race_id", "horse_id").agg(F.round(F.max("win_bsp"), 4).alias("q"))
+    prices = r.runners.where("num >= 3").groupBy("race_id", "horse_id").agg(F.max("win_bsp").alias("q"))
     return outer_by_key(results, prices, ["race_id", "horse_id"]).select("race_id", "horse_id", "p", "q")
 
 
-@racing_query("j_left_win_place", "SELECT race_id, horse_id, w, p FROM (SELECT race_id, horse_id, round(max(win_bsp), 4) AS w FROM runners GROUP BY 1, 2) LEFT JOIN (SELECT race_id, horse_id, round(arg_max(place_bsp, (num, place_bsp)), 4) AS p FROM runners WHERE num % 2 = 0 GROUP BY 1, 2) USING (race_id, horse_id)")
+@racing_query("j_left_win_place", "SELECT race_id, horse_id, w, p FROM (SELECT race_id, horse_id, max(win_bsp) AS w FROM runners GROUP BY 1, 2) LEFT JOIN (SELECT race_id, horse_id, arg_max(place_bsp, (num, place_bsp)) AS p FROM runners WHERE num % 2 = 0 GROUP BY 1, 2) USING (race_id, horse_id)")
 def win_with_place(r: Racing) -> DataFrame:
     """WIN rows with the last PLACE row of the same race and horse."""
-    win = r.runners.groupBy("race_id", "horse_id").agg(F.round(F.max("win_bsp"), 4).alias("w"))
-    place = r.runners.where("num % 2 = 0").groupBy("race_id", "horse_id").agg(F.round(F.max_by("place_bsp", F.struct("num", "place_bsp")), 4).alias("p"))
+    win = r.runners.groupBy("race_id", "horse_id").agg(F.max("win_bsp").alias("w"))
+    place = r.runners.where("num % 2 = 0").groupBy("race_id", "horse_id").agg(F.max_by("place_bsp", F.struct("num", "place_bsp")).alias("p"))
     return win.join(place, ["race_id", "horse_id"], "left")
 
 
@@ -220,11 +221,17 @@ def fuzzy_names(r: Racing, least: float = 0.77) -> DataFrame:
 def contained_names(r: Racing) -> DataFrame:
     """Course names that hold one another.
 
-    A holder contains each word of the other (but perhaps the ends of the first and last), so pairs are
-    sought among names that share a first trigram of the shorter: an equi-join, not a nested loop.
+    A holder contains the first letters of what it holds, so pairs are sought among names that share
+    the first trigram of the shorter (or all of a name of one or two letters): an equi-join, not a
+    nested loop. Empty names are held by all in SQL's sense and are left out on both sides.
     """
     names = r.courses.select("course_id", "course_name", F.lower("course_name").alias("n"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - 2, F.lit(1))), lambda i: F.substr(F.col("n"), i, F.lit(3))))
+    places = F.sequence(F.lit(1), F.greatest(F.length("n"), F.lit(1)))
+
+    def parts(size: int) -> Column:
+        return F.transform(places, lambda i: F.substr(F.col("n"), i, F.lit(size)))
+
+    grams = F.array_distinct(F.concat(parts(1), parts(2), parts(3)))
     holder = names.select(F.col("course_id").alias("hi"), F.col("course_name").alias("hx"), F.col("n").alias("hn"), F.explode(grams).alias("g"))
     held = names.select(F.col("course_id").alias("li"), F.col("course_name").alias("lx"), F.col("n").alias("ln"), F.substr(F.col("n"), F.lit(1), F.lit(3)).alias("g"))
     pairs = holder.join(held, "g").where((F.col("hi") != F.col("li")) & F.col("hn").contains(F.col("ln"))).select("hx", "lx").distinct()

@@ -42,6 +42,8 @@ class RaceFilters:
     date_from: str | None = None
     date_to: str | None = None
     course_id: int | None = None
+    region_id: int | None = None
+    pattern: str | None = None
     race_type: str | None = None
     class_: str | None = None
     handicap: bool | None = None
@@ -59,6 +61,8 @@ class RaceFilters:
             "date_from": lambda v: c("race_date") >= F.lit(day(v)),
             "date_to": lambda v: c("race_date") <= F.lit(day(v)),
             "course_id": lambda v: c("course_id") == v,
+            "region_id": lambda v: c("region_id") == v,
+            "pattern": lambda v: c("pattern") == v,
             "race_type": lambda v: c("race_type") == v,
             "class_": lambda v: c("class") == v,
             "handicap": lambda v: c("race_name").ilike("%handicap%") if v else ~c("race_name").ilike("%handicap%"),
@@ -74,14 +78,14 @@ class RaceFilters:
 
 @racing_query(
     "race_search",
-    f"SELECT {_RACE_SQL} FROM races WHERE race_date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31' AND race_type = 'Flat' AND class = 'O' AND race_name ILIKE '%handicap%' AND dist_f >= 6 AND dist_f <= 14 AND going ILIKE '%good%' AND surface = 'Turf' AND ran >= 2 AND ran <= 6 ORDER BY race_date DESC, off_min, race_id LIMIT 100 OFFSET 5",
-    filters=RaceFilters(date_from="1998-01-01", date_to="2000-12-31", race_type="Flat", class_="O", handicap=True, dist_min=6, dist_max=14, going="good", surface="Turf", field_min=2, field_max=6),
+    f"SELECT {_RACE_SQL} FROM races JOIN (SELECT course_id, region_id FROM courses) USING (course_id) WHERE region_id = 2 AND pattern = 'Listed' AND race_date BETWEEN DATE '1995-01-01' AND DATE '2000-12-31' AND race_type = 'Flat' AND class = 'O' AND race_name ILIKE '%handicap%' AND dist_f >= 6 AND dist_f <= 14 AND going ILIKE '%good%' AND surface = 'Turf' AND ran >= 2 AND ran <= 6 ORDER BY race_date DESC, off_min, race_id LIMIT 100 OFFSET 1",
+    filters=RaceFilters(date_from="1995-01-01", date_to="2000-12-31", region_id=2, pattern="Listed", race_type="Flat", class_="O", handicap=True, dist_min=6, dist_max=14, going="good", surface="Turf", field_min=2, field_max=6),
     limit=100,
-    offset=5,
+    offset=1,
 )
 def race_search(r: Racing, filters: RaceFilters, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Races that meet all given conditions, newest first."""
-    races = r.races
+    """Races that meet all given conditions, newest first; a region is that of the race's course."""
+    races = r.races if filters.region_id is None else r.races.join(r.courses.select("course_id", "region_id"), "course_id")
     for condition in filters.conditions():
         races = races.where(condition)
     return races.orderBy(F.desc("race_date"), "off_min", "race_id").offset(offset).limit(page_size(limit, 100)).select(*_RACE)
@@ -187,11 +191,11 @@ def distance_buckets(r: Racing) -> DataFrame:
     return r.races.select("race_id", distance_bucket().alias("bucket"))
 
 
-@racing_query("proj_price_select", "SELECT race_id, num, horse_id, round(win_ppwap, 4) AS price FROM runners", source="ppwap")
+@racing_query("proj_price_select", "SELECT race_id, num, horse_id, win_ppwap AS price FROM runners", source="ppwap")
 def price_of(r: Racing, source: str) -> DataFrame:
     """The price that a name chooses; an unknown name gives null."""
     column = {"bsp": "win_bsp", "dec": "dec_price", "ppwap": "win_ppwap"}.get(source)
-    price = F.round(column, 4) if column else F.lit(None).cast("double")
+    price = F.col(column) if column else F.lit(None).cast("double")
     return r.runners.select("race_id", "num", "horse_id", price.alias("price"))
 
 

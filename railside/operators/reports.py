@@ -33,10 +33,10 @@ def betting_card(r: Racing, on: str) -> DataFrame:
     return rows.select("race_id", "num", "horse_name", F.round("o", 4).alias("odds"), F.rank().over(Window.partitionBy("race_id").orderBy("o")).alias("market_rank"))
 
 
-@racing_query("winners_with_odds", "SELECT race_date, race_id, horse_name, round(win_bsp, 4) AS bsp, round(dec_price, 4) AS sp, round(btn, 4) AS btn FROM runners JOIN races USING (race_id) JOIN horses USING (horse_id) WHERE win_flag AND race_date BETWEEN DATE '1999-01-01' AND DATE '1999-03-31'")
+@racing_query("winners_with_odds", "SELECT race_date, race_id, horse_name, win_bsp AS bsp, dec_price AS sp, btn FROM runners JOIN races USING (race_id) JOIN horses USING (horse_id) WHERE win_flag AND race_date BETWEEN DATE '1999-01-01' AND DATE '1999-03-31'")
 def winners_with_odds(r: Racing) -> DataFrame:
     races = r.races.where(F.col("race_date").between(_day("1999-01-01"), _day("1999-03-31"))).select("race_id", "race_date")
-    return r.runners.where("win_flag").join(races, "race_id").join(r.horses, "horse_id").select("race_date", "race_id", "horse_name", F.round("win_bsp", 4).alias("bsp"), F.round("dec_price", 4).alias("sp"), F.round("btn", 4).alias("btn"))
+    return r.runners.where("win_flag").join(races, "race_id").join(r.horses, "horse_id").select("race_date", "race_id", "horse_name", F.col("win_bsp").alias("bsp"), F.col("dec_price").alias("sp"), "btn")
 
 
 _OFF = "race_date::TIMESTAMP + to_minutes(off_min)"
@@ -61,7 +61,7 @@ def horse_history(r: Racing) -> DataFrame:
     return runs.select("*", F.datediff("race_date", F.lag("race_date").over(Window.partitionBy("horse_id").orderBy("race_date", "race_id"))).alias("dsr"))
 
 
-@racing_query("dq_orphan_fk", "SELECT race_id, num, horse_id FROM runners WHERE horse_id % 40 = 0 AND NOT EXISTS (SELECT 1 FROM horses h WHERE h.horse_id = runners.horse_id AND h.horse_id % 80 <> 0)")
+@racing_query("dq_orphan_fk", "SELECT race_id, num, horse_id FROM runners WHERE NOT EXISTS (SELECT 1 FROM horses h WHERE h.horse_id = runners.horse_id AND h.horse_id % 80 <> 0)")
 def orphan_keys(r: Racing) -> DataFrame:
     return r.runners.join(r.horses.where("horse_id % 80 <> 0").select("horse_id"), "horse_id", "left_anti").select("race_id", "num", "horse_id")
 

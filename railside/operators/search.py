@@ -4,23 +4,38 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from railside.functions.text import STOP_WORDS, lexemes, trigram_similarity
-from railside.plans.racing import Racing
+from railside.plans.racing import Racing, with_racing
 from railside.registry import racing_query, table_query
 
 
-@racing_query("global_search", None, query="blue widget", limit=10)
+#: What is searched by name: kind -> the warehouse's frame, its id and its name.
+KINDS = {"horse": ("horses", "horse_id", "horse_name"), "trainer": ("trainers", "trainer_id", "trainer_name"), "jockey": ("jockeys", "jockey_id", "jockey_name"), "owner": ("owners", "owner_id", "owner_name"), "course": ("courses", "course_id", "course_name")}
+
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_NAMED = " UNION ALL ".join(f"SELECT '{kind}' AS type, CAST({id_} AS BIGINT) AS id, {name} AS name, {_GRAMS.format(name)} AS g FROM {frame}" for kind, (frame, id_, name) in KINDS.items())
+
+
+@racing_query(
+    "global_search",
+    f"WITH n AS ({_NAMED}), q AS (SELECT {_GRAMS.format("'blue widget'")} AS q), s AS (SELECT type, id, name, round(len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q))), 6) AS score FROM n, q), b AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, id) AS rn FROM s WHERE score >= 0.3) SELECT type, id, name, score, count(*) OVER () AS total_results FROM b WHERE rn <= 10",
+    query="blue widget",
+    limit=10,
+)
 def global_search(r: Racing, query: str, limit: int = 10, least: float = 0.3) -> DataFrame:
-    """The most similar names of each kind; score and id order a kind's list."""
-    kinds = {"horse": (r.horses, "horse_id", "horse_name"), "trainer": (r.trainers, "trainer_id", "trainer_name"), "jockey": (r.jockeys, "jockey_id", "jockey_name"), "course": (r.courses, "course_id", "course_name")}
+    """The most similar names of each kind and the number of all that are returned.
+
+    Score and id order a kind's list. Each list is a top-k of ``limit`` rows, so the total is over a few.
+    """
     out = []
-    for kind, (frame, id_, name) in kinds.items():
-        scored = frame.select(F.lit(kind).alias("type"), F.col(id_).cast("long").alias("id"), F.col(name).alias("name"), F.round(trigram_similarity(F.col(name), F.lit(query)), 6).alias("score"))
+    for kind, (frame, id_, name) in KINDS.items():
+        scored = getattr(r, frame).select(F.lit(kind).alias("type"), F.col(id_).cast("long").alias("id"), F.col(name).alias("name"), F.round(trigram_similarity(F.col(name), F.lit(query)), 6).alias("score"))
         out.append(scored.where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(limit))
-    return reduce(DataFrame.unionByName, out)
+    found = reduce(DataFrame.unionByName, out)
+    return found.withColumn("total_results", F.count("*").over(Window.partitionBy()))
 
 
 _STEM = r"(?<=[a-z]{3})(ings?|ed|es|s)$"
@@ -39,9 +54,37 @@ def text_matches(spark: SparkSession, sf_dir: str, query: str = "onan onon") ->
     return rows.select("doc_id", F.size(F.filter("ws", lambda w: F.array_contains(words, w))).alias("hits"))
 
 
-@table_query("search_comments", None)
-def search_comments(spark: SparkSession, sf_dir: str, query: str = "onan onon", limit: int = 100) -> DataFrame:
-    """Matches by rank: hits for the text's length, damped, best first."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
-    found = text_matches(spark, sf_dir, query).join(docs, "doc_id")
-    return found.select("doc_id", F.round(F.col("hits") / F.log(F.col("n_chars") + F.lit(2.0)), 6).alias("rank"), "text").orderBy(F.desc("rank"), "doc_id").limit(limit)
+#: Comments of runners by analogy: a document's text is the comment of the race and horse of its id.
+_COMMENTS = ["doc_id AS runner_id", "doc_id AS race_id", "doc_id AS horse_id", "text AS comment"]
+
+
+@table_query(
+    "search_comments",
+    with_racing(
+        r"WITH c AS (SELECT " + ", ".join(_COMMENTS) + r" FROM documents), t AS (SELECT *, list_transform(list_filter(regexp_split_to_array(lower(coalesce(comment, '')), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in STOP_WORDS) + r"], w)), lambda w: regexp_replace(w, '^(.*?[a-z]{3})(ings|ing|ed|es|s)$', '\1')) AS ws FROM c JOIN races USING (race_id) JOIN courses USING (course_id) JOIN horses USING (horse_id) WHERE race_date BETWEEN DATE '1992-01-01' AND DATE '2001-12-31' AND region_id <= 3)"
+        r" SELECT runner_id, race_id, race_date, course_name, race_name, horse_name, comment, round(len(list_filter(ws, lambda w: w IN ('onan', 'onon'))) / ln(length(comment) + 2.0), 6) AS rank FROM t WHERE list_contains(ws, 'onan') AND list_contains(ws, 'onon') ORDER BY rank DESC, race_date DESC, runner_id LIMIT 100"
+    ),
+)
+def search_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comments = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(*_COMMENTS)
+    return matching_comments(Racing.from_tables(spark, sf_dir), comments, "onan onon", date_from="1992-01-01", date_to="2001-12-31", regions=(0, 1, 2, 3))
+
+
+def matching_comments(r: Racing, comments: DataFrame, query: str, date_from: str | None = None, date_to: str | None = None, regions: tuple[int, ...] = (), course_id: int | None = None, limit: int = 100) -> DataFrame:
+    """Comments with all of the query's terms: the best rank first, the newest first among equals.
+
+    The rank is the number of hits damped by the text's length. Races are filtered by date, region and
+    course before texts are looked at.
+    """
+    races = r.races.join(r.courses, "course_id")
+    for bound, keep in ((date_from, F.col("race_date") >= F.lit(date_from)), (date_to, F.col("race_date") <= F.lit(date_to))):
+        races = races.where(keep) if bound else races
+    races = races.where(F.col("region_id").isin(*regions)) if regions else races
+    races = races if course_id is None else races.where(F.col("course_id") == course_id)
+    words = lexemes(F.lit(query))
+    rows = comments.join(races.select("race_id", "race_date", "course_name", "race_name"), "race_id").join(r.horses.select("horse_id", "horse_name"), "horse_id")
+    rows = rows.withColumn("ws", lexemes(F.coalesce("comment", F.lit("")))).where((F.size(words) > 0) & (F.size(F.array_except(words, "ws")) == 0))
+    hits = F.size(F.filter("ws", lambda w: F.array_contains(words, w)))
+    rank = F.round(hits / F.log(F.length("comment") + F.lit(2.0)), 6)
+    out = rows.select("runner_id", "race_id", "race_date", "course_name", "race_name", "horse_name", "comment", rank.alias("rank"))
+    return out.orderBy(F.desc("rank"), F.desc("race_date"), "runner_id").limit(limit)

@@ -14,9 +14,9 @@ def top_k(r: Racing, n: int) -> DataFrame:
     return r.races.select("race_id", "prize_fund").orderBy(F.desc("prize_fund"), "race_id").limit(n)
 
 
-@racing_query("nulls_last", "SELECT race_id, num, horse_id, pos_num FROM runners WHERE race_id < 500 ORDER BY pos_num DESC NULLS LAST, race_id, num, horse_id LIMIT 1500")
+@racing_query("nulls_last", "SELECT race_id, num, horse_id, pos_num FROM runners ORDER BY pos_num DESC NULLS LAST, race_id, num, horse_id")
 def nulls_last(r: Racing) -> DataFrame:
-    return r.runners.where("race_id < 500").select("race_id", "num", "horse_id", "pos_num").orderBy(F.desc_nulls_last("pos_num"), "race_id", "num", "horse_id").limit(1500)
+    return r.runners.select("race_id", "num", "horse_id", "pos_num").orderBy(F.desc_nulls_last("pos_num"), "race_id", "num", "horse_id")
 
 
 @racing_query("paginate", "SELECT race_id, race_date FROM races ORDER BY race_date DESC, race_id LIMIT 25 OFFSET 50", limit=25, offset=50)

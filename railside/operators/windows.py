@@ -27,11 +27,10 @@ def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(F.struct(*first)).alias("_m")).select(*keys, *[F.col("_m")[c].alias(c) for c in rest])
 
 
-@table_query("w_lag_dsr", _RUNS + f"SELECT race_id, CAST(date_diff('day', lag(d) OVER {_W}, d) AS INT) AS dsr FROM r WHERE horse_id = 77")
-def lag_dsr(spark: SparkSession, sf_dir: str, horse_id: int = 77) -> DataFrame:
-    """Days since the run before, of one horse."""
-    rows = _orders(spark, sf_dir).where(F.col("horse_id") == horse_id)
-    return rows.select("race_id", F.datediff("d", F.lag("d").over(_by_horse())).alias("dsr"))
+@table_query("w_lag_dsr", _RUNS + f"SELECT race_id, CAST(date_diff('day', lag(d) OVER {_W}, d) AS INT) AS dsr FROM r")
+def lag_dsr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days since the horse's run before, of every run."""
+    return _orders(spark, sf_dir).select("race_id", F.datediff("d", F.lag("d").over(_by_horse())).alias("dsr"))
 
 
 @table_query("w_lag_recency", _RUNS + f"SELECT race_id, CAST(date_diff('day', lag(d) OVER {_W}, d) AS INT) AS dsr FROM r WHERE d >= DATE '1999-01-01'")

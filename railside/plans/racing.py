@@ -2,7 +2,7 @@
 
 On a deployment the frames come from month-partitioned Parquet. On the driver's order tables they are
 views by analogy: an order is a race, an order line a runner, a part a horse, a supplier a trainer, a
-customer a jockey, a nation a course. The same select lists serve Spark and the checking SQL.
+customer a jockey and an owner, a nation a course. The same select lists serve Spark and the checking SQL.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ CAST(720 + o_orderkey * 7 % 480 AS INT) AS off_min
 CASE WHEN o_orderkey % 3 = 0 THEN concat('Race ', o_orderkey, ' Handicap') ELSE concat('Race ', o_orderkey) END AS race_name
 CASE WHEN o_orderkey % 4 < 2 THEN 'Flat' WHEN o_orderkey % 4 = 2 THEN 'Hurdle' ELSE 'Chase' END AS race_type
 o_orderstatus AS class
+CASE o_orderkey % 5 WHEN 0 THEN 'Group 1' WHEN 1 THEN 'Listed' WHEN 2 THEN 'Listed' END AS pattern
 CAST(5 + o_orderkey % 12 AS DOUBLE) AS dist_f
 CASE o_custkey % 4 WHEN 0 THEN 'Good' WHEN 1 THEN 'Good To Soft' WHEN 2 THEN 'Heavy' ELSE 'Standard' END AS going
 CASE WHEN o_custkey % 5 = 0 THEN 'AW' ELSE 'Turf' END AS surface
@@ -52,9 +53,10 @@ l_extendedprice / 10 AS prize""".split("\n")
 HORSES = ["p_partkey AS horse_id", "concat(p_name, ' ', p_partkey) AS horse_name", "p_brand AS sire", "p_type AS dam", "CAST(p_size AS STRING) AS damsire"]
 TRAINERS = ["s_suppkey AS trainer_id", "s_name AS trainer_name"]
 JOCKEYS = ["c_custkey AS jockey_id", "c_name AS jockey_name"]
+OWNERS = ["c_custkey AS owner_id", "concat(c_mktsegment, ' Widget ', c_custkey) AS owner_name"]
 COURSES = ["CAST(n_nationkey AS BIGINT) AS course_id", "n_name AS course_name", "n_regionkey AS region_id"]
 
-_VIEWS = {"races": ("orders", RACES), "runners": ("lineitem", RUNNERS), "horses": ("part", HORSES), "trainers": ("supplier", TRAINERS), "jockeys": ("customer", JOCKEYS), "courses": ("nation", COURSES)}
+_VIEWS = {"races": ("orders", RACES), "runners": ("lineitem", RUNNERS), "horses": ("part", HORSES), "trainers": ("supplier", TRAINERS), "jockeys": ("customer", JOCKEYS), "owners": ("customer", OWNERS), "courses": ("nation", COURSES)}
 
 #: Common table expressions of the same views.
 VIEWS_SQL = ",\n".join(f"{name} AS (SELECT {', '.join(columns)} FROM {table})" for name, (table, columns) in _VIEWS.items())
@@ -77,6 +79,7 @@ class Racing:
     horses: DataFrame
     trainers: DataFrame
     jockeys: DataFrame
+    owners: DataFrame
     courses: DataFrame
 
     @classmethod

@@ -17,7 +17,8 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
     """Price files as text columns; rows with fewer fields are dropped, which needs all columns read."""
     schema = ", ".join(f"{c} string" for c in PRICE_COLUMNS) + ", _corrupt string"
     rows = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(path)
-    return rows.where("_corrupt is null").drop("_corrupt")
+    # a condition on another column as well: Spark refuses to read the corrupt record alone, as a count would
+    return rows.where("_corrupt is null and length(concat_ws('', event_id)) >= 0").drop("_corrupt")
 
 
 def read_text_columns(spark: SparkSession, path: str, *needed: str) -> DataFrame:

@@ -41,7 +41,7 @@ def read_stitched(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"`{c}` string" for c in STITCHED_COLUMNS) + ", _corrupt string"
     rows = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(path)
     commas = F.length(F.regexp_replace("_corrupt", r'"[^"]*"|[^,]', ""))
-    rows = rows.withColumn("old", F.when(F.col("_corrupt").isNull(), False).when(commas == len(STITCHED_COLUMNS) - 2, True)).where("old is not null")
+    rows = rows.withColumn("old", F.when(F.col("_corrupt").isNull(), False).when(commas == len(STITCHED_COLUMNS) - 2, True)).where("old is not null and length(concat_ws('', `date`)) >= 0")
     at = STITCHED_COLUMNS.index("venue")
     moved = [F.when(~F.col("old"), F.col("venue")).alias("venue")]
     moved += [F.when(F.col("old"), F.col(before)).otherwise(F.col(c)).alias(c) for before, c in zip(STITCHED_COLUMNS[at:], STITCHED_COLUMNS[at + 1 :])]
@@ -80,16 +80,16 @@ def results(races: DataFrame, betting: DataFrame) -> DataFrame:
     return rides.join(odds, ["id", "key"], "left").drop("key")
 
 
-@table_query("src_bsp_csv_py", "SELECT '2024-01-05' AS day, '13:05' AS off, 'GB' AS region, concat('horse ', l_partkey) AS horse, printf('%.2f', round(1 + l_extendedprice / 5000, 2)) AS bsp FROM lineitem WHERE l_linenumber <= 3")
+@table_query("src_bsp_csv_py", "SELECT '2024-01-05' AS day, '13:05' AS off, 'GB' AS region, concat('horse ', l_partkey) AS horse, printf('%.2f', floor(100 + l_extendedprice / 50) / 100) AS bsp FROM lineitem")
 def price_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_records(spark, _price_files(spark, sf_dir, "l_linenumber <= 3"), "UK")
+    return read_records(spark, _price_files(spark, sf_dir, "true"), "UK")
 
 
-@table_query("src_stitched_csv", "SELECT concat('R', o_orderkey) AS event_name, CASE WHEN o_orderkey % 3 <> 0 THEN concat('V', o_custkey) END AS venue, concat('Horse ', o_custkey) AS horse, round(1 + o_totalprice / 5000, 2) AS win_bsp, CAST(o_orderkey % 2 AS BIGINT) AS place_win_lose FROM orders")
+@table_query("src_stitched_csv", "SELECT concat('R', o_orderkey) AS event_name, CASE WHEN o_orderkey % 3 <> 0 THEN concat('V', o_custkey) END AS venue, concat('Horse ', o_custkey) AS horse, floor(100 + o_totalprice / 50) / 100 AS win_bsp, CAST(o_orderkey % 2 AS BIGINT) AS place_win_lose FROM orders")
 def stitched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with and without a venue in one folder."""
     path = scratch(spark, "stitched_prices")
-    values = {"date": "'2024-01-05'", "off": "'13:05'", "event_name": "concat('R', o_orderkey)", "venue": "concat('V', o_custkey)", "horse": "concat('Horse ', o_custkey)", "win_bsp": "round(1 + o_totalprice / 5000, 2)", "place_win_lose": "o_orderkey % 2"}
+    values = {"date": "'2024-01-05'", "off": "'13:05'", "event_name": "concat('R', o_orderkey)", "venue": "concat('V', o_custkey)", "horse": "concat('Horse ', o_custkey)", "win_bsp": "floor(100 + o_totalprice / 50) / 100", "place_win_lose": "o_orderkey % 2"}
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     for condition, columns in (("o_orderkey % 3 <> 0", STITCHED_COLUMNS), ("o_orderkey % 3 = 0", [c for c in STITCHED_COLUMNS if c != "venue"])):
         orders.where(condition).selectExpr(*[f"CAST({values.get(c, '2.5')} AS STRING) AS `{c}`" for c in columns]).write.mode("append").option("header", True).csv(path)
@@ -107,13 +107,13 @@ def racecard_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles(pages).join(pages.select(F.split("url", "/")[5].cast("long").alias("horse_id"), F.size(card_links("html")).alias("links")), "horse_id")
 
 
-@table_query("src_results_json", "SELECT l_orderkey AS id, CASE WHEN o_custkey % 6 = 3 THEN 'IRE' ELSE 'GB' END AS region, concat('Horse ', l_partkey) AS horse, concat('J', l_suppkey) AS jockey, CASE WHEN l_orderkey % 2 = 0 THEN n END AS ran, CASE WHEN l_orderkey % 2 = 0 THEN odds END AS odds FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN (SELECT l_orderkey AS k, l_partkey AS p, min(round(1 + l_extendedprice / 5000, 2)) AS odds FROM lineitem GROUP BY 1, 2) x ON k = l_orderkey AND p = l_partkey JOIN (SELECT l_orderkey AS c, CAST(count(*) AS INT) AS n FROM lineitem GROUP BY 1) y ON c = l_orderkey WHERE o_custkey % 6 < 4")
+@table_query("src_results_json", "SELECT l_orderkey AS id, CASE WHEN o_custkey % 6 = 3 THEN 'IRE' ELSE 'GB' END AS region, concat('Horse ', l_partkey) AS horse, concat('J', l_suppkey) AS jockey, CASE WHEN l_orderkey % 2 = 0 THEN n END AS ran, CASE WHEN l_orderkey % 2 = 0 THEN odds END AS odds FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN (SELECT l_orderkey AS k, l_partkey AS p, min(floor(100 + l_extendedprice / 50) / 100) AS odds FROM lineitem GROUP BY 1, 2) x ON k = l_orderkey AND p = l_partkey JOIN (SELECT l_orderkey AS c, CAST(count(*) AS INT) AS n FROM lineitem GROUP BY 1) y ON c = l_orderkey WHERE o_custkey % 6 < 4")
 def results_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Race files and betting files; betting files of every second race are missing."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     country = F.try_element_at(F.array(*[F.lit(x) for x in (*COUNTRIES, "FR", "USA")]), (F.col("o_custkey") % 6 + 1).cast("int"))
     heads = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), country.alias("country"))
-    horse, price = F.concat(F.lit("Horse "), F.col("l_partkey").cast("string")), F.round(1 + F.col("l_extendedprice") / 5000, 2)
+    horse, price = F.concat(F.lit("Horse "), F.col("l_partkey").cast("string")), F.floor(100 + F.col("l_extendedprice") / 50) / 100
     rides = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.concat(F.lit(" "), horse).alias("horse"), F.concat(F.lit("J"), F.col("l_suppkey").cast("string")).alias("jockey"))).alias("rides"))
     odds = lines.where("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.concat(F.upper(horse), F.lit(" ")).alias("horse"), price.alias("odds"))).alias("rides"))
     races, betting = scratch(spark, "races_json"), scratch(spark, "betting_json")
