@@ -3,10 +3,12 @@
 Each source is cut into blocks by a seeded hash of its rows. A source's target fixes its quota of
 blocks: every block ``full`` times, and once more the blocks that fit, in permuted order, into what
 is left; what is left of that is filled from a block that did not fit, by sub-blocks and at last by
-single documents. All block tokens stand at the root of a binary tree over the output shards. A
-node sends a uniformly drawn half of its tokens to the left, so that the numbers by source on the
-left follow the multivariate hypergeometric law of the node's quotas; leaves are output shards.
-Rows of a shard are ordered by a seeded hash. Only DataFrame functions are used.
+single documents. A token for each copy that is taken, and for nothing else, stands at the root of a
+binary tree over the output shards: the root's numbers by source are the quotas. A node sends a
+uniformly drawn half of its tokens to the left, so that the numbers by source on the left follow the
+multivariate hypergeometric law of the node's quotas; leaves are output shards. The draw is by a
+histogram of the tokens' hashes, so no task holds a node. Rows of a shard are ordered by a seeded
+hash. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ WEIGHTS = (5, 2, 1)
 FANOUT_BITS = 8
 #: How often a block that did not fit is cut before single documents are taken.
 LEVELS = 3
+#: Bits of a token's hash that name its bin in a node of the tree.
+BIN_BITS = 12
 
 
 def word_count(text: Column) -> Column:
@@ -34,7 +38,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
 
     Targets share ``share`` times all sizes by weight; none exceeds ``most`` times its source's size,
     and what is cut off is shared by weight among the others: target = min(cap, level * weight) with
-    one level for all. The windows hold a row per source.
+    one level for all. The windows are in one task, with a row of a few dozen bytes for each source: a
+    million sources are well within it.
     """
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = sizes.select("*", (F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1).alias("source_no"))
@@ -117,36 +122,47 @@ class Mix:
                 room = fit.select("source_no", "room")
         return chosen
 
+    def _tokens(self, known: DataFrame) -> DataFrame:
+        """source_no, level, part, copy: one for each copy of a block, or part of a block, that is taken."""
+        blocks = known.groupBy("source_no", F.col("block").alias("part")).agg(F.max("full").alias("full"))
+        once = self.chosen[0].withColumn("more", F.lit(1))
+        copies = F.col("full") + missing(F.col("more"), 0)
+        blocks = blocks.join(once, ["source_no", "part"], "left").where(copies > 0)
+        tokens = blocks.select("source_no", F.lit(0).alias("level"), "part", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+        for level, parts in enumerate(self.chosen[1:], 1):
+            tokens = tokens.union(parts.select("source_no", F.lit(level), "part", F.lit(0)))
+        return cut(tokens)
+
     def _tree(self, known: DataFrame, shards: int) -> DataFrame:
-        """source_no, block, places: the output shard of each copy, from draws without replacement."""
-        blocks = known.groupBy("source_no", "block").agg(F.max("full").alias("full"))
-        tokens = blocks.select("source_no", "block", F.explode(F.sequence(F.lit(0), F.col("full"))).alias("copy"), F.lit(0).alias("node"), F.lit(shards).alias("leaves"), F.lit(0).alias("shard"))
+        """source_no, level, part, places: the output shard of each copy, from draws without replacement."""
+        name = ["source_no", "level", "part", "copy"]
+        tokens = self._tokens(known).select(*name, F.lit(0).alias("node"), F.lit(shards).alias("leaves"), F.lit(0).alias("shard"))
         for depth in range((shards - 1).bit_length()):
-            node = Window.partitionBy("node")
-            drawn = node.orderBy(F.xxhash64(F.lit(self.seed + 100 + depth), "source_no", "block", "copy"), "source_no", "block", "copy")
-            half = F.ceil(F.col("leaves") / 2).cast("int")
-            quota = F.round(F.count("*").over(node) * half / F.col("leaves"))
-            tokens = tokens.select("source_no", "block", "copy", "node", "leaves", "shard", half.alias("half"), (F.row_number().over(drawn) <= quota).alias("left"))
+            tokens = tokens.withColumn("draw", F.xxhash64(F.lit(self.seed + 100 + depth), *name)).withColumn("bin", F.shiftrightunsigned("draw", 64 - BIN_BITS))
+            bins = tokens.groupBy("node", "bin").agg(F.count("*").alias("n"), F.max("leaves").alias("leaves"))
+            node, half = Window.partitionBy("node"), F.ceil(F.col("leaves") / 2)
+            before = missing(F.sum("n").over(node.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), 0)
+            quota = F.round(F.sum("n").over(node) * half / F.col("leaves")).cast("long")
+            bins = small_side(cut(bins.select("node", "bin", (quota - before).alias("room"))))
+            rank = F.row_number().over(Window.partitionBy("node", "bin").orderBy("draw", *name))
+            left, half = F.col("rank") <= F.col("room"), half.cast("int")
+            tokens = tokens.join(bins, ["node", "bin"]).withColumn("rank", rank)
             tokens = tokens.select(
-                "source_no",
-                "block",
-                "copy",
-                (F.col("node") * 2 + F.when(F.col("left"), 0).otherwise(1)).alias("node"),
-                F.when(F.col("left"), F.col("half")).otherwise(F.col("leaves") - F.col("half")).alias("leaves"),
-                (F.col("shard") + F.when(F.col("left"), 0).otherwise(F.col("half"))).alias("shard"),
+                *name,
+                (F.col("node") * 2 + F.when(left, 0).otherwise(1)).alias("node"),
+                F.when(left, half).otherwise(F.col("leaves") - half).alias("leaves"),
+                (F.col("shard") + F.when(left, 0).otherwise(half)).alias("shard"),
             )
         listed = F.sort_array(F.collect_list(F.struct("copy", "shard")))
-        return small_side(cut(tokens.groupBy("source_no", "block").agg(F.transform(listed, lambda x: x["shard"]).alias("places"))))
+        return cut(tokens.groupBy("source_no", "level", "part").agg(F.transform(listed, lambda x: x["shard"]).alias("places")))
 
     def apply(self, rows: DataFrame) -> DataFrame:
         """Keyed rows with source_size, target, places (the shard of each copy taken) and taken."""
-        out = self._sourced(rows).join(self.places, ["source_no", "block"])
-        took = F.lit(False)
-        for level, parts in enumerate(self.chosen):
-            out = out.withColumn("part", _part(level)).join(parts.withColumn(f"took{level}", F.lit(True)), ["source_no", "part"], "left")
-            took = took | missing(F.col(f"took{level}"), False)
-        copies = F.col("full") + took.cast("int")
-        out = out.withColumn("places", F.slice("places", F.lit(1), copies))
+        out, none = self._sourced(rows), F.array().cast("array<int>")
+        for level in range(LEVELS + 1):
+            own = self.places.where(F.col("level") == level).select("source_no", "part", F.col("places").alias(f"places{level}"))
+            out = out.withColumn("part", _part(level)).join(small_side(own), ["source_no", "part"], "left")
+        out = out.withColumn("places", F.concat(*[missing(F.col(f"places{level}"), none) for level in range(LEVELS + 1)]))
         return out.withColumn("taken", (F.size("places") * F.col("size")).cast("long"))
 
     def plan(self) -> DataFrame:
