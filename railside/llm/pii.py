@@ -1,14 +1,17 @@
 """Personal data: patterns of known form, and contexts learned from them, with DataFrame functions only.
 
-Regular expressions and checks find seed entities. Around identifier-like tokens (with a digit or an
-at sign) lexical patterns are induced: the word or two before the token. Patterns and instances form
-a graph; rounds score a pattern by the scores of its distinct instances and an instance by the
-patterns that it fills. Patterns that stay nearly sure mark instances that no expression knows.
+Regular expressions and checks find seed entities. Around identifier-like tokens (words with a digit
+or an at sign, number groups that follow each other as one) lexical patterns are induced: the word or
+two before the token, however long, or before the list that it stands in. Patterns and instances form
+a graph. A round scores each pattern by the scores of its distinct instances, and each instance by
+the patterns that it fills; an instance that patterns make nearly sure counts as a seed in the next
+round, and so supports patterns that no expression's match ever fills. Sure patterns with enough
+such instances mark what no expression knows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railside.llm.cluster import cut, missing, small_side
@@ -26,23 +29,28 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A token with a digit or an at sign, from the start of a word.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:(?<=[0-9])\x20[0-9]++(?![^\x20\x09-\x0D]))*+"
+#: Shorter tokens are too common to be identifiers: years, counts, ordinals.
+LEAST_LENGTH = 6
 #: Characters that do not belong to an identifier at its ends.
 _EDGES = r"^[^\p{L}\p{N}+@]+|[^\p{L}\p{N}@]+$"
 
 ROUNDS = 3
 #: A pattern needs this many different seed instances, and this score.
 LEAST_SEEDS, SURE = 5, 0.9
+#: An instance with this score counts as a seed.
+PROMOTED = 0.8
 
 
 def located(text: Column, pattern: str) -> Column:
     """All matches as an array of (start, end, m, gap): code points, end exclusive; gap is the text before.
 
-    Gaps and matches alternate, so running sums of their lengths give positions.
+    Gaps and matches alternate, so running sums of their lengths give positions. The sums go over
+    chunks of about the root of the number of matches: adding to an array copies it, and so even a
+    text of very many matches copies little.
     """
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     spans = "array<struct<start:int,end:int,m:string,gap:string>>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["g"])
@@ -50,7 +58,17 @@ def located(text: Column, pattern: str) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("m"), p["g"].alias("gap")))
         return F.when(p["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out")))
 
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    def chunk(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(spans).alias("out")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+    def whole(pairs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / width).cast("int")), lambda k: F.slice(pairs, k * width + 1, width))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("out")), chunk, lambda acc: F.flatten(acc["out"]))
+
+    # as a lambda's argument the matches are found once, not once a chunk
+    return F.transform(F.array(pairs), whole)[0]
 
 
 def _digits(m: Column) -> Column:
@@ -105,42 +123,51 @@ def spans_text(spans: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Identifier-like tokens: (start, end, token, left), without marks at their ends."""
-    last = r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$"
+    """Identifier-like tokens: (start, end, token, left), without marks at their ends.
+
+    ``left`` is the word or two in the text between the token before and this one, in lower case;
+    empty if there is none.
+    """
+    first = r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?"
 
     def shape(s: Column) -> Column:
         front = F.length(F.regexp_extract(s["m"], r"^[^\p{L}\p{N}+@]*", 0))
         core = F.regexp_replace(s["m"], _EDGES, "")
-        left = F.lower(F.regexp_replace(F.trim(F.regexp_extract(F.right(s["gap"], F.lit(80)), last, 0)), r"[\x20\x09-\x0D]+", " "))
+        left = F.reverse(F.regexp_extract(F.reverse(s["gap"]), first, 0))
+        left = F.trim(F.regexp_replace(F.lower(left), r"[\x20\x09-\x0D]+", " "))
         return F.struct((s["start"] + front).alias("start"), (s["start"] + front + F.length(core)).alias("end"), core.alias("token"), left.alias("left"))
 
     rows = "array<struct<start:int,end:int,token:string,left:string>>"
-    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(located(text, CANDIDATE), shape), lambda c: (F.length(c["token"]) >= 6) & (c["left"] != "")).cast(rows)).otherwise(F.array().cast(rows))
+    return F.when(text.rlike("[0-9@]"), F.transform(located(text, CANDIDATE), shape).cast(rows)).otherwise(F.array().cast(rows))
 
 
-def learned_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, sure: float = SURE) -> tuple[DataFrame, DataFrame]:
-    """pattern, token, kind (null unless a seed) -> scored patterns (pattern, kind) and instances.
+def learned_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, sure: float = SURE, promoted: float = PROMOTED) -> tuple[DataFrame, DataFrame]:
+    """pattern, token, kind (null unless a seed) -> sure patterns (pattern, kind, confidence), and instances (token, kind, score).
 
-    Edges are distinct pairs of pattern and token, so frequent repeats weigh nothing, and a pattern's
-    or token's edges are summed map-side first. Patterns that too few seeds fill are left out before
-    the rounds: they could never be sure.
+    Edges are distinct pairs of pattern and token, so frequent repeats weigh nothing. All edges take
+    part in all rounds. Sums by pattern or token are partial first, and scores come back by a
+    broadcast while they are few, so a pattern that very many tokens fill is no task's load.
     """
-    edges = seen.groupBy("pattern", "token").agg(F.max("kind").alias("seed"))
-    supported = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("seeds"))
-    best = supported.groupBy("pattern").agg(F.max_by("seed", F.struct("seeds", "seed")).alias("kind"), F.max("seeds").alias("seeds")).where(F.col("seeds") >= least_seeds)
-    edges = cut(edges.join(best.select("pattern", "kind"), "pattern"))
-    scores = edges.select("token", "kind", (F.col("seed") == F.col("kind")).cast("double").alias("score")).groupBy("token", "kind").agg(F.max(missing(F.col("score"), 0.0)).alias("score"))
-    patterns = None
+    edges = cut(seen.groupBy("pattern", "token").agg(F.max("kind").alias("seed")))
+    degree = edges.groupBy("pattern").agg(F.count("*").alias("degree"))
+    seeds = small_side(cut(edges.where("seed is not null").groupBy("token").agg(F.max("seed").alias("kind"), F.lit(1.0).alias("score"))))
+    scores, patterns = seeds, None
     for _ in range(rounds):
-        own = edges.join(scores, ["token", "kind"])
-        # a seed of another kind counts against; one added instance without score keeps rare patterns low
-        patterns = cut(own.groupBy("pattern", "kind").agg((F.sum("score") / (F.count("*") + 0.1)).alias("confidence"), F.sum(F.when(F.col("seed") == F.col("kind"), 1).otherwise(0)).alias("seeds")))
-        back = edges.join(patterns.select("pattern", "confidence"), "pattern")
-        doubt = F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))
-        by_token = back.groupBy("token", "kind").agg(doubt.alias("doubt"), F.max("seed").alias("seed"))
-        # tokens that patterns alone vouch for count in proportion; other kinds' seeds never
-        scores = cut(by_token.select("token", "kind", F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed").isNotNull(), 0.0).otherwise((1 - F.col("doubt")) * F.lit(0.9)).alias("score")))
-    good = patterns.where((F.col("confidence") >= sure) & (F.col("seeds") >= least_seeds)).select("pattern", "kind", "confidence")
+        own = edges.select("pattern", "token").join(scores, "token")
+        by_kind = own.groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.sum((F.col("score") >= promoted).cast("long")).alias("support"))
+        best = by_kind.groupBy("pattern").agg(F.max_by(F.struct("kind", "score", "support"), F.struct("score", "support", "kind")).alias("b")).select("pattern", "b.*")
+        # one instance more, without score, keeps rare patterns low
+        patterns = cut(best.join(degree, "pattern").select("pattern", "kind", (F.col("score") / (F.col("degree") + 0.1)).alias("confidence"), "support"))
+        telling = small_side(cut(patterns.where(F.col("confidence") >= 0.5)))
+        back = edges.where("seed is null").join(telling, "pattern")
+        sound = (F.col("confidence") >= sure) & (F.col("support") >= least_seeds)
+        # a token of sure patterns is nearly sure itself; others vouch in proportion
+        trust = F.when(sound, F.lit(0.95)).otherwise(F.col("confidence") / 2)
+        mine = back.groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(1 - trust)))).alias("score"))
+        mine = mine.groupBy("token").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("b")).select("token", "b.*")
+        mine = mine.join(seeds.select("token"), "token", "left_anti")
+        scores = small_side(cut(seeds.union(mine.select("token", "kind", F.when(F.col("score") >= promoted, 1.0).otherwise(F.col("score")).alias("score")))))
+    good = patterns.where((F.col("confidence") >= sure) & (F.col("support") >= least_seeds)).select("pattern", "kind", "confidence")
     return good, scores
 
 
@@ -149,20 +176,23 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``base_sha256`` digests the spans of the four known forms, ``spans`` joins these and the ones that
     learned contexts add (with the kind of their context's seeds), each as kind:start:end in code
-    points. A learned span never overlaps a known one. Null counts as empty; repeated rows are marked
-    alike; an empty table gives no rows; other columns are ignored.
+    points. A learned span never overlaps a known one and has LEAST_LENGTH characters or more. A token
+    of a list, with no word between it and the token before, has the list's context; one at the start
+    of the text has that as its context. Null counts as empty; repeated rows are marked alike; an empty
+    table gives no rows; other columns are ignored.
     """
     text = missing(F.col(text_col), "")
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), base_spans(text).alias("base"), _candidates(text).alias("tokens"))
     rows = cut(rows)
-    # a token is a seed of the kind whose span it starts
-    held = rows.where(F.size("tokens") > 0)
-    token = held.select("row", "base", F.explode("tokens").alias("t"))
+    # a token is a seed of the kind whose span it overlaps
+    token = rows.where(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t"))
     inside = F.filter("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
-    token = cut(token.select("row", "t.start", "t.end", F.lower("t.token").alias("token"), F.element_at(F.split("t.left", " "), -1).alias("one"), F.col("t.left").alias("two"), F.try_element_at(inside, F.lit(1))["kind"].alias("kind")))
-    wide = token.select("row", "start", "end", "token", "kind", F.explode(F.array_distinct(F.array("one", "two"))).alias("pattern"))
+    token = token.select("row", "t.start", "t.end", F.lower("t.token").alias("token"), F.nullif(F.col("t.left"), F.lit("")).alias("left"), F.try_element_at(inside, F.lit(1))["kind"].alias("kind"))
+    before = F.last("left", ignorenulls=True).over(Window.partitionBy("row").orderBy("start"))
+    token = cut(token.withColumn("left", missing(before, "^")).where(F.length("token") >= LEAST_LENGTH))
+    wide = token.select("row", "start", "end", "token", "kind", F.explode(F.array_distinct(F.array(F.element_at(F.split("left", " "), -1), "left"))).alias("pattern"))
     good, _ = learned_patterns(wide, **options)
-    added = wide.where("kind is null").select("row", "start", "end", "pattern").join(small_side(good), "pattern")
+    added = wide.where("kind is null").select("row", "start", "end", "pattern").join(small_side(cut(good)), "pattern")
     added = added.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     number = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
     added = added.select("row", F.struct("start", number.alias("kind_no"), "kind", "end").alias("s")).groupBy("row").agg(F.collect_list("s").alias("more"))
