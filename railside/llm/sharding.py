@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from railside.llm.cluster import cut, drop_existing, missing, small_side
 
 #: Bytes of records in a bucket, about: several such buckets fit in an executor's memory.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
+#: What a row takes in a collected bucket besides its text, about: rows without text fill buckets too.
+ROW_BYTES = 256
 #: Bits of the fine cells from which buckets are put together once sizes are known.
 CELL_BITS = 18
 
@@ -36,24 +38,23 @@ def sharded(docs: DataFrame, size: Column, shards: int = 8, seed: int = 20, id_c
     input gives no rows.
     """
     docs = drop_existing(docs, "shard", "slot", "grown_shard")
-    key = F.col(id_col)
-    row = docs.select("*", size.cast("long").alias("_size"), F.monotonically_increasing_id().alias("_row"))
-    row = row.select("*", rendezvous(key, shards, seed).alias("shard"), rendezvous(key, shards + 1, seed).alias("grown_shard"))
-    spread = F.xxhash64(F.lit(seed + 1), key, F.col("_row"))
-    row = row.withColumn("_hash", spread).withColumn("_cell", F.shiftrightunsigned("_hash", 64 - CELL_BITS).cast("int"))
-    cells = cut(row.groupBy("shard", "_cell").agg(F.sum("_size").alias("bytes"), F.count("*").alias("n")))
-    total = cells.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(1, -(-total // (shards * bucket_bytes)))
-    bucket = F.shiftright(F.col("_cell").cast("long") * buckets, CELL_BITS).cast("int")
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.groupBy("shard", bucket.alias("_bucket")).agg(F.sum("n").alias("n")).select("shard", "_bucket", missing(F.sum("n").over(before), 0).alias("_start"))
+    # the record travels as one column, so that its names clash with none of ours
+    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), F.col(id_col).alias("key"), (size + ROW_BYTES).cast("long").alias("bytes"), F.monotonically_increasing_id().alias("row"))
+    row = row.select("*", rendezvous(F.col("key"), shards, seed).alias("shard"), rendezvous(F.col("key"), shards + 1, seed).alias("grown"), F.xxhash64(F.lit(seed + 1), "key", "row").alias("hash"))
+    row = row.drop("key").withColumn("cell", F.shiftrightunsigned("hash", 64 - CELL_BITS).cast("int"))
+    cells = cut(row.groupBy("shard", "cell").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")))
+    # each shard has as many buckets as its own bytes need
+    needs = {r["shard"]: max(1, -(-r["bytes"] // bucket_bytes)) for r in cells.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}  # a row a shard
+    buckets = F.element_at(F.array(*[F.lit(needs.get(k, 1)) for k in range(shards)]), F.col("shard") + 1)
+    bucket = F.shiftright(F.col("cell").cast("long") * buckets, CELL_BITS).cast("int")
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.groupBy("shard", bucket.alias("bucket")).agg(F.sum("n").alias("n")).select("shard", "bucket", missing(F.sum("n").over(before), 0).alias("start"))
     starts = small_side(cut(starts))
-    dealt = row.select(F.struct("_hash", "_row", *[F.col(c) for c in docs.columns], "grown_shard").alias("r"), "shard", bucket.alias("_bucket"))
-    dealt = dealt.repartition(shards * buckets, "shard", "_bucket")
-    filled = dealt.groupBy("shard", "_bucket").agg(F.sort_array(F.collect_list("r")).alias("rows")).sortWithinPartitions("shard", "_bucket")
-    mixed = filled.select("shard", "_bucket", F.posexplode(F.shuffle("rows", seed)).alias("_at", "r"))
-    out = mixed.join(starts, ["shard", "_bucket"])
-    return out.select(*[F.col("r")[c].alias(c) for c in docs.columns], F.col("shard").cast("int").alias("shard"), (F.col("_start") + F.col("_at")).cast("long").alias("slot"), F.col("r.grown_shard").cast("int").alias("grown_shard"))
+    dealt = row.select(F.struct("hash", "row", "r", "grown").alias("one"), "shard", bucket.alias("bucket")).repartition(sum(needs.values()) or 1, "shard", "bucket")
+    filled = dealt.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("one")).alias("rows")).sortWithinPartitions("shard", "bucket")
+    mixed = filled.select("shard", "bucket", F.posexplode(F.shuffle("rows", seed)).alias("at", "one"))
+    out = mixed.join(starts, ["shard", "bucket"])
+    return out.select(*[F.col("one.r")[c].alias(c) for c in docs.columns], F.col("shard").cast("int").alias("shard"), (F.col("start") + F.col("at")).cast("long").alias("slot"), F.col("one.grown").cast("int").alias("grown_shard"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
