@@ -6,6 +6,7 @@ Lineage is cut with reliable checkpoints in the folder that the session names in
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +21,11 @@ BROADCAST_ROWS = 500_000
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or LOCAL_FOLDER
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = LOCAL_FOLDER
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named

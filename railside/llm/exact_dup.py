@@ -24,53 +24,60 @@ QUOTIENT_BITS = 16
 
 
 class CountingQuotientFilter:
-    """Runs of sorted remainders by quotient; ``runs`` holds where each quotient's run ends."""
+    """Occupied quotients of one range with the lengths of their runs; sorted remainders and counts, run after run."""
 
-    def __init__(self, runs: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
-        self.runs, self.remainders, self.counts = runs, remainders, counts
+    def __init__(self, held: np.ndarray, lengths: np.ndarray, remainders: np.ndarray, counts: np.ndarray, range_bits: int):
+        self.held, self.lengths, self.remainders, self.counts, self.range_bits = held, lengths, remainders, counts, range_bits
 
     @classmethod
-    def of(cls, fingerprints: np.ndarray, counts: np.ndarray, range_bits: int) -> CountingQuotientFilter:
+    def _of_sorted(cls, own: np.ndarray, counts: np.ndarray, range_bits: int) -> CountingQuotientFilter:
+        """From sorted distinct fingerprints without the bits of their range."""
+        left = np.uint64(64 - range_bits - QUOTIENT_BITS)
+        quotient = own >> left
+        starts = np.flatnonzero(np.append(True, quotient[1:] != quotient[:-1])) if len(own) else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(starts, len(own)))
+        return cls(quotient[starts].astype(np.int32), lengths.astype(np.int32), own & ((np.uint64(1) << left) - np.uint64(1)), counts, range_bits)
+
+    @classmethod
+    def of(cls, fingerprints: np.ndarray, range_bits: int) -> CountingQuotientFilter:
         """From fingerprints (any order, repeats allowed) that share their first ``range_bits`` bits."""
-        order = np.argsort(fingerprints, kind="stable")
-        sorted_, counts = fingerprints[order], counts[order]
-        new = np.ones(len(sorted_), bool)
-        new[1:] = sorted_[1:] != sorted_[:-1]
-        starts = np.flatnonzero(new)
-        unique = sorted_[starts]
-        totals = np.add.reduceat(counts, starts) if len(starts) else counts
-        left = 64 - range_bits - QUOTIENT_BITS
-        quotient = (unique >> np.uint64(left)) & np.uint64((1 << QUOTIENT_BITS) - 1)
-        runs = np.searchsorted(quotient, np.arange(1, (1 << QUOTIENT_BITS) + 1, dtype=np.uint64))
-        return cls(runs.astype(np.int32), unique & np.uint64((1 << left) - 1), totals)
-
-    def fingerprints(self, range_index: int, range_bits: int) -> np.ndarray:
-        left = 64 - range_bits - QUOTIENT_BITS
-        lengths = np.diff(self.runs, prepend=0)
-        quotient = np.repeat(np.arange(1 << QUOTIENT_BITS, dtype=np.uint64), lengths)
-        high = np.uint64(range_index) << np.uint64(64 - range_bits) if range_bits else np.uint64(0)
-        return high | quotient << np.uint64(left) | self.remainders
+        own, counts = np.unique(fingerprints & np.uint64((1 << 64 - range_bits) - 1), return_counts=True)
+        return cls._of_sorted(own, counts.astype(np.int64), range_bits)
+
+    def local(self) -> np.ndarray:
+        """Sorted fingerprints without the bits of their range."""
+        left = np.uint64(64 - self.range_bits - QUOTIENT_BITS)
+        return np.repeat(self.held.astype(np.uint64), self.lengths) << left | self.remainders
+
+    def fingerprints(self, range_index: int) -> np.ndarray:
+        high = np.uint64(range_index) << np.uint64(64 - self.range_bits) if self.range_bits else np.uint64(0)
+        return high | self.local()
+
+    def merged(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """One filter with the counts of both: each of the other's remainders finds its place in the sorted ones."""
+        own, more = self.local(), other.local()
+        at = np.searchsorted(own, more)
+        same = own[np.minimum(at, len(own) - 1)] == more if len(own) else np.zeros(len(more), bool)
+        counts = self.counts.copy()
+        counts[at[same]] += other.counts[same]
+        return self._of_sorted(np.insert(own, at[~same], more[~same]), np.insert(counts, at[~same], other.counts[~same]), self.range_bits)
+
+    def row(self, name: int) -> tuple:
+        return name, self.held.tobytes(), self.lengths.tobytes(), self.remainders.tobytes(), self.counts.tobytes()
 
     @classmethod
-    def merged(cls, filters: list[CountingQuotientFilter], range_index: int, range_bits: int) -> CountingQuotientFilter:
-        """One filter with the counts of all; sorted remainders of a run meet in order."""
-        prints = np.concatenate([f.fingerprints(range_index, range_bits) for f in filters])
-        return cls.of(prints, np.concatenate([f.counts for f in filters]), range_bits)
+    def read(cls, held: bytes, lengths: bytes, remainders: bytes, counts: bytes, range_bits: int) -> CountingQuotientFilter:
+        return cls(np.frombuffer(held, np.int32), np.frombuffer(lengths, np.int32), np.frombuffer(remainders, np.uint64), np.frombuffer(counts, np.int64), range_bits)
 
 
-def _build(range_bits: int):
+def _build(range_bits: int, filter_size: int):
     """Partition of fingerprints -> its filters, one row for each quotient range that it meets."""
 
     def emit(prints: np.ndarray) -> pa.RecordBatch:
         prints.sort()
         part = prints >> np.uint64(64 - range_bits) if range_bits else np.zeros(len(prints), np.uint64)
         names, starts = np.unique(part, return_index=True)
-        rows = []
-        for name, own in zip(names, np.split(prints, starts[1:]), strict=True):
-            f = CountingQuotientFilter.of(own, np.ones(len(own), np.int64), range_bits)
-            lengths = np.diff(f.runs, prepend=0)
-            held = np.flatnonzero(lengths)
-            rows.append((int(name), held.astype(np.int32).tobytes(), lengths[held].astype(np.int32).tobytes(), f.remainders.tobytes(), f.counts.tobytes()))
+        rows = [CountingQuotientFilter.of(own, range_bits).row(int(name)) for name, own in zip(names, np.split(prints, starts[1:]), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 4], strict=True)], names=["range", "held", "lengths", "remainders", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +85,7 @@ def _build(range_bits: int):
         for batch in batches:
             waiting.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
             size += batch.num_rows
-            if size >= FILTER_SIZE:
+            if size >= filter_size:
                 yield emit(np.concatenate(waiting))
                 waiting, size = [], 0
         if size:
@@ -88,30 +95,33 @@ def _build(range_bits: int):
 
 
 def _merge(range_bits: int):
-    """Filters of one quotient range -> fingerprints whose merged count is above one."""
+    """Filters of one quotient range -> fingerprints whose merged count is above one.
+
+    Filters come in the compact form that they have in a row, about 20 bytes for each fingerprint of
+    the range, and are merged two by two.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        filters = []
-        for held, lengths, remainders, counts in zip(*(table[c].to_pylist() for c in ("held", "lengths", "remainders", "counts")), strict=True):
-            by = np.zeros(1 << QUOTIENT_BITS, np.int32)
-            by[np.frombuffer(held, np.int32)] = np.frombuffer(lengths, np.int32)
-            filters.append(CountingQuotientFilter(np.cumsum(by, dtype=np.int32), np.frombuffer(remainders, np.uint64), np.frombuffer(counts, np.int64)))
-        name = table["range"][0].as_py()
-        whole = CountingQuotientFilter.merged(filters, name, range_bits)
-        again = whole.fingerprints(name, range_bits)[whole.counts > 1]
+        columns = [table[c] for c in ("held", "lengths", "remainders", "counts")]
+        filters = [CountingQuotientFilter.read(*(c[i].as_py() for c in columns), range_bits) for i in range(table.num_rows)]
+        while len(filters) > 1:
+            pairs = [filters[i].merged(filters[i + 1]) for i in range(0, len(filters) - 1, 2)]
+            filters = pairs + filters[2 * len(pairs) :]
+        again = filters[0].fingerprints(table["range"][0].as_py())[filters[0].counts > 1]
         return pa.table({"fp": pa.array(again.view(np.int64), pa.int64())})
 
     return run
 
 
-def repeated_fingerprints(prints: DataFrame, column: str = "fp") -> DataFrame:
+def repeated_fingerprints(prints: DataFrame, column: str = "fp", filter_size: int = FILTER_SIZE) -> DataFrame:
     """Distinct values of a long column that occur more than once, by merged quotient filters.
 
-    An empty table gives an empty one; nulls are ignored.
+    Ranges are so many that each has about ``filter_size`` values at most. An empty table gives an
+    empty one; nulls are ignored.
     """
     prints = prints.select(F.col(column).alias("fp")).where(F.col("fp").isNotNull())
-    range_bits = max(0, (prints.count() // FILTER_SIZE).bit_length())
-    filters = prints.mapInArrow(_build(range_bits), "range long, held binary, lengths binary, remainders binary, counts binary")
+    range_bits = max(0, (prints.count() // filter_size).bit_length())
+    filters = prints.mapInArrow(_build(range_bits, filter_size), "range long, held binary, lengths binary, remainders binary, counts binary")
     return filters.groupBy("range").applyInArrow(_merge(range_bits), "fp long")
 
 

@@ -184,12 +184,16 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = missing(F.col(text_col), "")
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), base_spans(text).alias("base"), _candidates(text).alias("tokens"))
     rows = cut(rows)
-    # a token is a seed of the kind whose span it overlaps
-    token = rows.where(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t"))
-    inside = F.filter("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
-    token = token.select("row", "t.start", "t.end", F.lower("t.token").alias("token"), F.nullif(F.col("t.left"), F.lit("")).alias("left"), F.try_element_at(inside, F.lit(1))["kind"].alias("kind"))
-    before = F.last("left", ignorenulls=True).over(Window.partitionBy("row").orderBy("start"))
-    token = cut(token.withColumn("left", missing(before, "^")).where(F.length("token") >= LEAST_LENGTH))
+    # a token is a seed of the kind whose span it overlaps: of the spans that start before its end, the one that reaches furthest
+    event = "array<struct<pos:int,what:int,start:int,end:int,token:string,left:string,kind:string>>"
+    none = F.lit(None).cast("string")
+    tokens = F.transform("tokens", lambda t: F.struct(t["end"].alias("pos"), F.lit(0).alias("what"), t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("token"), t["left"].alias("left"), none.alias("kind"))).cast(event)
+    spans = F.transform("base", lambda b: F.struct(b["start"].alias("pos"), F.lit(1).alias("what"), b["start"].alias("start"), b["end"].alias("end"), none.alias("token"), none.alias("left"), b["kind"].alias("kind"))).cast(event)
+    events = rows.where(F.size("tokens") > 0).select("row", F.inline(F.concat(tokens, spans)))
+    before = Window.partitionBy("row").orderBy("pos", "what", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach, left = F.max(F.when(F.col("what") == 1, F.struct("end", "kind"))).over(before), F.last(F.nullif(F.col("left"), F.lit("")), ignorenulls=True).over(before)
+    token = events.select("*", reach.alias("reach"), left.alias("context")).where((F.col("what") == 0) & (F.length("token") >= LEAST_LENGTH))
+    token = cut(token.select("row", "start", "end", F.lower("token").alias("token"), missing(F.col("context"), "^").alias("left"), F.when(F.col("reach.end") > F.col("start"), F.col("reach.kind")).alias("kind")))
     wide = token.select("row", "start", "end", "token", "kind", F.explode(F.array_distinct(F.array(F.element_at(F.split("left", " "), -1), "left"))).alias("pattern"))
     good, _ = learned_patterns(wide, **options)
     added = wide.where("kind is null").select("row", "start", "end", "pattern").join(small_side(cut(good)), "pattern")
