@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from railside.plans.racing import Racing
+from railside.plans.scratch import scratch
 from railside.registry import racing_query
 
 #: new: the new value; fill: the new one unless null; old: the old one stays.
@@ -59,7 +60,11 @@ def new_dimension_rows(r: Racing) -> DataFrame:
     """
     known = r.horses.where("horse_id % 2 = 0").select(F.col("horse_id").alias("id"), F.col("horse_name").alias("name"))
     names = r.horses.select(F.col("horse_name").alias("name")).distinct().join(known.select("name"), "name", "left_anti")
-    parts = names.repartitionByRange("name").select("name", F.spark_partition_id().alias("p"))
+    spark = r.horses.sparkSession
+    path = scratch(spark, "names")
+    # written, so that both readers see each name in the same part
+    names.repartitionByRange("name").select("name", F.spark_partition_id().alias("p")).write.parquet(path)
+    parts = spark.read.parquet(path)
     ranked = parts.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("name")))
     counts = ranked.groupBy("p").agg(F.max("i").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "before")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,5 +12,9 @@ LOCAL_FOLDER = "/tmp/checkpoints/railside"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = LOCAL_FOLDER
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
