@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
