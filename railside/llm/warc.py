@@ -5,7 +5,9 @@ names of the fields of later header lines. Records follow: a header line, as man
 declares, a line feed. The converter reads header lines by the version's field names and bodies by
 declared length, and gives each record what WARC asks for: a record id, an ISO timestamp, a type and
 digests. Archives are written by Spark's text writer (whole records, committed by task) and read
-back as binary files, again by declared lengths.
+back as binary files, again by declared lengths. Each record is a gzip member of its own, so that
+other readers can seek to it; a file begins with a warcinfo record. (The text writer names files
+``part-*.txt``; they hold what a ``.warc.gz`` file holds.)
 """
 
 from __future__ import annotations
@@ -18,13 +20,16 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railside.llm.cluster import cut, scratch_path, small_side
+from railside.llm.cluster import cut, scratch_path
 
 #: Bytes of one archive, about.
 ARCHIVE_BYTES = 8 << 20
+#: Bytes of the table of repeated payloads that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 #: Field names of ARC header lines by version.
 FIELDS = {
@@ -117,11 +122,11 @@ def _to_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(parts)], pa.binary())], names=["name", "content"])
 
     k, parts, size = 0, [], 0
-    name = ""
+    name, task = "", TaskContext.get().partitionId()
     for batch in batches:
         for page_id, url, html in zip(*(batch.column(i) for i in range(3)), strict=True):
             if not parts:
-                version, name = 1 + k % 2, f"pages-{k:05d}.arc"
+                version, name = 1 + k % 2, f"pages-{task:05d}-{k:05d}.arc"
                 parts = [arc_version_block(name, version)]
                 size = len(parts[0])
             payload = html.as_buffer().to_pybytes() if html.is_valid else b""
@@ -172,12 +177,23 @@ def arc_records(archives: DataFrame, content_col: str = "content") -> DataFrame:
     return archives.select(content_col).mapInArrow(_from_arc, RECORD)
 
 
-def _warc_text(record: dict, first: int | None, revisit: bool) -> bytes:
+def _warc(lines: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _warc_info(record: dict, task: int) -> bytes:
+    """The record that a file begins with, dated as the first of those that follow."""
+    rid = record_id("warcinfo", record["captured"], record["digest"], task)
+    block = b"software: railside\r\nformat: WARC File Format 1.1\r\n"
+    return _warc(["WARC-Type: warcinfo", f"WARC-Record-ID: {rid}", f"WARC-Date: {timestamp(record['captured'])}", "Content-Type: application/warc-fields"], block)
+
+
+def _warc_text(record: dict, first: dict | None) -> bytes:
+    """A record, as a revisit of ``first`` (page_id, url, captured of the same payload's response) if it is given."""
     rid = record_id(record["url"], record["captured"], record["digest"], record["page_id"])
-    block = record["head"] if revisit else record["head"] + record["payload"]
-    kind = "revisit" if revisit else "response" if record["head"] else "resource"
+    block = record["head"] if first else record["head"] + record["payload"]
+    kind = "revisit" if first else "response" if record["head"] else "resource"
     lines = [
-        "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {rid}",
         f"WARC-Date: {timestamp(record['captured'])}",
@@ -186,48 +202,70 @@ def _warc_text(record: dict, first: int | None, revisit: bool) -> bytes:
         f"WARC-Payload-Digest: sha1:{record['digest']}",
         f"WARC-Block-Digest: sha1:{digest_of(block)}",
         f"Content-Type: {'application/http; msgtype=response' if record['head'] else record['mime']}",
-        f"Content-Length: {len(block)}",
     ]
-    if revisit:
-        lines[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {first}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n"
+    if first:
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_id(first['url'], first['captured'], record['digest'], first['page_id'])}",
+            f"WARC-Refers-To-Target-URI: {first['url']}",
+            f"WARC-Refers-To-Date: {timestamp(first['captured'])}",
+            f"WARC-Refers-To-Page: {first['page_id']}",
+        ]
+    return _warc(lines, block)
+
+
+def _member(data: bytes) -> bytes:
+    """A gzip member without its last byte, a zero, which the writer adds as its line end.
+
+    A member ends with its size in four bytes, low byte first: the last one is zero below 16 MB. A
+    larger one is followed by an empty member.
+    """
+    packed = gzip.compress(data, 6, mtime=0)
+    if packed[-1]:
+        packed += gzip.compress(b"", mtime=0)
+    return packed[:-1]
 
 
 def _write_form(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("value", pa.binary())])
+        schema, task = pa.schema([("value", pa.binary())]), TaskContext.get().partitionId()
 
-        def rows() -> Iterator[tuple[int, dict]]:
+        def texts() -> Iterator[bytes]:
+            empty = True
             for batch in batches:
                 for i in range(batch.num_rows):
                     r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                    first = r.pop("first_id")
-                    again = first is not None and r["page_id"] != first and r["n_bytes"] >= least
-                    text = _warc_text(r, first, again)
-                    yield len(text), {"value": text}
+                    if empty:
+                        yield _warc_info(r, task)
+                        empty = False
+                    first = r.pop("first")
+                    again = first is not None and r["page_id"] not in (None, first["page_id"]) and r["n_bytes"] >= least
+                    yield _warc_text(r, first if again else None)
 
-        yield from _rows(schema, rows())
+        yield from _rows(schema, ((len(m), {"value": m}) for m in map(_member, texts())))
 
     return run
 
 
 def write_warc(records: DataFrame, path: str, least: int = 0) -> None:
-    """Write WARC files from ``arc_records`` rows, compressed.
+    """Write WARC files from ``arc_records`` rows, each record compressed by itself.
 
     Of records with equal payloads of at least ``least`` bytes, that with the smallest page id is the
-    response and others revisit it. Payloads are equal when length and SHA-1 are. A record without a
-    page id is always a response.
+    response and others revisit it, naming its record id, URL, date and page. Payloads are equal when
+    length and SHA-1 are. A record without a page id is always a response. The rows are computed twice:
+    for the digests, and to be written; a copy kept in between would cost as much disk as the archives.
     """
-    sums = records.select("digest", "n_bytes", "page_id").groupBy("digest", "n_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    whose = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "captured"))
+    sums = records.select("digest", "n_bytes", whose.alias("whose")).groupBy("digest", "n_bytes").agg(F.min("whose").alias("first"), F.count("*").alias("n"))
     sums = cut(sums)
     total = sums.agg(F.sum(F.col("n") * (F.col("n_bytes") + 600))).first()[0] or 0
-    again = small_side(cut(sums.where("n > 1").select("digest", "n_bytes", "first_id")))
-    known = records.join(again, ["digest", "n_bytes"], "left")
-    known = known.withColumn("first_id", F.when(F.col("page_id").isNotNull(), F.col("first_id")))
+    again = cut(sums.where("n > 1").select("digest", "n_bytes", "first"))
+    width = again.agg(F.sum(120 + F.coalesce(F.octet_length("first.url"), F.lit(0)))).first()[0] or 0
+    known = records.join(F.broadcast(again) if width <= BROADCAST_BYTES else again, ["digest", "n_bytes"], "left")
     files = max(1, -(-total // ARCHIVE_BYTES))
     dealt = known.repartition(files, F.xxhash64("page_id", "url", "digest"))
-    texts = dealt.mapInArrow(_write_form(least), "value binary").select(F.col("value").cast("string").alias("value"))
-    texts.write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    members = dealt.mapInArrow(_write_form(least), "value binary").select(F.col("value").cast("string").alias("value"))
+    members.write.option("lineSep", "\0").option("compression", "none").text(path)
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -264,6 +302,8 @@ def _read_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 for header, block in read_warc(data):
                     kind = header["warc-type"]
+                    if kind == "warcinfo":
+                        continue
                     head, mark, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
                     own, told = _head_value(head + mark, b"X-Page-Id"), _head_value(head + mark, b"Content-Length")
                     named = header["warc-payload-digest"].partition(":")[2]
