@@ -17,7 +17,9 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -291,6 +293,20 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
+def _members(data: bytes, piece: int = 4096) -> Iterator[bytes]:
+    """What each gzip member holds. Bytes go in by pieces, so that no member copies all that follow it."""
+    at, parts, member = 0, [], zlib.decompressobj(31)
+    while at < len(data):
+        given = data[at : at + piece]
+        parts.append(member.decompress(given))
+        at += len(given) - len(member.unused_data)
+        if member.eof:
+            yield b"".join(parts)
+            parts, member = [], zlib.decompressobj(31)
+    if parts:
+        raise ValueError("the archive ends within a gzip member")
+
+
 _BACK = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("warc_date", pa.string()), ("target_uri", pa.string())])
 
 
@@ -299,8 +315,8 @@ def _read_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                for header, block in read_warc(data):
+                members = _members(data) if data[:2] == b"\x1f\x8b" else [data]
+                for header, block in chain.from_iterable(map(read_warc, members)):
                     kind = header["warc-type"]
                     if kind == "warcinfo":
                         continue
