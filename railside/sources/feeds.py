@@ -50,6 +50,22 @@ def days_covered(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return file_ranges(spark, path, kind).select(kind, F.explode(F.sequence("first", "last")).alias("day"))
 
 
+def file_index(spark: SparkSession, path: str, needed: list[str], least: int = 3) -> DataFrame:
+    """(file, day, n) of the CSV files named with a day that have the needed columns and ``least`` rows or more.
+
+    A file may be a folder of parts, each with its header. Names are told from paths, columns from
+    header lines: lines of which the fields hold all the needed names.
+    """
+    name = F.regexp_extract("_metadata.file_path", r"([^/=]*\d{4}_\d{2}_\d{2}[^/=]*\.csv)(?:/[^/]*)?$", 1)
+    lines = spark.read.text(path).select(name.alias("file"), "value").where("file <> ''")
+    fields = F.split(F.regexp_replace("value", '"', ""), ",")
+    is_header = F.col("value").contains(needed[0])
+    for c in needed:
+        is_header &= F.array_contains(fields, c)
+    files = lines.groupBy("file").agg(F.count_if(~is_header).alias("n"), F.bool_or(is_header).alias("complete")).where(F.col("complete") & (F.col("n") >= least))
+    return files.select("file", F.to_date(F.regexp_extract("file", r"(\d{4}_\d{2}_\d{2})", 1), "yyyy_MM_dd").alias("day"), "n")
+
+
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BOOK).json(path)
 

@@ -90,9 +90,17 @@ def month_results(r: Racing) -> DataFrame:
     return rows.join(rows.groupBy("race_id").agg(F.count("*").alias("ran")), "race_id")
 
 
-@racing_query("src_bf_index", "SELECT race_id, count(*) AS n FROM runners GROUP BY 1 HAVING count(*) >= 3")
+@racing_query("src_bf_index", "SELECT concat('prices_', strftime(date_trunc('week', race_date), '%Y_%m_%d'), '.csv') AS file, CAST(date_trunc('week', race_date) AS DATE) AS day, count(*) AS n FROM runners JOIN races USING (race_id) WHERE day(date_trunc('week', race_date)) % 5 <> 0 GROUP BY 1, 2 HAVING count(*) >= 3")
 def price_index(r: Racing, least: int = 3) -> DataFrame:
-    return r.runners.groupBy("race_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    """Price files of weeks, told by their names; in every fifth a column is missing, so that it is left out."""
+    spark, path = r.races.sparkSession, scratch(r.races.sparkSession, "price_index")
+    week = F.date_trunc("week", "race_date").cast("date")
+    weeks = r.races.select("race_id", week.alias("week"), F.concat(F.lit("prices_"), F.date_format(week, "yyyy_MM_dd"), F.lit(".csv")).alias("file"))
+    rows = r.runners.select("race_id", "num").join(weeks, "race_id")
+    for condition, column in (("day(week) % 5 <> 0", "bsp"), ("day(week) % 5 = 0", "price")):
+        own = rows.where(condition).select("file", F.col("race_id").alias("event_id"), F.col("num").alias("selection_id"), F.lit("2.5").alias(column))
+        own.repartition("file").write.mode("append").partitionBy("file").option("header", True).csv(path)
+    return feeds.file_index(spark, path, ["event_id", "selection_id", "bsp"], least)
 
 
 @racing_query("sink_master_csv", "SELECT race_id, race_type FROM races WHERE race_id % 3 <> 2")

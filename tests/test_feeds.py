@@ -27,3 +27,15 @@ def test_file_names_tell_the_days(spark, tmp_path):
     assert days == {("Flat", date(2024, 2, 27)), ("Flat", date(2024, 2, 28)), ("Flat", date(2024, 2, 29)), ("Flat", date(2024, 3, 1)), ("Chase", date(2024, 1, 1)), ("Chase", date(2024, 1, 2))}
     latest = feeds.file_ranges(spark, str(tmp_path), "race_type").groupBy("race_type").agg({"last": "max"}).collect()
     assert sorted(map(tuple, latest)) == [("Chase", date(2024, 1, 2)), ("Flat", date(2024, 3, 1))]
+
+
+def test_price_files_with_the_columns_and_enough_rows(spark, tmp_path):
+    head = "event_id,\"bsp\",extra\n"
+    _write(tmp_path / "uk_2024_01_05.csv", head + "1,2.5,\n" * 3)
+    _write(tmp_path / "uk_2024_01_06.csv", head + "1,2.5,\n" * 2)
+    _write(tmp_path / "uk_2024_01_07.csv", "event_id,price\n" + "1,2.5\n" * 9)
+    _write(tmp_path / "notes.csv", head + "1,2.5,\n" * 9)
+    _write(tmp_path / "file=ie_2024_01_08.csv" / "part-0.csv", head + "1,2.5,\n" * 2)
+    _write(tmp_path / "file=ie_2024_01_08.csv" / "part-1.csv", head + "1,2.5,\n" * 2)
+    files = feeds.file_index(spark.newSession(), f"{tmp_path}/*", ["event_id", "bsp"])
+    assert sorted(map(tuple, files.collect())) == [("ie_2024_01_08.csv", date(2024, 1, 8), 4), ("uk_2024_01_05.csv", date(2024, 1, 5), 3)]
