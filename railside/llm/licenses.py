@@ -27,11 +27,13 @@ TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+        'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -41,7 +43,11 @@ TEMPLATES = {
     "LGPL-3.0": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "AGPL-3.0": ["under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
@@ -106,7 +112,8 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     """One row per document row: id, n_matches, licenses, matches.
 
     ``licenses`` joins the identifiers found, sorted, by commas; ``matches`` names each verified
-    template as identifier:template:first word. Words are runs of ASCII letters and digits, lowered;
+    occurrence of a template as identifier:template:first word (near it, by at most a quarter of the
+    template's length); occurrences of one template do not overlap. Words are runs of ASCII letters and digits, lowered;
     shingles have ``k`` words, and ``containment`` of a template's must stand within a window of its
     length and a half. Null and empty texts match nothing; repeated rows match alike; an empty table
     gives no rows; other columns are ignored.
@@ -131,8 +138,14 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     banded = small_side(cut(known.select("license", "template_no", "m", "shingles", F.explode(_bands(F.col("shingles"))).alias("key"))))
     retrieved = keyed.join(banded, ["m", "key"])
     found = retrieved.where(F.size(F.array_intersect("around", "shingles")) >= F.lit(containment) * F.col("m"))
-    # of overlapping windows of one template, the first
-    found = found.groupBy("row", "license", "template_no").agg(F.min("start").alias("start"))
+    # of overlapping windows of one template, the first: by position, those a template's length beyond the last one taken
+    none = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("taken"))
+
+    def take(acc: Column, at: Column) -> Column:
+        return F.when(acc["last"].isNull() | (at >= acc["last"] + F.col("m")), F.struct(at.alias("last"), F.concat(acc["taken"], F.array(at)).alias("taken"))).otherwise(acc)
+
+    found = found.groupBy("row", "license", "template_no", "m").agg(F.sort_array(F.collect_set(F.col("start").cast("int"))).alias("starts"))
+    found = found.select("row", "license", "template_no", F.explode(F.aggregate("starts", none, take)["taken"]).alias("start"))
     found = found.groupBy("row").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "license", "template_no", "start"))), ",").alias("matches"))
     found = small_side(cut(found.withColumnRenamed("row", "own")))
     out = rows.select("id", "row").join(found, F.col("row") == F.col("own"), "left")
