@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from railside.llm.decontam import contamination
 from railside.llm.exact_dup import exact_duplicates
+from railside.llm.fim import fill_in_middle_digest
 from railside.llm.language_model import language_model_scores
 from railside.llm.licenses import license_scan
 from railside.llm.mixing import mix_plan
 from railside.llm.near_dup import near_duplicates
+from railside.llm.pieces import piece_digest
 from railside.llm.pii import personal_data
 from railside.llm.quality import quality_scores
 from railside.llm.sharding import shard_digest
+from railside.llm.vector_codes import vector_codes
 from railside.llm.warc import convert_pages
 
 
@@ -61,11 +64,69 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_warc, op4_licenses, op5_language_model, op6_exact_duplicates, op7_decontamination, op8_personal_data, op9_quality, op10_sharding)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_warc, op4_licenses, op5_language_model, op6_exact_duplicates, op7_decontamination, op8_personal_data, op9_quality, op10_sharding, op11_fill_in_middle, op12_vector_codes, op13_sentence_pieces)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Product quantisation in whole numbers: a row for each component, entry distances by grouping."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS MATERIALIZED (
+  SELECT x.r, x.part, b.entry, CAST(sum((x.v - b.v) * (x.v - b.v)) AS BIGINT) AS d FROM x JOIN b{k} b USING (part, place) GROUP BY 1, 2, 3
+), a{k} AS MATERIALIZED (SELECT r, part, arg_min(entry, struct_pack(d := d, e := entry)) AS entry, min(d) AS d FROM d{k} GROUP BY 1, 2)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.place, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN (
+    SELECT x.part, a.entry, x.place, CAST(sum(x.v) - (sum(x.v) % count(*) + count(*)) % count(*) AS BIGINT) // count(*) AS v
+    FROM x JOIN a{k} a USING (r, part) GROUP BY 1, 2, 3
+  ) m USING (part, entry, place))""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, embedding AS e, row_number() OVER (ORDER BY vec_id NULLS LAST) AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), x AS MATERIALIZED (
+  SELECT r, (i - 1) // (len(e) // {parts}) AS part, (i - 1) % (len(e) // {parts}) AS place, CAST(floor(256 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS v
+  FROM (SELECT r, e, unnest(range(1, len(e) + 1)) AS i FROM k)
+), b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, place, v FROM x WHERE r <= {entries}),
+{", ".join(steps)},
+o AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, place)) FROM b{rounds}) AS codebooks_sha256
+FROM k JOIN o USING (r)"""
+
+
 ORACLES = {
+    "op11_fill_in_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS ws, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT *, len(ws) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN s = '' OR contains(s, '<P>') OR contains(s, '<S>') OR contains(s, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+  SELECT *, CASE WHEN a > 0 THEN array_to_string(ws[1:a], '') ELSE '' END AS pre, CASE WHEN b > a THEN array_to_string(ws[a + 1:b], '') ELSE '' END AS mid, CASE WHEN n > b THEN array_to_string(ws[b + 1:n], '') ELSE '' END AS suf FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN s WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(s) AS restored_sha256
+FROM p""",
+    "op12_vector_codes": _codes_sql(),
     "op2_near_duplicates": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
