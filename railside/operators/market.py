@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railside.functions.columns import buckets, count_where, mean, rate
+from railside.plans.months import MonthStore
 from railside.plans.racing import Racing
 from railside.registry import racing_query
 
@@ -102,7 +103,8 @@ ORDER BY round(abs(win_ppmax - win_bsp) / win_ppmax, 6) DESC, race_id, num, hors
 def market_movers(r: Racing, date_from: str, date_to: str, min_move: float = 20, kind: str = "all", limit: int = 100) -> DataFrame:
     """Largest moves from the morning price; steamers shorten, drifters lengthen. Ties by race and runner."""
     size = F.abs(F.col("win_ppmax") - F.col("win_bsp")) / F.col("win_ppmax")
-    rows = starred(r, dated(r, date_from, date_to)).where((F.col("win_ppmax") > 0) & (F.col("win_bsp") > 0) & (F.col("win_ppmax") != F.col("win_bsp")))
+    r = MonthStore(r).between(r, date_from, date_to)
+    rows = starred(r, r.races).where((F.col("win_ppmax") > 0) & (F.col("win_bsp") > 0) & (F.col("win_ppmax") != F.col("win_bsp")))
     rows = rows.where(size >= min_move / 100)
     if kind == "steamer":
         rows = rows.where("win_bsp < win_ppmax")
@@ -125,7 +127,8 @@ ORDER BY round((win_ppmax - win_ppmin) / win_ppmin, 6) DESC, race_id, num, horse
 def market_movers_range(r: Racing, date_from: str, date_to: str, least: float = 0.2, volume: float = 1_000_000, limit: int = 100) -> DataFrame:
     """Widest pre-off ranges among well traded runners, with the drift from the low to the off."""
     width = (F.col("win_ppmax") - F.col("win_ppmin")) / F.col("win_ppmin")
-    rows = r.runners.join(dated(r, date_from, date_to), "race_id").join(r.horses, "horse_id")
+    r = MonthStore(r).between(r, date_from, date_to)
+    rows = r.runners.join(r.races, "race_id").join(r.horses, "horse_id")
     rows = rows.where((F.col("win_ppmin") > 0) & (F.col("win_ppmax") > F.col("win_ppmin")) & (F.col("pre_vol") >= volume) & (width >= least))
     rows = rows.withColumn("w", F.round(width, 6)).orderBy(F.desc("w"), *_ORDER).limit(limit)
     return rows.select("race_id", "horse_name", F.round(width, 4).alias("price_range"), F.round(percent_move("win_bsp", "win_ppmin"), 4).alias("drift_pct"), F.round("pre_vol", 2).alias("volume"))
@@ -145,7 +148,8 @@ ORDER BY round(abs(ru.win_ipmax - ru.win_bsp) / ru.win_bsp, 6) DESC, race_id, nu
 def inplay_moves(r: Racing, date_from: str, date_to: str, min_move: float = 20, limit: int = 100) -> DataFrame:
     """In-play lows and highs that left the starting price by more than ``min_move`` percent."""
     low, high = percent_move("win_ipmin", "win_bsp"), percent_move("win_ipmax", "win_bsp")
-    rows = starred(r, dated(r, date_from, date_to)).where((F.col("win_bsp") > 0) & ((F.col("win_ipmin") > 0) | (F.col("win_ipmax") > 0)))
+    r = MonthStore(r).between(r, date_from, date_to)
+    rows = starred(r, r.races).where((F.col("win_bsp") > 0) & ((F.col("win_ipmin") > 0) | (F.col("win_ipmax") > 0)))
     rows = rows.where((F.abs(low) > min_move) | (F.abs(high) > min_move))
     rows = rows.withColumn("size", F.round(F.abs(F.col("win_ipmax") - F.col("win_bsp")) / F.col("win_bsp"), 6)).orderBy(F.desc_nulls_last("size"), *_ORDER).limit(limit)
     return rows.select("race_id", "race_date", "course_name", "horse_name", F.round("win_bsp", 4).alias("win_bsp"), F.round("win_ipmin", 4).alias("ip_low"), F.round("win_ipmax", 4).alias("ip_high"), F.round(low, 4).alias("surge_pct"), F.round(high, 4).alias("collapse_pct"), "win_flag", "pos_num")
@@ -162,7 +166,8 @@ ORDER BY round(win_ipmax - win_ipmin, 6) DESC NULLS LAST, race_id, num, horse_id
 )
 def inplay_swing(r: Racing, date_from: str, date_to: str, least: float = 10, limit: int = 50) -> DataFrame:
     """Widest in-play ranges."""
-    rows = r.runners.join(dated(r, date_from, date_to), "race_id").join(r.horses, "horse_id").withColumn("width", F.col("win_ipmax") - F.col("win_ipmin"))
+    r = MonthStore(r).between(r, date_from, date_to)
+    rows = r.runners.join(r.races, "race_id").join(r.horses, "horse_id").withColumn("width", F.col("win_ipmax") - F.col("win_ipmin"))
     rows = rows.where(F.col("width") >= least).withColumn("w", F.round("width", 6)).orderBy(F.desc_nulls_last("w"), "race_id", "num", "horse_id").limit(limit)
     return rows.select("race_id", "horse_name", F.round("width", 4).alias("swing"), "pos_num")
 

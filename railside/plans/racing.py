@@ -7,8 +7,8 @@ customer a jockey and an owner, a nation a course. The same select lists serve S
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cached_property
+from collections.abc import Callable
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,9 +70,12 @@ def with_racing(sql: str) -> str:
     return f"WITH {VIEWS_SQL},\n{sql[4:]}" if sql[:5].upper().split()[0] == "WITH" else f"WITH {VIEWS_SQL}\n{sql}"
 
 
-@dataclass
 class Racing:
-    """Facts and dimensions; dimensions are small and joined by broadcast where Spark finds them so."""
+    """Facts and dimensions; dimensions are small and joined by broadcast where Spark finds them so.
+
+    Each is a frame, or a function that gives it when it is first asked for: a report opens the
+    tables that it reads and no others.
+    """
 
     races: DataFrame
     runners: DataFrame
@@ -82,11 +85,31 @@ class Racing:
     owners: DataFrame
     courses: DataFrame
 
+    def __init__(self, spark: SparkSession, paths: dict[str, str] | None = None, **frames: DataFrame | Callable[[], DataFrame]):
+        self.spark, self.paths, self._frames = spark, paths or {}, frames
+
+    def __getattr__(self, name: str) -> DataFrame:
+        frame = self.__dict__.get("_frames", {}).get(name)
+        if frame is None:
+            raise AttributeError(name)
+        frame = frame if isinstance(frame, DataFrame) else frame()
+        setattr(self, name, frame)
+        return frame
+
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> Racing:
-        return cls(**{name: spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns) for name, (table, columns) in _VIEWS.items()})
+        paths = {name: f"{sf_dir}/{table}.parquet" for name, (table, _) in _VIEWS.items()}
+        return cls(spark, paths, **{name: partial(_view, spark, paths[name], columns) for name, (_, columns) in _VIEWS.items()})
+
+    def having(self, **frames: DataFrame) -> Racing:
+        """The same warehouse with other frames for some of its tables."""
+        return Racing(self.spark, {n: p for n, p in self.paths.items() if n not in frames}, **{**self._frames, **frames})
 
     @cached_property
     def base(self) -> DataFrame:
         """Each runner with its race: the snapshot that profile queries read."""
         return self.runners.join(self.races, "race_id")
+
+
+def _view(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    return spark.read.parquet(path).selectExpr(*columns)

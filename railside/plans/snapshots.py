@@ -34,6 +34,13 @@ class Files:
         at = self.path(folder)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
 
+    def under(self, path: str) -> list:
+        """The state of a file, or of all files below a folder."""
+        found, left = [], self.fs.listFiles(self.jvm.org.apache.hadoop.fs.Path(path), True)
+        while left.hasNext():
+            found.append(left.next())
+        return found
+
     def text(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
         try:
