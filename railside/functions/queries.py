@@ -104,6 +104,7 @@ scalar("race_class", "CASE k % 8 WHEN 1 THEN 'Class 3' WHEN 3 THEN 'Class 4' WHE
 scalar("race_pattern", "CASE k % 8 WHEN 0 THEN 'Group 1' WHEN 2 THEN 'Listed' WHEN 4 THEN 'Grade Ii' ELSE '' END", lambda: R.race_pattern(c("race")))
 scalar("sex_restriction", "CASE k % 8 WHEN 2 THEN 'F & M' WHEN 5 THEN 'M' WHEN 6 THEN 'C & G' ELSE '' END", lambda: R.sex_restriction(c("race")))
 scalar("race_bands", "CASE WHEN k % 2 = 0 THEN concat(2 + k % 4, 'yo+|0-', k % 100) ELSE '3yo|' END", lambda: F.concat_ws("|", *R.bands(F.when(c("k") % 2 == 0, F.concat(F.lit("("), (2 + c("k") % 4).cast("string"), F.lit("yo+, 0-"), (c("k") % 100).cast("string"), F.lit(")"))).otherwise("(3yo)"))))
+scalar("race_type_pages", "CASE WHEN k % 5 = 0 AND k % 8 <> 4 THEN 'Flat' WHEN k % 3 = 0 THEN 'Hurdle' WHEN k % 3 = 1 THEN 'Chase' WHEN distance_m < 2400 THEN 'Flat' WHEN k % 8 = 1 THEN 'Hurdle' WHEN k % 8 = 3 THEN 'Chase' WHEN k % 8 = 4 THEN 'NH Flat' ELSE 'Flat' END", lambda: R.race_type(c("race"), c("distance_m"), F.when(c("k") % 5 == 0, "flat"), F.when(c("k") % 3 == 0, "8 Hurdles").when(c("k") % 3 == 1, "12 fences")))
 scalar("race_type", "CASE WHEN distance_m < 2400 THEN 'Flat' WHEN k % 8 = 1 THEN 'Hurdle' WHEN k % 8 = 3 THEN 'Chase' WHEN k % 8 = 4 THEN 'NH Flat' ELSE 'Flat' END", lambda: R.race_type(c("race"), c("distance_m")))
 scalar("non_completion", "CASE WHEN pos IN ('1', '12', 'DSQ') THEN price END", lambda: R.completed(c("pos"), c("price")))
 scalar("microstructure", "concat_ws('|', round(price * 0.5, 4)::VARCHAR, CASE WHEN price > 0 THEN '0.5' ELSE '' END)", lambda: F.concat_ws("|", F.round(c("price") - c("price") / 2, 4).cast("string"), F.when(c("price") > 0, (c("price") / 2 / c("price")).cast("string")).otherwise("")))

@@ -210,9 +210,17 @@ def sex_restriction(name: Column) -> Column:
     return out.otherwise("")
 
 
-def race_type(name: Column, metres_: Column) -> Column:
-    """Flat, or what the name of a race of at least 2400 metres tells."""
+def race_type(name: Column, metres_: Column, code: Column | None = None, fences: Column | None = None) -> Column:
+    """Flat, or over what a race is run.
+
+    A race of the flat code is one unless it is a National Hunt flat race; then what stands in the way
+    tells, then the name of a race of at least 2400 metres.
+    """
     n, out = F.lower(name), F
+    if code is not None:
+        out = out.when((F.lower(code) == "flat") & ~n.contains("national hunt flat"), "Flat")
+    if fences is not None:
+        out = out.when(F.lower(fences).contains("hurdle"), "Hurdle").when(F.lower(fences).contains("fence"), "Chase")
     for label, phrase in reversed(JUMP_PHRASES):
         out = out.when((metres_ >= 2400) & n.rlike(phrase), label)
     return out.otherwise("Flat")

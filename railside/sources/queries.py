@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from railside.plans.racing import Racing
 from railside.plans.scratch import scratch
+from railside.plans.snapshots import Snapshots
 from railside.registry import racing_query, table_query
 from railside.sources import feeds
 
@@ -193,35 +194,24 @@ def latest_date(r: Racing) -> DataFrame:
     return feeds.file_ranges(r.races.sparkSession, _range_files(r), "race_type").groupBy("race_type").agg(F.max("last").alias("latest"))
 
 
-@table_query("src_results_html", r"SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1), ''), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM pages")
+@table_query("src_page_titles", r"SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1), ''), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extraction from HTML: the first title of each page."""
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return rows.select("page_id", F.coalesce(F.try_element_at(feeds.tag_texts(F.coalesce("html", F.lit("")), "title"), F.lit(1)), F.lit("")).alias("title"))
 
 
-@table_query("src_stats_html", "SELECT o_orderkey AS k, CAST(o_orderkey % 9 AS INT) AS wins, CAST(o_orderkey % 50 AS INT) AS runs FROM orders")
-def wins_and_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``wins - runs`` cells of statistics tables."""
-    cell = F.concat(F.lit(" "), (F.col("o_orderkey") % 9).cast("string"), F.lit(" - "), (F.col("o_orderkey") % 50).cast("string"))
-    parts = F.split(cell, "-")
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.trim(parts[0]).try_cast("int").alias("wins"), F.trim(parts[1]).try_cast("int").alias("runs"))
-
-
-@table_query("src_pedigree", "SELECT p_partkey AS k, p_name AS sire, CASE WHEN p_partkey % 2 = 0 THEN 'IRE' ELSE 'GB' END AS region FROM part")
-def pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sire's name and country, GB where none is given."""
-    raw = F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, " (IRE)").otherwise(""))
-    code = F.nullif(F.regexp_extract(raw, r"\(([A-Z]{2,3})\)\s*$", 1), F.lit(""))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.trim(F.regexp_replace(raw, r"\([A-Z]{2,3}\)\s*$", "")).alias("sire"), F.coalesce(code, F.lit("GB")).alias("region"))
-
-
-@racing_query("mv_refresh", "SELECT horse_id, count(*) AS runs FROM runners JOIN races USING (race_id) GROUP BY 1")
+@racing_query("mv_refresh", "SELECT horse_id, count(*) AS runs, CAST(2 AS BIGINT) AS version FROM runners JOIN races USING (race_id) GROUP BY 1")
 def refreshed_snapshot(r: Racing) -> DataFrame:
-    """The base snapshot written to a new folder and read from there: readers of the old one are not disturbed."""
-    path = scratch(r.races.sparkSession, "base")
-    r.base.select("race_id", "horse_id", F.date_format("race_date", "yyyy-MM").alias("race_month")).repartition("race_month").write.partitionBy("race_month").parquet(path)
-    return r.races.sparkSession.read.parquet(path).groupBy("horse_id").agg(F.count("*").alias("runs"))
+    """The base snapshot by month: made without the last months, then refreshed, which writes those months only.
+
+    It is read by its manifest; a reader of the first version would still see that.
+    """
+    table = Snapshots(r.spark, scratch(r.spark, "base"), "race_month")
+    base = r.base.select("race_id", "num", "horse_id", "win_bsp", F.date_format("race_date", "yyyy-MM").alias("race_month"))
+    table.refresh(base.where("race_month < '1998-06'"))
+    now, _ = table.refresh(base)
+    return table.read(now).groupBy("horse_id").agg(F.count("*").alias("runs")).withColumn("version", F.lit(now.version).cast("long"))
 
 
 @racing_query("partitions", "SELECT strftime(race_date, '%Y-%m') AS month, count(*) AS races FROM races WHERE race_date >= DATE '2000-11-01' AND race_date < DATE '2001-02-01' GROUP BY 1")
