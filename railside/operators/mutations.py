@@ -86,13 +86,26 @@ def load_new_rows(r: Racing) -> DataFrame:
     return new.select("race_id", F.when((F.col("ran") > 0) & (F.col("dist_f") > 6), "loaded").otherwise("quarantine").alias("state"))
 
 
-@racing_query("replace_date", "SELECT race_id, race_date, CASE WHEN race_date = DATE '1999-05-05' THEN 'new' ELSE 'old' END AS src FROM races WHERE race_date BETWEEN DATE '1999-05-01' AND DATE '1999-05-31' AND NOT (race_date = DATE '1999-05-05' AND race_id % 2 = 1)")
-def replace_day(r: Racing) -> DataFrame:
-    """A day's rows replaced as a whole."""
-    month = r.races.where("race_date between DATE '1999-05-01' and DATE '1999-05-31'").select("race_id", "race_date")
-    new = month.where("race_date = DATE '1999-05-05' and race_id % 2 = 0").withColumn("src", F.lit("new"))
-    kept = month.withColumn("src", F.lit("old")).join(new.select("race_date").distinct(), "race_date", "left_anti")
-    return kept.unionByName(new)
+def replace_days(rows: DataFrame, path: str, day: str = "race_date") -> None:
+    """Write rows to a table by day: the days that they hold are replaced as a whole, others stay as they are.
+
+    The files of other days are not touched. The new days' files come in when all of them are
+    written: a write that fails leaves the old days. A day without new rows is not replaced.
+    """
+    rows.hint("rebalance", F.col(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+@racing_query(
+    "replace_date",
+    "SELECT race_id, race_date, CASE WHEN came THEN 'new' ELSE 'old' END AS src FROM (SELECT race_id, race_date, dayofmonth(race_date) = 5 AND bool_or(race_id % 2 = 0) OVER (PARTITION BY race_date) AS came FROM races) WHERE NOT (came AND race_id % 2 = 1)",
+)
+def replaced_days(r: Racing) -> DataFrame:
+    """All races by day; then the fifth of each month comes again, with its even races only."""
+    path = scratch(r.spark, "races_by_day")
+    races = r.races.select("race_id", F.lit("old").alias("src"), "race_date")
+    replace_days(races, path)
+    replace_days(races.where("dayofmonth(race_date) = 5 and race_id % 2 = 0").withColumn("src", F.lit("new")), path)
+    return r.spark.read.schema("race_id long, src string, race_date date").parquet(path).select("race_id", "race_date", "src")
 
 
 @racing_query("update_from", "SELECT race_id, coalesce(m.to_id, course_id) AS course_id FROM races LEFT JOIN (VALUES (1, 2), (3, 4)) m(from_id, to_id) ON course_id = from_id")

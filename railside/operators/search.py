@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from railside.functions.text import STOP_WORDS, lexemes, trigram_similarity
+from railside.functions.stems import STEP_2, STEP_3, STEP_4, stem
+from railside.plans.postings import gram_postings, kept, matches, similar, terms_of, word_postings
 from railside.plans.racing import Racing, with_racing
+from railside.plans.snapshots import state_of
 from railside.registry import racing_query, table_query
 
 
@@ -26,32 +29,53 @@ _NAMED = " UNION ALL ".join(f"SELECT '{kind}' AS type, CAST({id_} AS BIGINT) AS
     limit=10,
 )
 def global_search(r: Racing, query: str, limit: int = 10, least: float = 0.3) -> DataFrame:
-    """The most similar names of each kind and the number of all that are returned.
+    """The most similar names of each kind and the number of all that are returned, from the index of their trigrams.
 
     Score and id order a kind's list. Each list is a top-k of ``limit`` rows, so the total is over a few.
     """
-    out = []
-    for kind, (frame, id_, name) in KINDS.items():
-        scored = getattr(r, frame).select(F.lit(kind).alias("type"), F.col(id_).cast("long").alias("id"), F.col(name).alias("name"), F.round(trigram_similarity(F.col(name), F.lit(query)), 6).alias("score"))
-        out.append(scored.where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(limit))
-    found = reduce(DataFrame.unionByName, out)
+    frames = [frame for frame, _, _ in KINDS.values()]
+    path = kept(r.spark, f"names-{state_of(r.spark, r.files(*frames))[0]}", lambda: gram_postings(all_names(r)))
+    best = Window.partitionBy("type").orderBy(F.desc("score"), "id")
+    found = similar(r.spark, path, query, least).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= limit).drop("rn")
     return found.withColumn("total_results", F.count("*").over(Window.partitionBy()))
 
 
-_STEM = r"(?<=[a-z]{3})(ings?|ed|es|s)$"
-_TERMS = "the then that"
+def all_names(r: Racing) -> DataFrame:
+    """type, id and name of everything that is searched by name."""
+    return reduce(DataFrame.unionByName, [getattr(r, frame).select(F.lit(kind).alias("type"), F.col(id_).cast("long").alias("id"), F.col(name).alias("name")) for kind, (frame, id_, name) in KINDS.items()])
 
 
-@table_query(
-    "fts_match",
-    r"WITH t AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in STOP_WORDS) + r"], w)), lambda w: regexp_replace(w, '^(.*?[a-z]{3})(ings|ing|ed|es|s)$', '\1')) AS ws FROM documents) SELECT doc_id, CAST(len(list_filter(ws, lambda w: w IN ('onan', 'onon'))) AS INT) AS hits FROM t WHERE list_contains(ws, 'onan') AND list_contains(ws, 'onon')",
+# For the checking SQL, which knows no stemmer: whatever may follow a query's stem without changing it.
+_ENDINGS = sorted({"".join(x) for n in range(3) for x in product(["s", "e", "ed", "ing", "ly", "li", "y", "es", "at", "iz", "ings", *STEP_2, *STEP_3, *STEP_4], repeat=n)})
+
+
+def _stem_sql(term: str) -> str:
+    """SQL: whether the word w has this stem, for words that begin with it."""
+    endings = ", ".join(f"'{e}'" for e in _ENDINGS if stem(term + e) == term)
+    return f"(starts_with(w, '{term}') AND w[{len(term) + 1}:] IN ({endings}))"
+
+
+_QUERY = "onan onon"
+_HITS_SQL = (
+    r"ws AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM documents), "
+    + "p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM ws), "
+    + f"h AS (SELECT doc_id, pos, CASE {' '.join(f'WHEN {_stem_sql(t)} THEN {i}' for i, t in enumerate(terms_of(_QUERY)))} END AS t FROM p WHERE starts_with(w, 'on')), "
+    + "f AS (SELECT doc_id, CAST(count(*) AS INT) AS hits FROM h WHERE t IS NOT NULL GROUP BY 1 HAVING count(DISTINCT t) = 2), "
+    + "r AS (SELECT x.doc_id, 1 - exp(sum(ln(1 - sqrt(0.01 / (1.005 + 0.05 * exp(abs(x.pos - y.pos) / 1.5 - 2)))))) AS rank FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.t = 0 AND y.t = 1 AND abs(x.pos - y.pos) <= 100 GROUP BY 1), "
+    + "m AS (SELECT doc_id, hits, coalesce(rank, 0.0) AS rank FROM f LEFT JOIN r USING (doc_id))"
 )
-def text_matches(spark: SparkSession, sf_dir: str, query: str = "onan onon") -> DataFrame:
-    """Texts with all of the query's terms, and how often they hold any: the whole text, no index needed."""
-    words = lexemes(F.lit(query))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", lexemes(F.coalesce("text", F.lit(""))).alias("ws"))
-    rows = docs.where((F.size(words) > 0) & (F.size(F.array_except(words, "ws")) == 0))
-    return rows.select("doc_id", F.size(F.filter("ws", lambda w: F.array_contains(words, w))).alias("hits"))
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> str:
+    """The index of the documents' words, made if it is not there."""
+    path = f"{sf_dir}/documents.parquet"
+    return kept(spark, f"words-{state_of(spark, [path])[0]}", lambda: word_postings(spark.read.parquet(path), "doc_id", "text"))
+
+
+@table_query("fts_match", f"WITH {_HITS_SQL} SELECT doc_id, hits, round(rank, 6) AS rank FROM m")
+def text_matches(spark: SparkSession, sf_dir: str, query: str = _QUERY) -> DataFrame:
+    """Texts with all of the query's terms, how often they hold any, and their rank, from the index."""
+    return matches(spark, document_index(spark, sf_dir), query).select(F.col("id").alias("doc_id"), "hits", F.round("rank", 6).alias("rank"))
 
 
 #: Comments of runners by analogy: a document's text is the comment of the race and horse of its id.
@@ -61,30 +85,31 @@ _COMMENTS = ["doc_id AS runner_id", "doc_id AS race_id", "doc_id AS horse_id", "
 @table_query(
     "search_comments",
     with_racing(
-        r"WITH c AS (SELECT " + ", ".join(_COMMENTS) + r" FROM documents), t AS (SELECT *, list_transform(list_filter(regexp_split_to_array(lower(coalesce(comment, '')), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in STOP_WORDS) + r"], w)), lambda w: regexp_replace(w, '^(.*?[a-z]{3})(ings|ing|ed|es|s)$', '\1')) AS ws FROM c JOIN races USING (race_id) JOIN courses USING (course_id) JOIN horses USING (horse_id) WHERE race_date BETWEEN DATE '1992-01-01' AND DATE '2001-12-31' AND region_id <= 3)"
-        r" SELECT runner_id, race_id, race_date, course_name, race_name, horse_name, comment, round(len(list_filter(ws, lambda w: w IN ('onan', 'onon'))) / ln(length(comment) + 2.0), 6) AS rank FROM t WHERE list_contains(ws, 'onan') AND list_contains(ws, 'onon') ORDER BY rank DESC, race_date DESC, runner_id LIMIT 100"
+        f"WITH c AS (SELECT {', '.join(_COMMENTS)} FROM documents), {_HITS_SQL}"
+        " SELECT runner_id, race_id, race_date, course_name, race_name, horse_name, comment, round(rank, 6) AS rank FROM m JOIN c ON runner_id = doc_id JOIN races USING (race_id) JOIN courses USING (course_id) JOIN horses USING (horse_id)"
+        " WHERE race_date BETWEEN DATE '1992-01-01' AND DATE '2001-12-31' AND region_id <= 3 ORDER BY round(rank, 6) DESC, race_date DESC, runner_id LIMIT 100"
     ),
 )
 def search_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     comments = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(*_COMMENTS)
-    return matching_comments(Racing.from_tables(spark, sf_dir), comments, "onan onon", date_from="1992-01-01", date_to="2001-12-31", regions=(0, 1, 2, 3))
+    return matching_comments(Racing.from_tables(spark, sf_dir), comments, document_index(spark, sf_dir), _QUERY, date_from="1992-01-01", date_to="2001-12-31", regions=(0, 1, 2, 3))
 
 
-def matching_comments(r: Racing, comments: DataFrame, query: str, date_from: str | None = None, date_to: str | None = None, regions: tuple[int, ...] = (), course_id: int | None = None, limit: int = 100) -> DataFrame:
+def matching_comments(r: Racing, comments: DataFrame, index: str, query: str, date_from: str | None = None, date_to: str | None = None, regions: tuple[int, ...] = (), course_id: int | None = None, limit: int = 100) -> DataFrame:
     """Comments with all of the query's terms: the best rank first, the newest first among equals.
 
-    The rank is the number of hits damped by the text's length. Races are filtered by date, region and
-    course before texts are looked at.
+    The index gives runners and ranks; races are filtered by date, region and course, and only the
+    best runners' comments are fetched.
     """
     races = r.races.join(r.courses, "course_id")
     for bound, keep in ((date_from, F.col("race_date") >= F.lit(date_from)), (date_to, F.col("race_date") <= F.lit(date_to))):
         races = races.where(keep) if bound else races
     races = races.where(F.col("region_id").isin(*regions)) if regions else races
     races = races if course_id is None else races.where(F.col("course_id") == course_id)
-    words = lexemes(F.lit(query))
-    rows = comments.join(races.select("race_id", "race_date", "course_name", "race_name"), "race_id").join(r.horses.select("horse_id", "horse_name"), "horse_id")
-    rows = rows.withColumn("ws", lexemes(F.coalesce("comment", F.lit("")))).where((F.size(words) > 0) & (F.size(F.array_except(words, "ws")) == 0))
-    hits = F.size(F.filter("ws", lambda w: F.array_contains(words, w)))
-    rank = F.round(hits / F.log(F.length("comment") + F.lit(2.0)), 6)
-    out = rows.select("runner_id", "race_id", "race_date", "course_name", "race_name", "horse_name", "comment", rank.alias("rank"))
-    return out.orderBy(F.desc("rank"), F.desc("race_date"), "runner_id").limit(limit)
+    found = matches(r.spark, index, query).select(F.col("id").alias("runner_id"), F.round("rank", 6).alias("rank"))
+    owners = comments.select("runner_id", "race_id", "horse_id")
+    rows = found.join(owners, "runner_id").join(races.select("race_id", "race_date", "course_name", "race_name"), "race_id").join(r.horses.select("horse_id", "horse_name"), "horse_id")
+    order = [F.desc("rank"), F.desc("race_date"), "runner_id"]
+    best = rows.orderBy(*order).limit(limit)
+    out = best.join(comments.select("runner_id", "comment"), "runner_id")
+    return out.select("runner_id", "race_id", "race_date", "course_name", "race_name", "horse_name", "comment", "rank").orderBy(*order)

@@ -7,7 +7,6 @@ and its join by race needs no exchange, since both sides come in equal buckets.
 
 from __future__ import annotations
 
-import hashlib
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from railside.plans.racing import Racing
 from railside.plans.scratch import scratch
-from railside.plans.snapshots import Files
+from railside.plans.snapshots import state_of
 
 #: Bytes of a month's runners that one bucket holds, about.
 BUCKET_BYTES = 128 << 20
@@ -27,19 +26,6 @@ def month_of(day: Column | str) -> Column:
     return F.year(day) * 100 + F.month(day)
 
 
-def _inputs(r: Racing, *tables: str) -> tuple[str, int]:
-    """A name for what is in the tables' files, by path, length and time; and their bytes."""
-    files = Files(r.spark, r.paths[tables[0]]) if tables[0] in r.paths else None
-    told, total = [], 0
-    for table in tables:
-        for path in [r.paths[table]] if table in r.paths else getattr(r, table).inputFiles():
-            files = files or Files(r.spark, path)
-            for status in files.under(path):
-                told.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
-                total += status.getLen()
-    return hashlib.sha256("\n".join(sorted(told)).encode()).hexdigest()[:16], total
-
-
 class MonthStore:
     """``races`` and ``runners`` of one warehouse by month and bucket, and the dimensions that reports name.
 
@@ -49,7 +35,7 @@ class MonthStore:
 
     def __init__(self, r: Racing, buckets: int | None = None):
         self.spark = r.spark
-        name, size = _inputs(r, "races", "runners", *DIMENSIONS)
+        name, size = state_of(r.spark, r.files("races", "runners", *DIMENSIONS))
         name += f"_{buckets}" if buckets else ""
         self.races, self.runners, *dimensions = (f"railside_{t}_{name}" for t in ("races", "runners", *DIMENSIONS))
         self.dimensions = dict(zip(DIMENSIONS, dimensions, strict=True))

@@ -101,6 +101,10 @@ class Racing:
         paths = {name: f"{sf_dir}/{table}.parquet" for name, (table, _) in _VIEWS.items()}
         return cls(spark, paths, **{name: partial(_view, spark, paths[name], columns) for name, (_, columns) in _VIEWS.items()})
 
+    def files(self, *tables: str) -> list[str]:
+        """The files or folders that tables come from."""
+        return [p for t in tables for p in ([self.paths[t]] if t in self.paths else getattr(self, t).inputFiles())]
+
     def having(self, **frames: DataFrame) -> Racing:
         """The same warehouse with other frames for some of its tables."""
         return Racing(self.spark, {n: p for n, p in self.paths.items() if n not in frames}, **{**self._frames, **frames})

@@ -9,6 +9,7 @@ the version was made from.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Iterable
@@ -63,6 +64,16 @@ class Files:
         self.fs.delete(self.path(name), True)
 
 
+def state_of(spark: SparkSession, paths: Iterable[str]) -> tuple[str, int]:
+    """A name for what files, or all files below folders, are now: by path, length and time; and their bytes."""
+    told, total = [], 0
+    for path in paths:
+        for status in Files(spark, path).under(path):
+            told.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+            total += status.getLen()
+    return hashlib.sha256("\n".join(sorted(told)).encode()).hexdigest()[:16], total
+
+
 @dataclass(frozen=True)
 class Manifest:
     """One version: the folder of each part (by the part's folder name), the rows' schema, and marks."""

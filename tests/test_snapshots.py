@@ -6,6 +6,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from railside.operators.mutations import replace_days
 from railside.plans.snapshots import Conflict, Snapshots
 from railside.streaming.ticks import TICK, Mirror
 
@@ -93,3 +94,23 @@ def test_prices_are_merged_replayed_and_restarted(spark, tmp_path):
     version = table.manifest().version
     Mirror(table, state).run(ticks, state)  # nothing new
     assert table.manifest().version == version
+
+
+def _day_files(path: str) -> dict[str, list[str]]:
+    return {d: sorted(f for f in os.listdir(f"{path}/{d}") if f.endswith(".parquet")) for d in os.listdir(path) if d.startswith("day=")}
+
+
+def test_a_day_is_replaced_as_a_whole_or_not_at_all(spark, tmp_path):
+    path, schema = f"{tmp_path}/days", "id long, day string"
+    replace_days(spark.createDataFrame([(1, "d1"), (2, "d1"), (3, "d2"), (4, "d3")], schema), path, "day")
+    before = _day_files(path)
+    replace_days(spark.createDataFrame([(5, "d1"), (6, "d4")], schema), path, "day")
+    after = _day_files(path)
+    assert {r.id for r in spark.read.parquet(path).collect()} == {3, 4, 5, 6}
+    assert after["day=d2"] == before["day=d2"] and after["day=d3"] == before["day=d3"] and after["day=d1"] != before["day=d1"]
+    broken = spark.createDataFrame([(7, "d2"), (8, "d3")], schema).repartition(2, "day").withColumn("id", F.when(F.col("id") == 8, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        replace_days(broken, path, "day")
+    assert _day_files(path) == after and {r.id for r in spark.read.parquet(path).collect()} == {3, 4, 5, 6}
+    replace_days(spark.createDataFrame([], schema), path, "day")
+    assert _day_files(path) == after
