@@ -42,6 +42,6 @@ def load() -> None:
     from railside import functions, operators, sources, streaming  # noqa: F401
     from railside.functions import queries as _functions  # noqa: F401
     from railside.operators import angle, audit, bias, joins, market, mutations, profile, race, reports, search, shapes, windows  # noqa: F401
-    from railside.sources import pages, result_pages  # noqa: F401
+    from railside.sources import order_books, pages, racecards, result_pages  # noqa: F401
     from railside.sources import queries as _sources  # noqa: F401
     from railside.streaming import ticks  # noqa: F401

@@ -149,7 +149,7 @@ def cached_days(r: Racing) -> DataFrame:
     return r.races.sparkSession.read.schema("race_date date, races long").json(path)
 
 
-@table_query("src_order_book", "SELECT l_orderkey AS market_id, CAST(count(*) AS INT) AS runners, round(max(l_extendedprice), 2) AS longest FROM lineitem GROUP BY 1")
+@table_query("src_nested_books", "SELECT l_orderkey AS market_id, CAST(count(*) AS INT) AS runners, round(max(l_extendedprice), 2) AS longest FROM lineitem GROUP BY 1")
 def order_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested order books as JSON files, read with their schema."""
     path = scratch(spark, "books")
