@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from railside.functions.text import jaro_winkler, norm_text
+from railside.functions.text import jaro_winkler, jaro_winkler_bound, letter_counts, norm_text
 from railside.plans.racing import Racing, with_racing
 from railside.registry import racing_query, table_query
 
@@ -92,11 +92,15 @@ def normalised_lookup(r: Racing) -> DataFrame:
     return feed.join(known, "k").select("feed_id", "horse_id")
 
 
-@racing_query("j_composite", "SELECT a.horse_id AS a, b.horse_id AS b FROM horses a JOIN horses b USING (sire, dam, damsire) WHERE a.horse_id < b.horse_id")
+@racing_query("j_composite", "SELECT horse_id, group_id, members FROM (SELECT horse_id, min(horse_id) OVER g AS group_id, count(*) OVER g AS members FROM horses WHERE sire IS NOT NULL AND dam IS NOT NULL AND damsire IS NOT NULL WINDOW g AS (PARTITION BY sire, dam, damsire)) WHERE members > 1")
 def same_blood(r: Racing) -> DataFrame:
-    a = r.horses.select(F.col("horse_id").alias("a"), "sire", "dam", "damsire")
-    b = r.horses.select(F.col("horse_id").alias("b"), "sire", "dam", "damsire")
-    return a.join(b, ["sire", "dam", "damsire"]).where("a < b").select("a", "b")
+    """Horses of equal sire, dam and damsire: each with its group, named by its smallest id, and the group's size.
+
+    Groups are aggregates, so a group of any size is no pairs and no window; the join is by the same three keys.
+    """
+    keys = ["sire", "dam", "damsire"]
+    groups = r.horses.groupBy(*keys).agg(F.min("horse_id").alias("group_id"), F.count("*").alias("members")).where("members > 1")
+    return r.horses.join(groups, keys).select("horse_id", "group_id", "members")
 
 
 def outer_by_key(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -208,13 +212,30 @@ def market_to_race(r: Racing, since: str = "2001-01-01") -> DataFrame:
     "SELECT a, b FROM (SELECT a.p_partkey AS a, b.p_partkey AS b, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey) AS rn FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND jaro_winkler_similarity(lower(a.p_name), lower(b.p_name)) >= 0.77) WHERE rn = 1",
 )
 def fuzzy_names(r: Racing, least: float = 0.77) -> DataFrame:
-    """The first similar name within a block of equal keys; only blocks are compared."""
+    """The first similar name within a block of equal keys; only blocks are compared, and different names once."""
     names = r.horses.select("horse_id", F.col("damsire").alias("size"), "sire", F.lower(F.regexp_replace("horse_name", " [0-9]+$", "")).alias("name"))
+    # of a name in a block the two smallest ids are enough: the first similar one is no other's
+    known = names.groupBy("size", "sire", "name").agg(F.min("horse_id").alias("first"))
+    second = names.join(known, ["size", "sire", "name"]).where("horse_id <> first").groupBy("size", "sire", "name").agg(F.min("horse_id").alias("second"))
+    known = known.join(second, ["size", "sire", "name"], "left")
+    x = known.select("size", "sire", F.col("name").alias("x"))
+    y = known.select("size", "sire", F.col("name").alias("y"), F.col("first").alias("b"), "second")
+    found = similar_pairs(x.join(y, ["size", "sire"]), "x", "y", least)
     a = names.select(F.col("horse_id").alias("a"), "size", "sire", F.col("name").alias("x"))
-    b = names.select(F.col("horse_id").alias("b"), "size", "sire", F.col("name").alias("y"))
-    pairs = a.join(b, ["size", "sire"]).where("a <> b")
-    similar = pairs.select("x", "y").distinct().withColumn("s", jaro_winkler("x", "y")).where(F.col("s") >= least)
-    return pairs.join(similar, ["x", "y"]).groupBy("a").agg(F.min("b").alias("b"))
+    other = F.when(F.col("a") != F.col("b"), F.col("b")).otherwise(F.col("second"))
+    return a.join(found, ["size", "sire", "x"]).groupBy("a").agg(F.min(other).alias("b")).where("b is not null")
+
+
+def candidate_pairs(pairs: DataFrame, x: str, y: str, least: float) -> DataFrame:
+    """Pairs of names that can be so similar: a bound of their similarity, from letters, decides."""
+    bounded = pairs.withColumn("_cx", letter_counts(F.col(x))).withColumn("_cy", letter_counts(F.col(y)))
+    return bounded.where(jaro_winkler_bound(F.col(x), F.col(y), F.col("_cx"), F.col("_cy")) >= least - 1e-9).drop("_cx", "_cy")
+
+
+def similar_pairs(pairs: DataFrame, x: str, y: str, least: float) -> DataFrame:
+    """The pairs of names that are so similar; equal names are, and only what the bound leaves goes to Python."""
+    some = candidate_pairs(pairs.where(F.col(x) != F.col(y)), x, y, least)
+    return pairs.where(F.col(x) == F.col(y)).unionByName(some.where(jaro_winkler(x, y) >= least))
 
 
 @racing_query("j_contains_course", "SELECT a.course_name AS x, b.course_name AS y FROM courses a JOIN courses b ON a.course_id <> b.course_id AND (contains(lower(a.course_name), lower(b.course_name)) OR contains(lower(b.course_name), lower(a.course_name)))")

@@ -1,14 +1,18 @@
 """Upsert modes, bands, similarity and edge cases on small frames."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from railside.functions import racing as R
-from railside.functions.text import norm_text, similar_names, trigram_similarity
-from railside.operators.joins import band_join
+from railside.functions.text import jaro_winkler_bound, letter_counts, norm_text, similar_names, trigram_similarity
+from railside.operators.joins import band_join, candidate_pairs
 from railside.operators.mutations import upsert
 from railside.operators.race import default_window, page_size
+from railside.plans.racing import Racing
 from railside.streaming.ticks import ingest
+from tests.oracle import SMALL
 
 
 def one(spark, column):
@@ -82,3 +86,29 @@ def test_profile_without_state_takes_its_address(spark):
 
     pages = spark.createDataFrame([("https://a.test/profile/horse/7/old-boy", "<html></html>"), ("https://a.test/profile/horse/8/x", None)], "url string, html string")
     assert sorted(tuple(r) for r in profiles(pages).collect()) == [(7, "Old Boy", None), (8, "X", None)]
+
+
+def test_no_name_is_more_similar_than_its_bound(spark):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcde fgxyz'É9") for _ in range(draw.randrange(0, 12)))
+    pairs = [(word(), word()) for _ in range(1500)] + [(w, w[:k] + draw.choice("abz") + w[k + 1 :]) for w in (word() + "abcdef" for _ in range(500)) for k in (0, 3)] + [("", ""), ("", "a"), ("abc", "abc"), ("ABC", "XYZ")]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    bound = jaro_winkler_bound(F.col("a"), F.col("b"), letter_counts(F.col("a")), letter_counts(F.col("b")))
+    rows = frame.withColumn("bound", bound).collect()
+    assert all(r.bound >= similar_names(r.a, r.b) - 1e-12 for r in rows)
+    left = {r.i for r in candidate_pairs(frame, "a", "b", 0.77).collect()}
+    true = {r.i for r in rows if similar_names(r.a, r.b) >= 0.77}
+    assert true <= left and len(left) < 0.75 * len(pairs)
+
+
+def test_python_sees_a_small_share_of_the_pairs(spark):
+    names = Racing.from_tables(spark, SMALL).horses.select(F.lower(F.regexp_replace("horse_name", " [0-9]+$", "")).alias("n")).distinct()
+    pairs = names.select(F.col("n").alias("x")).join(names.select(F.col("n").alias("y"))).where("x <> y")
+    share = candidate_pairs(pairs, "x", "y", 0.77).count() / pairs.count()
+    assert 0 < share < 0.3
+
+
+def test_all_rules_of_a_race_type(spark):
+    rows = [("National Hunt Flat Race", 3000, "flat", None, "NH Flat"), ("Stakes", 1200, "flat", "8 hurdles", "Flat"), ("Stakes", 1200, "jumps", "8 hurdles", "Hurdle"), ("Stakes", 1200, "jumps", "9 fences", "Chase"), ("Novice Hurdle", 3200, "jumps", "", "Hurdle"), ("Novice Hurdle", 2000, "jumps", None, "Flat"), ("Plain", 4000, None, None, "Flat")]
+    frame = spark.createDataFrame(rows, "name string, m int, code string, fences string, t string")
+    assert [r.t for r in frame.select("t", R.race_type(F.col("name"), F.col("m"), F.col("code"), F.col("fences")).alias("v")).where("t <> v").collect()] == []
