@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from railside.functions.text import jaro_winkler, jaro_winkler_bound, letter_counts, norm_text
+from railside.functions.text import jaro_winkler, jaro_winkler_bound, letter_counts, match_name, norm_text
 from railside.plans.racing import Racing, with_racing
 from railside.registry import racing_query, table_query
 
@@ -57,14 +57,13 @@ def in_scope(r: Racing, on: str) -> DataFrame:
 @racing_query(
     "j_self_range",
     """
-WITH d AS (SELECT DISTINCT horse_id, trainer_id, race_date FROM runners JOIN races USING (race_id) WHERE race_date >= DATE '2001-05-01')
+WITH d AS (SELECT DISTINCT horse_id, trainer_id, race_date FROM runners JOIN races USING (race_id))
 SELECT DISTINCT a.horse_id, a.trainer_id AS old_id, b.trainer_id AS new_id FROM d a JOIN d b ON a.horse_id = b.horse_id AND b.race_date > a.race_date AND b.trainer_id <> a.trainer_id
 WHERE NOT EXISTS (SELECT 1 FROM d c WHERE c.horse_id = a.horse_id AND c.race_date > a.race_date AND c.race_date < b.race_date)""",
-    since="2001-05-01",
 )
-def next_trainers(r: Racing, since: str) -> DataFrame:
+def next_trainers(r: Racing) -> DataFrame:
     """A horse's trainers on consecutive race days: the range self-join as a lead over days."""
-    days = r.runners.join(r.races.where(F.col("race_date") >= F.lit(since).cast("date")).select("race_id", "race_date"), "race_id").groupBy("horse_id", "race_date").agg(F.collect_set("trainer_id").alias("ts"))
+    days = r.runners.join(r.races.select("race_id", "race_date"), "race_id").groupBy("horse_id", "race_date").agg(F.collect_set("trainer_id").alias("ts"))
     w = Window.partitionBy("horse_id").orderBy("race_date")
     both = days.withColumn("after", F.lead("ts").over(w)).where("after is not null")
     pairs = both.select("horse_id", F.explode("ts").alias("old_id"), "after").select("horse_id", "old_id", F.explode("after").alias("new_id"))
@@ -196,15 +195,25 @@ def unmatched_report(spark, sf_dir: str, least: int = 2) -> DataFrame:
 @racing_query(
     "j_market_to_race",
     """
-WITH m AS (SELECT race_id AS market_id, race_date, course_id, off_min + CAST(race_id % 3 AS INT) AS market_min FROM races WHERE race_date >= DATE '2001-01-01'),
-c AS (SELECT market_id, race_id, abs(market_min - off_min) AS gap FROM m JOIN races USING (race_date, course_id) WHERE abs(market_min - off_min) <= 1)
-SELECT market_id, arg_min(race_id, (gap, race_id)) AS race_id FROM c GROUP BY market_id""",
+WITH m AS (SELECT race_id AS market_id, race_date, course_id, off_min + CAST(race_id % 3 AS INT) AS market_min FROM races),
+c AS (SELECT market_id, race_id, abs(market_min - off_min) AS gap FROM m JOIN races USING (race_date, course_id) WHERE abs(market_min - off_min) <= 1),
+b AS (SELECT market_id, arg_min(race_id, (gap, race_id)) AS race_id FROM c GROUP BY market_id),
+s AS (SELECT DISTINCT race_id AS market_id, 1000 + horse_id AS selection_id, horse_name AS name FROM runners JOIN horses USING (horse_id)),
+r AS (SELECT DISTINCT race_id, horse_id, horse_name AS name FROM runners JOIN horses USING (horse_id))
+SELECT b.market_id, b.race_id, selection_id, horse_id FROM b JOIN s USING (market_id) LEFT JOIN r ON r.race_id = b.race_id AND r.name = s.name""",
 )
-def market_to_race(r: Racing, since: str = "2001-01-01") -> DataFrame:
-    """Markets to races by venue and time, a minute's difference allowed, the nearest first."""
-    markets = r.races.where(F.col("race_date") >= F.lit(since).cast("date")).select(F.col("race_id").alias("market_id"), "race_date", "course_id", (F.col("off_min") + (F.col("race_id") % 3).cast("int")).alias("market_min"))
+def market_to_race(r: Racing) -> DataFrame:
+    """Markets to races by venue and time, a minute's difference allowed, the nearest first; then selections to runners by name.
+
+    A selection without a runner of its name in the race has a null runner.
+    """
+    markets = r.races.select(F.col("race_id").alias("market_id"), "race_date", "course_id", (F.col("off_min") + (F.col("race_id") % 3).cast("int")).alias("market_min"))
     pairs = band_join(markets, r.races.select("race_id", "race_date", "course_id", "off_min"), ["race_date", "course_id"], F.col("market_min"), F.col("off_min"), 1)
-    return pairs.groupBy("market_id").agg(F.min(F.struct(F.abs(F.col("market_min") - F.col("off_min")).alias("gap"), "race_id")).alias("m")).select("market_id", F.col("m.race_id").alias("race_id"))
+    best = pairs.groupBy("market_id").agg(F.min(F.struct(F.abs(F.col("market_min") - F.col("off_min")).alias("gap"), "race_id")).alias("m")).select("market_id", F.col("m.race_id").alias("race_id"))
+    named = r.runners.select("race_id", "horse_id").join(r.horses.select("horse_id", "horse_name"), "horse_id")
+    feed = named.select(F.col("race_id").alias("market_id"), (F.col("horse_id") + 1000).alias("selection_id"), match_name(F.concat(F.lit(" "), F.upper("horse_name"))).alias("k")).distinct()
+    runners = named.select("race_id", "horse_id", match_name(F.col("horse_name")).alias("k")).distinct()
+    return best.join(feed, "market_id").join(runners, ["race_id", "k"], "left").select("market_id", "race_id", "selection_id", "horse_id")
 
 
 @racing_query(

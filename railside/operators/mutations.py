@@ -54,23 +54,27 @@ _policy("up_ignore", "old", "old")
 
 @racing_query("up_dims", "SELECT p_partkey AS id, concat(p_name, ' ', p_partkey) AS name FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT (SELECT max(p_partkey) FROM part WHERE p_partkey % 2 = 0) + row_number() OVER (ORDER BY concat(p_name, ' ', p_partkey)), concat(p_name, ' ', p_partkey) FROM part WHERE p_partkey % 2 = 1")
 def new_dimension_rows(r: Racing) -> DataFrame:
-    """Known names keep their ids; new ones get the next, in order of name.
+    """Known names keep their ids; new ones get the next, in order of name."""
+    known = r.horses.where("horse_id % 2 = 0").select(F.col("horse_id").alias("id"), F.col("horse_name").alias("name"))
+    return known.unionByName(new_ids(known, r.horses.select(F.col("horse_name").alias("name"))))
+
+
+def new_ids(known: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, name) of the names that ``known`` lacks: the numbers behind its largest id, in order of name.
 
     Numbers come from counts by range partition, so no single task ranks all new names.
     """
-    known = r.horses.where("horse_id % 2 = 0").select(F.col("horse_id").alias("id"), F.col("horse_name").alias("name"))
-    names = r.horses.select(F.col("horse_name").alias("name")).distinct().join(known.select("name"), "name", "left_anti")
-    spark = r.horses.sparkSession
+    spark = names.sparkSession
     path = scratch(spark, "names")
     # written, so that both readers see each name in the same part
-    names.repartitionByRange("name").select("name", F.spark_partition_id().alias("p")).write.parquet(path)
+    unknown = names.select("name").distinct().join(known.select("name"), "name", "left_anti")
+    unknown.repartitionByRange("name").select("name", F.spark_partition_id().alias("p")).write.parquet(path)
     parts = spark.read.parquet(path)
     ranked = parts.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("name")))
     counts = ranked.groupBy("p").agg(F.max("i").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "before")
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    new = ranked.join(F.broadcast(before), "p").join(F.broadcast(top)).select((F.col("top") + F.col("before") + F.col("i")).alias("id"), "name")
-    return known.unionByName(new)
+    return ranked.join(F.broadcast(before), "p").join(F.broadcast(top)).select((F.col("top") + F.col("before") + F.col("i")).alias("id"), "name")
 
 
 @racing_query("up_courses", "SELECT course_id, course_name, CASE WHEN course_id % 3 = 0 THEN 9 ELSE region_id END AS region_id FROM courses")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railside.operators.mutations import new_ids
 from railside.plans.racing import Racing
 from railside.registry import racing_query
 
@@ -36,12 +37,19 @@ def union_all(r: Racing) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@racing_query("insert_or_get", "SELECT horse_id AS id, horse_name AS name FROM horses WHERE horse_id % 2 = 0 UNION ALL SELECT horse_id + 100000000, horse_name FROM horses WHERE horse_id % 2 = 1")
+@racing_query(
+    "insert_or_get",
+    """
+WITH known AS (SELECT trainer_id AS id, trainer_name AS name FROM trainers WHERE trainer_id % 3 <> 0),
+new AS (SELECT (SELECT max(id) FROM known) + row_number() OVER (ORDER BY trainer_name) AS id, trainer_name AS name FROM (SELECT DISTINCT trainer_name FROM trainers WHERE trainer_name NOT IN (SELECT name FROM known)))
+SELECT DISTINCT trainer_name AS name, id FROM runners JOIN trainers USING (trainer_id) JOIN (SELECT * FROM known UNION ALL SELECT * FROM new) k ON k.name = trainer_name""",
+)
 def insert_or_get(r: Racing) -> DataFrame:
-    """Ids of names: known ones from the dimension, others new."""
-    known = r.horses.where("horse_id % 2 = 0").select(F.col("horse_id").alias("id"), F.col("horse_name").alias("name"))
-    new = r.horses.join(known, r.horses["horse_name"] == known["name"], "left_anti").select((F.col("horse_id") + 100000000).alias("id"), F.col("horse_name").alias("name"))
-    return known.unionByName(new)
+    """The ids of the names that a load brings: those of known names are got, others are inserted under the next ids."""
+    dimension = r.trainers.where("trainer_id % 3 <> 0").select(F.col("trainer_id").alias("id"), F.col("trainer_name").alias("name"))
+    load = r.runners.select("trainer_id").distinct().join(r.trainers, "trainer_id").select(F.col("trainer_name").alias("name"))
+    every = dimension.unionByName(new_ids(dimension, r.trainers.select(F.col("trainer_name").alias("name"))))
+    return load.distinct().join(every, "name").select("name", "id")
 
 
 @racing_query("distinct", "SELECT DISTINCT trainer_id, surface FROM runners JOIN races USING (race_id)")

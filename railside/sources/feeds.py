@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from railside.plans.snapshots import Files, Snapshots
+
 # The columns of exchange price files.
 PRICE_COLUMNS = "event_id menu_hint event_name event_dt selection_id selection_name win_lose bsp ppwap morningwap ppmax ppmin ipmax ipmin morningtradedvol pptradedvol iptradedvol".split()
 
@@ -71,16 +74,33 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_new(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], parts: list[str]) -> None:
-    """Append the rows whose keys the files lack, by partition folder."""
-    try:
-        known = spark.read.option("header", True).csv(path).select(*keys)
-        rows = rows.join(known, keys, "left_anti")
-    except Exception as e:  # the first write: there is no folder yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    """Append the rows whose keys the files lack, by partition folder. One writer at a time."""
+    files = Files(spark, path)
+    if files.fs.exists(files.path("")):
+        rows = rows.join(spark.read.option("header", True).csv(path).select(*keys), keys, "left_anti")
     rows.write.partitionBy(*parts).option("header", True).mode("append").csv(path)
 
 
+class DayCache:
+    """Rows by day, fetched once: a day that was fetched is not asked for again, even if it had no rows.
+
+    Days are parts of a versioned table, so a day is there as a whole or not at all, and readers
+    keep what they saw.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, day: str = "day"):
+        self.table, self.day = Snapshots(spark, path, day), day
+
+    def through(self, days: list[date], fetch: Callable[[list[date]], DataFrame]) -> DataFrame:
+        """The rows of some days; ``fetch`` gives those of the days that are not cached."""
+        now = self.table.manifest()
+        known = set(now.marks.get("days", []))
+        missing = [d for d in days if str(d) not in known]
+        if missing:
+            now = self.table.replace(fetch(missing), missing, {"days": sorted({*known, *map(str, missing)})}, now)
+        return self.table.read(now, days)
+
+
 def dates_of(text: str) -> list[date]:
     """First and last day of a-b with YYYY/MM/DD days, or years."""
     ends = [x.strip() for x in text.split("-")]

@@ -121,12 +121,12 @@ def stitched(r: Racing) -> DataFrame:
     return spark.read.option("header", True).csv(path).groupBy("race_type", "surface").agg(F.count("*").alias("n"))
 
 
-@racing_query("sink_manifest", "SELECT strftime(race_date, '%Y-%m') AS month, count(*) AS races FROM races WHERE race_date >= DATE '2000-01-01' GROUP BY 1")
+@racing_query("sink_manifest", "SELECT strftime(race_date, '%Y-%m') AS month, count(*) AS races FROM races GROUP BY 1")
 def manifest(r: Racing) -> DataFrame:
     """A ledger of months; a second run over all months adds only those that it lacks."""
     spark, path = r.races.sparkSession, scratch(r.races.sparkSession, "manifest")
-    months = r.races.where("race_date >= DATE '2000-01-01'").groupBy(F.date_format("race_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("races"))
-    months.where("month < '2001'").write.json(path)
+    months = r.races.groupBy(F.date_format("race_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("races"))
+    months.where("month < '1996'").write.json(path)
     months.join(spark.read.json(path).select("month"), "month", "left_anti").write.mode("append").json(path)
     return spark.read.schema("month string, races long").json(path)
 
@@ -139,14 +139,18 @@ def nested_json(r: Racing) -> DataFrame:
     return r.races.sparkSession.read.schema("race_id long, runners array<struct<num: int, horse_id: bigint>>").json(path).select("race_id", F.size("runners").alias("n"))
 
 
-@racing_query("src_json_cache", "SELECT race_date, count(*) AS races FROM races GROUP BY 1")
-def cached_days(r: Racing) -> DataFrame:
-    """A read-through cache of days: written only where it is not there yet."""
-    path = scratch(r.races.sparkSession, "cache")
-    days = r.races.groupBy("race_date").agg(F.count("*").alias("races"))
-    days.write.mode("ignore").json(path)
-    days.limit(1).write.mode("ignore").json(path)
-    return r.races.sparkSession.read.schema("race_date date, races long").json(path)
+@table_query("src_json_cache", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
+def cached_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache by day, read through: half of the days are asked for first, then all, and the others are fetched then."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("day", F.to_date("ts"))
+    days = [r.day for r in events.select("day").distinct().orderBy("day").collect()]  # a row a day
+    cache = feeds.DayCache(spark, scratch(spark, "cache"))
+
+    def fetch(asked: list) -> DataFrame:
+        return events.where(F.col("day").isin(asked)).select("event_id", "user_id", "value", "day")
+
+    cache.through(days[::2], fetch)
+    return cache.through(days, fetch).groupBy("day").agg(F.count("*").alias("n"))
 
 
 @table_query("src_nested_books", "SELECT l_orderkey AS market_id, CAST(count(*) AS INT) AS runners, round(max(l_extendedprice), 2) AS longest FROM lineitem GROUP BY 1")

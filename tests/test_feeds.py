@@ -39,3 +39,26 @@ def test_price_files_with_the_columns_and_enough_rows(spark, tmp_path):
     _write(tmp_path / "file=ie_2024_01_08.csv" / "part-1.csv", head + "1,2.5,\n" * 2)
     files = feeds.file_index(spark.newSession(), f"{tmp_path}/*", ["event_id", "bsp"])
     assert sorted(map(tuple, files.collect())) == [("ie_2024_01_08.csv", date(2024, 1, 8), 4), ("uk_2024_01_05.csv", date(2024, 1, 5), 3)]
+
+
+def test_a_day_is_fetched_once(spark, tmp_path):
+    asked = []
+
+    def fetch(days):
+        asked.append([d.day for d in days])
+        rows = [(d.day * 10 + i, d) for d in days if d.day != 3 for i in range(2)]
+        return spark.createDataFrame(rows, "id long, day date")
+
+    cache = feeds.DayCache(spark, str(tmp_path))
+    days = [date(2024, 1, d) for d in (1, 2, 3, 4)]
+    assert sorted(r.id for r in cache.through(days[:3], fetch).collect()) == [10, 11, 20, 21]
+    assert sorted(r.id for r in cache.through(days, fetch).collect()) == [10, 11, 20, 21, 40, 41]
+    assert sorted(r.id for r in feeds.DayCache(spark, str(tmp_path)).through(days[1:3], fetch).collect()) == [20, 21]
+    assert asked == [[1, 2, 3], [4]]  # the third had no rows, and is known to have none
+
+
+def test_append_twice(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "a"), ("2", "b")], "k string, p string")
+    for _ in range(2):
+        feeds.append_new(spark, rows, f"{tmp_path}/new", ["k"], ["p"])
+    assert spark.read.option("header", True).csv(f"{tmp_path}/new").count() == 2
