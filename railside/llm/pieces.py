@@ -10,9 +10,10 @@ those that end at a place, the pair test picks the one, a table keeps its length
 text's end the table is walked backwards. Pieces of a character that is not in the vocabulary become
 its bytes.
 
-A piece holds a white-space mark only at its front, and most characters besides letters are in no
-longer piece at all; both are read from the vocabulary. Texts are cut there into spans that no merge
-crosses, and a worker keeps the ids of short spans it has seen, up to a bound.
+In most vocabularies a white-space mark stands only at the front of a piece, punctuation never behind
+a letter, and some characters in no longer piece at all; that is read from the vocabulary. Texts are
+cut there into spans that no merge crosses, and a worker keeps the ids of short spans it has seen,
+up to a bound.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ UNKNOWN_SURFACE = " ⁇ "
 #: Kinds of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Spans that a worker remembers in each of two generations, the longest of them (characters), and pairs.
-REMEMBERED, SHORT, PAIRS = 1 << 17, 64, 1 << 19
+REMEMBERED, SHORT, PAIRS = 1 << 18, 64, 1 << 20
 #: Characters that are cut into spans at once.
 STEP = 1 << 16
 
@@ -125,7 +126,6 @@ class Pieces:
         for n in self.neighbours:
             self.automaton.add_word(n.piece, (n, len(n.piece), n.piece))
         self.automaton.make_automaton()
-        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.surfaces = ["" if k == CONTROL else UNKNOWN_SURFACE if k == UNKNOWN else p.replace(MARK, " ") for p, k in zip(v.pieces, v.kinds, strict=True)]
         self.spans = self._span_pattern()
         self.seen = _Seen(self._span_ids)
@@ -133,11 +133,21 @@ class Pieces:
         self.verdicts = 0
 
     def _span_pattern(self) -> re.Pattern:
-        """Spans that no piece crosses: marks and what joins behind them, or one character that joins nothing."""
-        longer = [p for p in self.ids if len(p) > 1]
-        inside = any(MARK in p.lstrip(MARK) for p in longer)
-        joins = "".join(map(re.escape, sorted({*"".join(longer), MARK} - (set() if inside else {MARK}))))
-        return re.compile(f"[{joins}]+|." if inside else f"{MARK}*[{joins}]+|{MARK}+|." if joins else ".", re.DOTALL)
+        """Spans that no piece crosses, as far as the vocabulary tells.
+
+        They are: marks, then characters that stand behind no other kind of character in any piece (as
+        punctuation does), then the other characters that join; or one character that joins nothing.
+        """
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        joins = set("".join(pairs))
+        fronts = {c for c in joins if not c.isalpha()}
+        while late := {y for x, y in pairs if y in fronts and x not in fronts} | {y for x, y in pairs if y == MARK in fronts and x != MARK}:
+            fronts -= late
+        marks = MARK if MARK in fronts else ""
+        several = lambda chars: f"[{''.join(map(re.escape, sorted(chars)))}]" if chars else "(?!)"
+        front, rest = several(fronts - {marks}), several(joins - fronts)
+        lead = f"{marks}*" if marks else ""
+        return re.compile(f"{lead}{front}*{rest}+|{lead}{front}+|{several({marks} - {''})}+|.", re.DOTALL)
 
     def history(self, piece: str) -> list[tuple[float, str, str]]:
         """The merges that make a piece from its characters, in order: score, and the first and last symbol before it."""
@@ -161,6 +171,8 @@ class Pieces:
         The merges of both are replayed in their common order, best score first and left before right;
         at each step the symbols at the bound must not be the better pair.
         """
+        if left + right in self.scores:  # they would be the next to merge
+            return False
         a, b, i, j, verdict = self.history(left), self.history(right), 0, 0, True
         if (a and not a[0][1]) or (b and not b[0][1]):
             verdict = False
@@ -187,30 +199,30 @@ class Pieces:
         for n in self.neighbours:
             n.clear()
 
-    def split(self, span: str) -> list[str]:
+    def split(self, span: str) -> list[_Neighbours]:
         """The pieces of a span by the table of last pieces."""
-        if len(span) == 1:
-            return [span]
         last: list = [_FIRST, *[None] * len(span)]  # by prefix: its last piece
-        for end, (neighbours, size, piece) in self.automaton.iter(span):
-            if last[end + 1] is None and last[end + 1 - size][piece]:
-                last[end + 1] = neighbours
+        for end, (here, size, piece) in self.automaton.iter(span):
+            end += 1
+            if last[end] is None and last[end - size][piece]:
+                last[end] = here
         out, at = [], len(span)
         while at:
-            out.append(last[at].piece)
-            at -= len(out[-1])
+            here = last[at]
+            out.append(here)
+            at -= here.size
         out.reverse()
         return out
 
     def _span_ids(self, span: str) -> bytes:
-        """Ids of a span; neighbours that stand so in no piece are a bound as well."""
-        bounds = [i for i in range(1, len(span)) if span[i - 1 : i + 1] not in self.joined]
-        if bounds:
-            return b"".join([self.seen[span[i:j]] for i, j in pairwise([0, *bounds, len(span)])])
-        ids = []
-        for piece in self.split(span):
-            known = self.ids.get(piece)
-            ids += [known] if known is not None else [self.byte_ids[b] for b in piece.encode()]
+        if len(span) == 1:
+            return self._packed(span)
+        return b"".join([here.packed for here in self.split(span)])
+
+    def _packed(self, piece: str) -> bytes:
+        """The id of a piece, or the ids of its bytes."""
+        known = self.ids.get(piece)
+        ids = [known] if known is not None else [self.byte_ids[b] for b in piece.encode()]
         return pack(f"<{len(ids)}I", *ids)
 
     def _encoded(self, text: str) -> bytes:
@@ -260,7 +272,7 @@ class _Neighbours(dict):
     """One piece: whether other pieces may stand behind it, worked out when first asked for."""
 
     def __init__(self, pieces: Pieces, piece: str):
-        self.pieces, self.piece = pieces, piece
+        self.pieces, self.piece, self.size, self.packed = pieces, piece, len(piece), pieces._packed(piece)
 
     def __missing__(self, right: str) -> bool:
         if self.pieces.verdicts >= PAIRS:
