@@ -1,5 +1,6 @@
 """Hot groups, ties, long texts and clashing names: operators against brute force on small frames."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -104,6 +105,28 @@ def test_a_phrase_that_very_many_items_share(spark):
     assert got == {1: (5499, 5000, 20000), 2: (20000, 0, 0)}
 
 
+def test_very_many_texts_with_a_phrase_of_very_many_items(spark):
+    phrase = " ".join(f"p{i}" for i in range(10))
+    items = spark.createDataFrame([(i, f"{phrase} item{i} tail") for i in range(20000)], "item_id long, text string")
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{phrase} own "), "id").alias("text"))
+    names = hashlib.sha256(",".join(sorted(map(str, range(20000)))).encode()).hexdigest()
+    for block in (1 << 25, 1000):
+        rows = contamination(docs, items, block_bytes=block).groupBy("n_words", "n_hit", "n_items", "items_sha256", "contaminated").count().collect()
+        assert [tuple(r) for r in rows] == [(12, 10, 20000, names, True, 2000)]
+
+
+def test_a_joined_benchmark_gives_the_same_rows(spark):
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    more = [(1000 + i, " ".join(r.choice(words) for _ in range(r.randrange(0, 40)))) for i in range(200)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*more, *more[:20], (None, more[0][1]), (5000, None)], "doc_id long, text string"))
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").unionByName(spark.createDataFrame([(f"x{i}", " ".join(r.choice(words) for _ in range(r.choice([1, 2, 3, 10, 12])))) for i in range(40)] + [(None, more[3][1]), ("none", None)], "item_id string, text string"))
+    held, joined = contamination(docs, items), contamination(docs, items, block_bytes=1)
+    assert held.schema.names == joined.schema.names and Counter(held.collect()) == Counter(joined.collect())
+    assert Counter(drop_contaminated(docs, items).collect()) == Counter(drop_contaminated(docs, items, block_bytes=1).collect())
+
+
 @pytest.mark.parametrize("filter_size", [1, 50, 1 << 20])
 def test_repeated_fingerprints_over_ranges(spark, filter_size):
     r = np.random.default_rng(3)
