@@ -3,8 +3,8 @@
 Overlapping heuristic labellers vote reject, keep or abstain. Expectation
 maximisation over the counts of vote patterns (of all documents; at most 3 to the number of
 labellers) estimates how each labeller votes on good and on bad documents, and so the probability
-that a pattern's documents are good. Those posterior labels train a linear scorer over hashed
-features; the scorer judges every document. No gold labels are used.
+that a pattern's documents are good. Those posterior labels, as probabilities, train a linear scorer
+over hashed words and shapes of characters; the scorer judges every document. No gold labels are used.
 """
 
 from __future__ import annotations
@@ -179,7 +179,7 @@ _SHAPE[65:91] = ord("A")
 _SHAPE[48:58] = ord("9")
 _SHAPE[128:] = ord("u")
 _SHAPE[[*range(9, 14)]] = ord(" ")
-FEATURES = BUCKETS + 64
+FEATURES = 2 * BUCKETS + 64
 _SHAPES = np.unique(_SHAPE)
 _CODES = len(_SHAPES)
 _CODE = np.zeros(256, np.int32)
@@ -188,7 +188,7 @@ _TRIGRAM = (mix(np.arange(_CODES**3, dtype=np.uint64)) % np.uint64(BUCKETS)).ast
 
 
 def features(words: Words, raw: np.ndarray, doc: np.ndarray, statistics: dict[str, np.ndarray]) -> np.ndarray:
-    """Square roots of hashed shares of shape trigrams, and binned word statistics."""
+    """Square roots of hashed shares of shape trigrams and of words, and binned word statistics."""
     n = words.last - words.first
     out = np.zeros((n, FEATURES), np.float32)
     if len(raw) > 2:
@@ -204,11 +204,14 @@ def features(words: Words, raw: np.ndarray, doc: np.ndarray, statistics: dict[st
         out[:, BUCKETS + 8 + 16 * k] = statistics[name]
     out[np.arange(n), BUCKETS + 32 + scale] = 0.25
     out[:, BUCKETS + 63] = 1
+    bucket = (words.hashes >> np.uint64(20)).astype(np.int64) % BUCKETS
+    flat = np.bincount(words.doc * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    out[:, BUCKETS + 64 :] = np.sqrt(flat / np.maximum(flat.sum(1, keepdims=True), 1))
     return out
 
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> np.ndarray:
-    """Logistic regression with balanced classes by Adam on the whole sample."""
+    """Logistic regression on labels that are probabilities, with balanced classes, by Adam on the whole sample."""
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     share = max(1e-6, min(1 - 1e-6, float(y.mean()))) if len(y) else 0.5
     weight = (y / (2 * share) + (1 - y) / (2 * (1 - share))).astype(np.float32)
@@ -255,12 +258,12 @@ def _fit(texts: DataFrame, sample_rows: int) -> tuple[np.ndarray | None, dict[st
     counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3 ** labellers
     posterior = fit_labellers(counts)
     picks = []
-    for sure in ({p for p, x in posterior.items() if x < 0.2}, {p for p, x in posterior.items() if x > 0.8}):
-        own = voted.where(F.col("votes").isin(sorted(sure))).select("h").distinct()
-        picks.append([r["h"] for r in own.orderBy(F.xxhash64(F.lit(9), "h"), "h").limit(sample_rows).collect()])
+    for side in ({p for p, x in posterior.items() if x < 0.5}, {p for p, x in posterior.items() if x >= 0.5}):
+        own = voted.where(F.col("votes").isin(sorted(side))).select("h", "votes").distinct()
+        picks.append([(r["h"], posterior[r["votes"]]) for r in own.orderBy(F.xxhash64(F.lit(9), "h"), "h").limit(sample_rows).collect()])
     if not all(picks):
         return None, posterior
-    rows = [(h, float(k)) for k, own in enumerate(picks) for h in own]
+    rows = [pick for own in picks for pick in own]
     chosen = texts.sparkSession.createDataFrame(rows, "h long, good double")
     sample = texts.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), "h").dropDuplicates(["h"])
     table = sample.select("text", "good", "h").mapInArrow(_feature_form, "good double, h long, x binary").toArrow()
