@@ -30,11 +30,12 @@ PATTERNS = {
 }
 #: A token with a digit or an at sign, from the start of a word.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:(?<=[0-9])\x20[0-9]++(?![^\x20\x09-\x0D]))*+"
-#: Shorter tokens are too common to be identifiers: years, counts, ordinals.
+#: Of learned spans, unless ``least_length`` says another: shorter tokens are mostly years, counts and ordinals.
 LEAST_LENGTH = 6
 #: Characters that do not belong to an identifier at its ends.
 _EDGES = r"^[^\p{L}\p{N}+@]+|[^\p{L}\p{N}@]+$"
 
+#: Rounds at least; more follow as long as patterns become sure.
 ROUNDS = 3
 #: A pattern needs this many different seed instances, and this score.
 LEAST_SEEDS, SURE = 5, 0.9
@@ -145,19 +146,21 @@ def learned_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = L
     """pattern, token, kind (null unless a seed) -> sure patterns (pattern, kind, confidence), and instances (token, kind, score).
 
     Edges are distinct pairs of pattern and token, so frequent repeats weigh nothing. All edges take
-    part in all rounds. Sums by pattern or token are partial first, and scores come back by a
+    part in all rounds, and rounds go on until no pattern is new among the sure ones. Sums by pattern or token are partial first, and scores come back by a
     broadcast while they are few, so a pattern that very many tokens fill is no task's load.
     """
     edges = cut(seen.groupBy("pattern", "token").agg(F.max("kind").alias("seed")))
     degree = edges.groupBy("pattern").agg(F.count("*").alias("degree"))
     seeds = small_side(cut(edges.where("seed is not null").groupBy("token").agg(F.max("seed").alias("kind"), F.lit(1.0).alias("score"))))
-    scores, patterns = seeds, None
-    for _ in range(rounds):
+    scores, good, known, done = seeds, None, -1, 0
+    while True:
         own = edges.select("pattern", "token").join(scores, "token")
         by_kind = own.groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.sum((F.col("score") >= promoted).cast("long")).alias("support"))
         best = by_kind.groupBy("pattern").agg(F.max_by(F.struct("kind", "score", "support"), F.struct("score", "support", "kind")).alias("b")).select("pattern", "b.*")
         # one instance more, without score, keeps rare patterns low
         patterns = cut(best.join(degree, "pattern").select("pattern", "kind", (F.col("score") / (F.col("degree") + 0.1)).alias("confidence"), "support"))
+        good = cut(patterns.where((F.col("confidence") >= sure) & (F.col("support") >= least_seeds)).select("pattern", "kind", "confidence"))
+        before, known, done = known, good.count(), done + 1
         telling = small_side(cut(patterns.where(F.col("confidence") >= 0.5)))
         back = edges.where("seed is null").join(telling, "pattern")
         sound = (F.col("confidence") >= sure) & (F.col("support") >= least_seeds)
@@ -167,16 +170,16 @@ def learned_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = L
         mine = mine.groupBy("token").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("b")).select("token", "b.*")
         mine = mine.join(seeds.select("token"), "token", "left_anti")
         scores = small_side(cut(seeds.union(mine.select("token", "kind", F.when(F.col("score") >= promoted, 1.0).otherwise(F.col("score")).alias("score")))))
-    good = patterns.where((F.col("confidence") >= sure) & (F.col("support") >= least_seeds)).select("pattern", "kind", "confidence")
-    return good, scores
+        if done >= rounds and known <= before:
+            return good, scores
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = LEAST_LENGTH, **options) -> DataFrame:
     """One row per document row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
     ``base_sha256`` digests the spans of the four known forms, ``spans`` joins these and the ones that
     learned contexts add (with the kind of their context's seeds), each as kind:start:end in code
-    points. A learned span never overlaps a known one and has LEAST_LENGTH characters or more. A token
+    points. A learned span never overlaps a known one and has ``least_length`` characters or more. A token
     of a list, with no word between it and the token before, has the list's context; one at the start
     of the text has that as its context. Null counts as empty; repeated rows are marked alike; an empty
     table gives no rows; other columns are ignored.
@@ -192,7 +195,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     events = rows.where(F.size("tokens") > 0).select("row", F.inline(F.concat(tokens, spans)))
     before = Window.partitionBy("row").orderBy("pos", "what", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach, left = F.max(F.when(F.col("what") == 1, F.struct("end", "kind"))).over(before), F.last(F.nullif(F.col("left"), F.lit("")), ignorenulls=True).over(before)
-    token = events.select("*", reach.alias("reach"), left.alias("context")).where((F.col("what") == 0) & (F.length("token") >= LEAST_LENGTH))
+    token = events.select("*", reach.alias("reach"), left.alias("context")).where((F.col("what") == 0) & (F.length("token") >= least_length))
     token = cut(token.select("row", "start", "end", F.lower("token").alias("token"), missing(F.col("context"), "^").alias("left"), F.when(F.col("reach.end") > F.col("start"), F.col("reach.kind")).alias("kind")))
     wide = token.select("row", "start", "end", "token", "kind", F.explode(F.array_distinct(F.array(F.element_at(F.split("left", " "), -1), "left"))).alias("pattern"))
     good, _ = learned_patterns(wide, **options)

@@ -207,6 +207,21 @@ def test_contexts_discover_identifiers(spark):
     assert got[400].n_added == got[500].n_added == 0
 
 
+def test_rounds_go_on_while_patterns_are_new(spark):
+    # what a hop's word finds stands behind the next hop's word as well: the last is found after six rounds
+    hops = ["hop" + x for x in "abcdefg"]
+    rows = [(f"{hops[0]} a{i}@mail{i}.org and",) for i in range(24)]
+    for h in range(6):
+        for i in range(19 - h):
+            rows += [(f"{hops[h]} user{h}x{i}00{h} then",), (f"{hops[h + 1]} user{h}x{i}00{h} then",)]
+    rows += [("hopg last1001 then",), ("hopa b12 then",)]
+    docs = spark.createDataFrame(rows, "text string").withColumn("doc_id", F.col("text"))
+    few = {"sure": 0.5, "least_seeds": 1}
+    got = {r.doc_id: r.n_added for r in personal_data(docs, **few).collect()}
+    assert got["hopg last1001 then"] == 1 and got["hopa b12 then"] == 0
+    assert {r.doc_id: r.n_added for r in personal_data(docs, least_length=3, **few).collect()}["hopa b12 then"] == 1
+
+
 def test_very_many_matches_in_one_text(spark):
     text = " ".join(f"a{i}@b.org" for i in range(20000))
     row = personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
