@@ -1,5 +1,6 @@
 """The training-data operators against SQL, brute force and their contracts; edge cases on small frames."""
 
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -18,6 +19,7 @@ from railside.llm.pii import personal_data
 from railside.llm.quality import drop_low_quality, quality_scores
 from railside.llm.sharding import shard_digest, shard_documents
 from railside.llm.warc import convert_pages
+from tests.llm.test_hard_cases import _components as components
 from tests.oracle import SMALL, differences
 
 SCHEMA = "doc_id long, text string, source string, SHARD int, Key string"
@@ -130,9 +132,53 @@ def test_quality_follows_labels(spark):
     assert kept[1] > 0.9 and kept[1] - kept[0] > 0.5
 
 
-def test_pipeline_stages(spark):
+def _hit(text: str | None, windows: dict[int, set[tuple]]) -> bool:
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return any(tuple(words[i : i + n]) in own for n, own in windows.items() for i in range(len(words) - n + 1))
+
+
+def test_pipeline_stages(spark, monkeypatch, tmp_path):
+    """Each stage's rows by brute force from what it was given."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    out = corpus_pipeline.run(spark, SMALL)
-    assert set(docs.columns) <= set(out.columns)
-    rows = out.select("doc_id", "shard", "slot").collect()
-    assert rows and max(Counter(r.doc_id for r in rows).values()) <= 2
+    given, rows = {r.doc_id: r for r in docs.collect()}, {}
+    frame = docs
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, frame, SMALL).write.parquet(f"{tmp_path}/{name}")
+        frame = spark.read.parquet(f"{tmp_path}/{name}")
+        assert set(docs.columns) <= set(frame.columns) and (name == "sharding" or frame.columns == docs.columns)
+        rows[name] = frame.collect()
+        for r in rows[name]:
+            assert all(r[c] == given[r.doc_id][c] for c in docs.columns)
+    ids = {name: Counter(r.doc_id for r in own) for name, own in rows.items()}
+    kept = {r.doc_id for r in quality_scores(docs).collect() if r.kept}
+    assert set(ids["quality"]) == kept and set(ids["quality"].values()) == {1}
+    group = components({i: given[i].text for i in kept}, 5, 80)
+    assert Counter(group[i] for i in ids["near_duplicates"]) == Counter(set(group.values()))
+    windows: dict[int, set[tuple]] = defaultdict(set)
+    for item in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (item.text or "").translate({c: c + 32 for c in range(65, 91)}))
+        n = min(10, len(words))
+        windows[n] |= {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+    assert ids["decontamination"] == Counter({i: 1 for i in ids["near_duplicates"] if not _hit(given[i].text, windows)})
+    plan = {r.doc_id: len(r.mix_shards or []) for r in mix_plan(spark.read.parquet(f"{tmp_path}/decontamination")).collect()}
+    assert ids["mixing"] == Counter({i: n for i, n in plan.items() if n}) and max(ids["mixing"].values()) <= 2
+    assert ids["sharding"] == ids["mixing"]
+    slots = defaultdict(list)
+    for r in rows["sharding"]:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_the_pipeline_keeps_one_folder(spark, monkeypatch, tmp_path):
+    made = []
+    monkeypatch.setattr(corpus_pipeline, "scratch_path", lambda _, name: made.append(f"{tmp_path}/{name}") or made[-1])
+    assert corpus_pipeline.run(spark, SMALL).count() > 0
+    assert [os.path.exists(p) for p in made] == [False, False, False, True]
+
+
+@pytest.mark.parametrize("table", ["documents", "benchmark"])
+def test_the_pipeline_on_an_empty_table(spark, tmp_path, table):
+    for t in ("documents", "benchmark"):
+        frame = spark.read.parquet(f"{SMALL}/{t}.parquet")
+        (frame.limit(0) if t == table else frame).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert (corpus_pipeline.run(spark, str(tmp_path)).count() > 0) == (table == "benchmark")
