@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railside.functions.columns import count_where
+from railside.plans.months import in_months, stored
 from railside.plans.racing import Racing
 from railside.registry import racing_query
 
@@ -67,8 +68,12 @@ _PAST = dict(date_from="1996-01-01", date_to="2000-12-31", dsr_max=400, or_delta
     **_PAST,
 )
 def near_miss_past(r: Racing, date_from: str | None = None, date_to: str | None = None, race_type: str | None = None, last_pos: int = 2, btn_max: float = 3.0, dsr_max: int = 14, or_delta_max: int = 0, dist_f_tolerance: float = 1.0, same_surface: bool = True, include_null_or: bool = False, require_next_win: bool = False, price_source: str = "bsp", limit: int = 200, offset: int = 0) -> DataFrame:
-    """Past cases of the angle with the next run's result and price; an unknown price source gives null."""
-    rows = last_next(r)
+    """Past cases of the angle with the next run's result and price; an unknown price source gives null.
+
+    Last and next runs are stored by month of the last one: the lead over each horse's runs is taken
+    once for the files there are, and a range of days reads its months.
+    """
+    rows = in_months(stored(r, "last_next", ["races", "runners"], lambda: last_next(r), "last_date"), "row_month", date_from, date_to).drop("row_month")
     if date_from:
         rows = rows.where(F.col("last_date") >= F.lit(date.fromisoformat(date_from)))
     if date_to:

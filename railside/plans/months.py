@@ -7,6 +7,7 @@ and its join by race needs no exchange, since both sides come in equal buckets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,24 @@ def month_of(day: Column | str) -> Column:
     return F.year(day) * 100 + F.month(day)
 
 
+def stored(r: Racing, name: str, tables: list[str], build: Callable[[], DataFrame], day: str) -> DataFrame:
+    """The rows of ``build`` as a catalog table by the month of a day, made once for the files that ``tables`` come from."""
+    table = f"railside_{name}_{state_of(r.spark, r.files(*tables))[0]}"
+    if not r.spark.catalog.tableExists(table):
+        rows = build().withColumn("row_month", month_of(day))
+        rows.hint("rebalance", "row_month").write.partitionBy("row_month").mode("overwrite").option("path", scratch(r.spark, table)).saveAsTable(table)
+    return r.spark.table(table)
+
+
+def in_months(rows: DataFrame, month: str, date_from: str | None, date_to: str | None) -> DataFrame:
+    """The months' rows that an inclusive range of days touches: a filter that prunes folders."""
+    for bound, side in ((date_from, F.col(month).__ge__), (date_to, F.col(month).__le__)):
+        if bound:
+            at = date.fromisoformat(bound)
+            rows = rows.where(side(at.year * 100 + at.month))
+    return rows
+
+
 class MonthStore:
     """``races`` and ``runners`` of one warehouse by month and bucket, and the dimensions that reports name.
 
@@ -56,12 +75,8 @@ class MonthStore:
 
     def between(self, r: Racing, date_from: str | None, date_to: str | None) -> Racing:
         """The warehouse with the facts of an inclusive range of days."""
-        races, runners = self.spark.table(self.races), self.spark.table(self.runners)
-        day = F.col("race_date")
-        for bound, month_side, day_side in ((date_from, F.col("race_month").__ge__, day.__ge__), (date_to, F.col("race_month").__le__, day.__le__)):
-            if bound:
-                at = date.fromisoformat(bound)
-                races = races.where(day_side(F.lit(at)) & month_side(at.year * 100 + at.month))
-                runners = runners.where(month_side(at.year * 100 + at.month))
+        races, runners = (in_months(self.spark.table(t), "race_month", date_from, date_to) for t in (self.races, self.runners))
+        for bound, side in ((date_from, F.col("race_date").__ge__), (date_to, F.col("race_date").__le__)):
+            races = races.where(side(F.lit(date.fromisoformat(bound)))) if bound else races
         named = {dimension: self.spark.table(table) for dimension, table in self.dimensions.items()}
         return r.having(races=races.drop("race_month"), runners=runners.drop("race_month"), **named)

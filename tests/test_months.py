@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from railside import registry
+from railside.operators.angle import last_next, near_miss_past
 from railside.operators.market import inplay_moves, market_movers
 from railside.plans.months import MonthStore, month_of
 from railside.plans.racing import Racing
@@ -73,3 +74,12 @@ def test_no_races_at_all(spark, racing):
     empty = racing.having(races=racing.races.where("false"), runners=racing.runners.where(F.lit(False)))
     assert market_movers(empty, "1998-03-01", "1998-03-31").collect() == []
     assert set(registry.QUERIES) >= {"market_movers", "inplay_moves", "market_movers_range", "inplay_swing"}
+
+
+def test_last_and_next_runs_are_stored_by_month(spark, racing):
+    first = near_miss_past(racing, "1996-01-01", "1996-03-31", dsr_max=4000, or_delta_max=99, btn_max=99, dist_f_tolerance=99)
+    plan = _plan(first)
+    assert "Window" not in plan and "PartitionFilters: [isnotnull(row_month" in plan
+    assert {int(re.search(r"row_month=(\d+)", f)[1]) for f in first.inputFiles() if "row_month=" in f} <= {199601, 199602, 199603}
+    direct = last_next(racing).where("last_date between DATE '1996-01-01' and DATE '1996-03-31' and last_pos = 2 and last_btn <= 99 and last_or is not null and next_or is not null and dsr_next <= 4000 and next_or - last_or <= 99 and next_surface = last_surface")
+    assert first.count() == min(200, direct.count()) > 0
