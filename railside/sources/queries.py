@@ -169,9 +169,15 @@ def scan(r: Racing) -> DataFrame:
     return r.races.where("race_date = DATE '1999-05-05'").select("race_id", "race_date", "surface")
 
 
-@table_query("src_dates", "SELECT CAST(d AS DATE) AS d FROM generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-03-02', INTERVAL 1 DAY) g(d)")
-def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.days_between(spark, "2023/12/30-2024/03/02")
+@racing_query(
+    "src_dates",
+    "SELECT CAST(d AS DATE) AS d, coalesce(n, 0) AS races FROM (SELECT unnest(generate_series(CAST(min(race_date) AS TIMESTAMP), CAST(max(race_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM races) LEFT JOIN (SELECT race_date, count(*) AS n FROM races GROUP BY 1) ON race_date = CAST(d AS DATE)",
+)
+def date_range(r: Racing) -> DataFrame:
+    """Each day of the range from the first race to the last, given as YYYY/MM/DD-YYYY/MM/DD, and its races."""
+    ends = r.races.agg(F.concat_ws("-", F.date_format(F.min("race_date"), "yyyy/MM/dd"), F.date_format(F.max("race_date"), "yyyy/MM/dd"))).first()[0]  # one row
+    days = r.races.groupBy(F.col("race_date").alias("d")).agg(F.count("*").alias("n"))
+    return feeds.days_between(r.spark, ends).join(days, "d", "left").select("d", F.coalesce("n", F.lit(0)).cast("long").alias("races"))
 
 
 def _range_files(r: Racing) -> str:
