@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -172,7 +171,7 @@ def tagged(parts: dict[str, DataFrame]) -> DataFrame:
 def _profile(r: Racing, key: str, value: int) -> Racing:
     """The same warehouse with one entity's runners alone, for all parts of the profile."""
     own = r.runners.where(F.col(key) == value)
-    return replace(r, runners=own)
+    return r.having(runners=own)
 
 
 _FORM_SQL = """

@@ -34,7 +34,7 @@ def global_search(r: Racing, query: str, limit: int = 10, least: float = 0.3) ->
     Score and id order a kind's list. Each list is a top-k of ``limit`` rows, so the total is over a few.
     """
     frames = [frame for frame, _, _ in KINDS.values()]
-    path = kept(r.spark, f"names-{state_of(r.spark, r.files(*frames))[0]}", lambda: gram_postings(all_names(r)))
+    path = kept(r.spark, f"names-{r.state(*frames)[0]}", lambda: gram_postings(all_names(r)))
     best = Window.partitionBy("type").orderBy(F.desc("score"), "id")
     found = similar(r.spark, path, query, least).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= limit).drop("rn")
     return found.withColumn("total_results", F.count("*").over(Window.partitionBy()))

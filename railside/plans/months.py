@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from railside.plans.racing import Racing
 from railside.plans.scratch import scratch
-from railside.plans.snapshots import state_of
 
 #: Bytes of a month's runners that one bucket holds, about.
 BUCKET_BYTES = 128 << 20
@@ -29,7 +28,7 @@ def month_of(day: Column | str) -> Column:
 
 def stored(r: Racing, name: str, tables: list[str], build: Callable[[], DataFrame], day: str) -> DataFrame:
     """The rows of ``build`` as a catalog table by the month of a day, made once for the files that ``tables`` come from."""
-    table = f"railside_{name}_{state_of(r.spark, r.files(*tables))[0]}"
+    table = f"railside_{name}_{r.state(*tables)[0]}"
     if not r.spark.catalog.tableExists(table):
         rows = build().withColumn("row_month", month_of(day))
         rows.hint("rebalance", "row_month").write.partitionBy("row_month").mode("overwrite").option("path", scratch(r.spark, table)).saveAsTable(table)
@@ -54,7 +53,7 @@ class MonthStore:
 
     def __init__(self, r: Racing, buckets: int | None = None):
         self.spark = r.spark
-        name, size = state_of(r.spark, r.files("races", "runners", *DIMENSIONS))
+        name, size = r.state("races", "runners", *DIMENSIONS)
         name += f"_{buckets}" if buckets else ""
         self.races, self.runners, *dimensions = (f"railside_{t}_{name}" for t in ("races", "runners", *DIMENSIONS))
         self.dimensions = dict(zip(DIMENSIONS, dimensions, strict=True))

@@ -21,6 +21,8 @@ from railside.functions.text import STOP_WORDS, trigrams
 from railside.plans.scratch import shared_folder
 from railside.plans.snapshots import Files
 
+#: Stands in an index's name: a new number where stems, grams or columns change.
+FORMAT = 1
 #: Buckets of an index: folders, of which a query of a few terms reads a few.
 BUCKETS = 64
 #: Rows that a Python worker gives back at once.
@@ -37,7 +39,7 @@ def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], buckets
     It is written beside and renamed, so that it is there as a whole or not at all; if two make it
     at once, one of the two is kept.
     """
-    path = f"{folder or shared_folder(spark)}/{name}-{buckets}"
+    path = f"{folder or shared_folder(spark)}/{name}-{FORMAT}-{buckets}"
     files = Files(spark, path)
     if not files.fs.exists(files.path("")):
         made = f"{path}-{uuid.uuid4().hex}"

@@ -7,11 +7,14 @@ customer a jockey and an owner, a nation a course. The same select lists serve S
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from railside.plans.snapshots import state_of
+
 RACES = """o_orderkey AS race_id
 CAST(o_orderdate AS DATE) AS race_date
 o_custkey % 25 AS course_id
@@ -101,9 +104,12 @@ class Racing:
         paths = {name: f"{sf_dir}/{table}.parquet" for name, (table, _) in _VIEWS.items()}
         return cls(spark, paths, **{name: partial(_view, spark, paths[name], columns) for name, (_, columns) in _VIEWS.items()})
 
-    def files(self, *tables: str) -> list[str]:
-        """The files or folders that tables come from."""
-        return [p for t in tables for p in ([self.paths[t]] if t in self.paths else getattr(self, t).inputFiles())]
+    def state(self, *tables: str) -> tuple[str, int]:
+        """A name for what tables are now, by their files and, where they are no plain views, their plans; and the files' bytes."""
+        files = [p for t in tables for p in ([self.paths[t]] if t in self.paths else getattr(self, t).inputFiles())]
+        name, size = state_of(self.spark, files)
+        plans = [f"{t}{getattr(self, t).semanticHash()}" for t in tables if t not in self.paths]
+        return hashlib.sha256("|".join([name, *plans]).encode()).hexdigest()[:16], size
 
     def having(self, **frames: DataFrame) -> Racing:
         """The same warehouse with other frames for some of its tables."""

@@ -70,6 +70,12 @@ def test_changed_files_make_new_tables(spark, tmp_path):
     assert market_movers(frames, "1998-03-01", "1998-03-31").count() == market_movers(r, "1998-03-01", "1998-03-31").count() > 0
 
 
+def test_other_rows_of_the_same_files_make_other_tables(spark, racing):
+    some = racing.having(runners=racing.runners.where("num = 1"))
+    assert MonthStore(some).runners != MonthStore(racing).runners == MonthStore(Racing.from_tables(spark, SMALL)).runners
+    assert {r.num for r in MonthStore(some).between(some, None, None).runners.select("num").distinct().collect()} == {1}
+
+
 def test_no_races_at_all(spark, racing):
     empty = racing.having(races=racing.races.where("false"), runners=racing.runners.where(F.lit(False)))
     assert market_movers(empty, "1998-03-01", "1998-03-31").collect() == []
