@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from railside.plans.racing import Racing
 from railside.plans.scratch import scratch
-from railside.registry import racing_query
+from railside.registry import racing_query, table_query
 
 #: new: the new value; fill: the new one unless null; old: the old one stays.
 MODES = {"new": lambda o, n: n, "fill": lambda o, n: F.coalesce(n, o), "old": lambda o, n: o}
@@ -99,17 +99,17 @@ def replace_days(rows: DataFrame, path: str, day: str = "race_date") -> None:
     rows.hint("rebalance", F.col(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
-@racing_query(
+@table_query(
     "replace_date",
-    "SELECT race_id, race_date, CASE WHEN came THEN 'new' ELSE 'old' END AS src FROM (SELECT race_id, race_date, dayofmonth(race_date) = 5 AND bool_or(race_id % 2 = 0) OVER (PARTITION BY race_date) AS came FROM races) WHERE NOT (came AND race_id % 2 = 1)",
+    "SELECT event_id, day, CASE WHEN came THEN 'new' ELSE 'old' END AS src FROM (SELECT event_id, CAST(ts AS DATE) AS day, dayofmonth(ts) % 5 = 0 AND bool_or(event_id % 2 = 0) OVER (PARTITION BY CAST(ts AS DATE)) AS came FROM events) WHERE NOT (came AND event_id % 2 = 1)",
 )
-def replaced_days(r: Racing) -> DataFrame:
-    """All races by day; then the fifth of each month comes again, with its even races only."""
-    path = scratch(r.spark, "races_by_day")
-    races = r.races.select("race_id", F.lit("old").alias("src"), "race_date")
-    replace_days(races, path)
-    replace_days(races.where("dayofmonth(race_date) = 5 and race_id % 2 = 0").withColumn("src", F.lit("new")), path)
-    return r.spark.read.schema("race_id long, src string, race_date date").parquet(path).select("race_id", "race_date", "src")
+def replaced_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events by day; then every fifth day comes again, with its even events only."""
+    path = scratch(spark, "events_by_day")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.lit("old").alias("src"), F.to_date("ts").alias("day"))
+    replace_days(events, path, "day")
+    replace_days(events.where("dayofmonth(day) % 5 = 0 and event_id % 2 = 0").withColumn("src", F.lit("new")), path, "day")
+    return spark.read.schema("event_id long, src string, day date").parquet(path).select("event_id", "day", "src")
 
 
 @racing_query("update_from", "SELECT race_id, coalesce(m.to_id, course_id) AS course_id FROM races LEFT JOIN (VALUES (1, 2), (3, 4)) m(from_id, to_id) ON course_id = from_id")

@@ -79,3 +79,12 @@ class MonthStore:
             races = races.where(side(F.lit(date.fromisoformat(bound)))) if bound else races
         named = {dimension: self.spark.table(table) for dimension, table in self.dimensions.items()}
         return r.having(races=races.drop("race_month"), runners=runners.drop("race_month"), **named)
+
+    def of_races(self, condition: Column) -> DataFrame:
+        """Runners with their races, of the races that meet a condition on whatever column.
+
+        Which months these lie in is found at run time: the runners' scan waits for it and reads no
+        others' files (dynamic partition pruning), as long as the races are few enough to be broadcast.
+        """
+        races = self.spark.table(self.races).where(condition)
+        return self.spark.table(self.runners).join(races, ["race_month", "race_id"]).drop("race_month")

@@ -49,6 +49,16 @@ def test_races_meet_runners_without_a_shuffle(spark, racing):
     assert sorted(map(repr, joined.select(order).collect())) == sorted(map(repr, direct.select(order).collect()))
 
 
+def test_months_are_pruned_at_run_time(racing):
+    store = MonthStore(racing)
+    few = racing.races.where("prize_fund > 100000 and course_id = 3")
+    frame = store.of_races((F.col("prize_fund") > 100000) & (F.col("course_id") == 3))
+    rows = frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression(race_month" in plan and "Exchange hashpartitioning" not in plan
+    assert rows and sorted((r.race_id, r.num, r.horse_id) for r in rows) == sorted((r.race_id, r.num, r.horse_id) for r in racing.runners.join(few, "race_id").collect())
+
+
 def test_one_file_for_each_month_and_bucket(spark, racing):
     store = MonthStore(racing, buckets=3)
     files = spark.table(store.runners).inputFiles()
