@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railside.functions import racing
@@ -61,7 +61,7 @@ def result_runners(pages: DataFrame, url: str = "url", html: str = "html") -> Da
         F.col("dist"),
         metres.alias("dist_m"),
         racing.race_type(F.col("race_name"), metres, fences=F.col("hurdles")).alias("race_type"),
-        F.coalesce(F.regexp_extract("ran", r"(\d+)", 1).try_cast("int"), _count_by(url)).alias("ran"),
+        F.coalesce(F.regexp_extract("ran", r"(\d+)", 1).try_cast("int"), F.col("rows").cast("int")).alias("ran"),
         F.regexp_replace("num", r"\.", "").try_cast("int").alias("num"),
         F.regexp_replace("draw", r"[()\s\x{a0}]", "").try_cast("int").alias("draw"),
         position.alias("pos"),
@@ -90,10 +90,6 @@ def result_runners(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     return typed.where(F.coalesce(F.col("pos"), F.lit("")) != "VOI")
 
 
-def _count_by(url: str) -> Column:
-    return F.count("*").over(Window.partitionBy(url)).cast("int")
-
-
 def _spaced(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -111,24 +107,29 @@ FROM runners JOIN races USING (race_id)""",
 )
 def results_from_pages(r: Racing) -> DataFrame:
     """Each race as a result page, with tags left open, in other cases, nested and without quotes, and read back."""
-    n, horse = F.col("num"), F.col("horse_id")
     profile = lambda kind, key: _spaced(f"/profile/{kind}/", key, "/x")
     link = lambda selector, kind, key, text: _spaced(f'<a data-test-selector="link-{selector}" href="', profile(kind, key), '">', text, "</a>")
     parent = lambda kind, key, text: _spaced(f'<a href="/profile/{kind}/', key, '/y">', text, "</a>")
-    dam = parent("dam", horse % 5, _spaced("Dam ", horse % 5, " <span>(FR)</span>"))
-    damsire = F.when(n != 2, _spaced(" ( ", parent("horse", horse % 3, _spaced("Damsire ", horse % 3)), ")")).otherwise(_spaced(" (", parent("horse", F.lit(0), F.lit("Damsire Unregistered")), ")"))
-    sire = F.when(n < 4, _spaced(parent("horse", horse % 7, _spaced("Sire ", horse % 7, " (IRE)")), " - ")).otherwise("")
-    pedigree = F.when(n == 4, "").otherwise(_spaced('<tr data-test-selector="block-pedigreeInfoFullResults"><td>b g ', sire, dam, damsire))
-    row = _spaced(
-        '<TR class="rp-horseTable__mainRow is-even"><td><span data-test-selector="text-horsePosition">', F.coalesce("pos_raw", F.lit("F")),
-        F.when(n % 2 == 1, _spaced("<sup class='rp-horseTable__pos__draw'>&nbsp;(", F.col("draw"), ")</sup>")).otherwise(""), "</span><!-- <td class=none> -->",
-        '<td><span class="rp-horseTable__saddleClothNo">', n, ".</span>", link("horseName", "horse", horse, _spaced(" Horse <b>", horse)),
-        F.when(n % 3 != 0, _spaced('<span class="rp-horseTable__horse__price">', n, "/2F</span>")).otherwise('<span class="rp-horseTable__horse__price">No Odds</span>'),
-        "<td>", link("jockeyName", "jockey", F.col("jockey_id"), _spaced("J ", F.col("jockey_id"))), "</i>", link("trainerName", "trainer", F.col("trainer_id"), F.lit("T")),
-        "<td class=wgt><span data-ending=st>9</span>-<span data-ending=lb>", n + 2, '</span><td data-ending="OR">', F.when(F.col("official") % 4 != 0, F.col("official").cast("string")).otherwise("–"),
-        '<td><div data-test-selector="text-prizeMoney">£1,234.50<br></div></tr><tr class="rp-horseTable__commentRow ng-cloak"><td>led, &lt;caught&gt; ', n, pedigree,
-    )
-    rows = r.runners.groupBy("race_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("num", "horse_id", row.alias("row"))))["row"], "\n").alias("rows"))
+
+    def row(x: Column) -> Column:
+        n, horse = x["num"], x["horse_id"]
+        dam = parent("dam", horse % 5, _spaced("Dam ", horse % 5, " <span>(FR)</span>"))
+        damsire = F.when(n != 2, _spaced(" ( ", parent("horse", horse % 3, _spaced("Damsire ", horse % 3)), ")")).otherwise(_spaced(" (", parent("horse", F.lit(0), F.lit("Damsire Unregistered")), ")"))
+        sire = F.when(n < 4, _spaced(parent("horse", horse % 7, _spaced("Sire ", horse % 7, " (IRE)")), " - ")).otherwise("")
+        pedigree = F.when(n == 4, "").otherwise(_spaced('<tr data-test-selector="block-pedigreeInfoFullResults"><td>b g ', sire, dam, damsire))
+        return _spaced(
+            '<TR class="rp-horseTable__mainRow is-even"><td><span data-test-selector="text-horsePosition">', F.coalesce(x["pos_raw"], F.lit("F")),
+            F.when(n % 2 == 1, _spaced("<sup class='rp-horseTable__pos__draw'>&nbsp;(", x["draw"], ")</sup>")).otherwise(""), "</span><!-- <td class=none> -->",
+            '<td><span class="rp-horseTable__saddleClothNo">', n, ".</span>", link("horseName", "horse", horse, _spaced(" Horse <b>", horse)),
+            F.when(n % 3 != 0, _spaced('<span class="rp-horseTable__horse__price">', n, "/2F</span>")).otherwise('<span class="rp-horseTable__horse__price">No Odds</span>'),
+            "<td>", link("jockeyName", "jockey", x["jockey_id"], _spaced("J ", x["jockey_id"])), "</i>", link("trainerName", "trainer", x["trainer_id"], F.lit("T")),
+            "<td class=wgt><span data-ending=st>9</span>-<span data-ending=lb>", n + 2, '</span><td data-ending="OR">', F.when(x["official"] % 4 != 0, x["official"].cast("string")).otherwise("–"),
+            '<td><div data-test-selector="text-prizeMoney">£1,234.50<br></div></tr><tr class="rp-horseTable__commentRow ng-cloak"><td>led, &lt;caught&gt; ', n, pedigree,
+        )
+
+    # values are gathered by race, and become text where the page does
+    values = F.struct("num", "horse_id", "jockey_id", "trainer_id", "draw", "pos_raw", "official")
+    rows = r.runners.groupBy("race_id").agg(F.sort_array(F.collect_list(values)).alias("runners")).select("race_id", F.array_join(F.transform("runners", row), "\n").alias("rows"))
     fences = F.when(F.col("race_id") % 3 == 0, "8 hurdles").when(F.col("race_id") % 3 == 1, "12 fences").otherwise("")
     page = _spaced(
         '<!doctype html><html><head><title>a</title><script>var x = "<tr class=rp-horseTable__mainRow>";</script><body><Main data-analytics-coursename="Course &amp; ', F.col("course_id"),
