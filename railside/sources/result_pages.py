@@ -90,6 +90,11 @@ def result_runners(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     return typed.where(F.coalesce(F.col("pos"), F.lit("")) != "VOI")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, a few tasks each: pages are many times as large as the few columns that they are made from."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _spaced(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -179,6 +184,6 @@ def pedigrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     sire = F.when(k % 3 != 0, _spaced('<a href="/profile/horse/1/s">', F.col("p_name"), F.when(k % 2 == 0, " (IRE)").otherwise(""), "</a> - ")).otherwise("")
     damsire = F.when(k % 4 != 0, F.col("p_type")).otherwise("Damsire Unregistered")
     cell = _spaced('<table><tr data-test-selector="block-pedigreeInfoFullResults"><td>ch f ', sire, '<a href="/profile/horse/', k, '/d">', F.col("p_brand"), '<span> USA </span></a> (<a href="/profile/horse/3/e">', damsire, "</a>)")
-    rows = pedigree_texts(spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("k"), cell.alias("html")), "k")
+    rows = pedigree_texts(spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type")).select(k.alias("k"), cell.alias("html")), "k")
     out = rows.select("k", *parent_columns())
     return out.select("k", "sire", F.col("sire_country").alias("region"), "dam", "dam_country", "dam_id", "damsire")

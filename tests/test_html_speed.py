@@ -3,7 +3,8 @@
 import random
 
 from railside.sources.html import Tree
-from railside.sources.result_pages import result_runners
+from railside.sources.result_pages import pedigrees, result_runners
+from tests.oracle import SMALL
 
 PIECES = ["<p>", "</p>", '<TR class="a b">', "<td class=x/y>", "</td>", "<table>", "</table>", "<br/>", '<a href="/q?a=1&amp;b=2" HREF=no>', "</a>", "t &amp; &lt;", "&nb", "<!-- c <p> - d -->", "<!-->x-->", "<!--a--b-->", "<!doctype html>", "<script>", "if (a<b) x&amp;", "</SCRIPT >", "<div", ">", "<", '"', "\n", "é\xa0", '<a b = "c">', '<a b="c"d="e">', "<x-y>", "<?pi?>", "</>", "<li a b=c>", "</li x>", "&#65"]
 
@@ -34,3 +35,7 @@ def test_a_page_counts_its_own_runners(spark):
     rows = result_runners(spark.createDataFrame([("https://x.test/results/2/a/2024-01-05/9", page)] * 3, "url string, html string")).select("race_id", "ran")
     assert [r.ran for r in rows.collect()] == [2] * 6
     assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_of_few_bytes_are_dealt_over_all_cores(spark):
+    assert pedigrees(spark, SMALL).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
