@@ -172,7 +172,7 @@ def wins_and_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     cells = [_spaced(f'<td data-test-selector="RC-{m}WinsRuns__row"> ', k % 9, " - ", k % 50) for m in ("going", "distance", "course")]
     page = _spaced('<section data-accordion-row="stats"><table data-test-selector=RC-table><tr class="ui-table__head"><th>Horse<tr class="ui-table__row"><td data-test-selector="RC-horseName__row">Horse <b>', k % 40, "</b>", *cells, "</table><table><tr class=ui-table__row><td>other</table>")
-    rows = stats_texts(spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"), page.alias("html")), "k")
+    rows = stats_texts(spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")).select(k.alias("k"), page.alias("html")), "k")
     pair = F.split("value", "-")
     return rows.where("kind = 'horse'").select("k", "name", "measure", F.trim(pair[0]).try_cast("int").alias("wins"), F.trim(F.try_element_at(pair, F.lit(2))).try_cast("int").alias("runs"))
 

@@ -3,7 +3,7 @@
 import random
 
 from railside.sources.html import Tree
-from railside.sources.result_pages import pedigrees, result_runners
+from railside.sources.result_pages import pedigrees, result_runners, wins_and_runs
 from tests.oracle import SMALL
 
 PIECES = ["<p>", "</p>", '<TR class="a b">', "<td class=x/y>", "</td>", "<table>", "</table>", "<br/>", '<a href="/q?a=1&amp;b=2" HREF=no>', "</a>", "t &amp; &lt;", "&nb", "<!-- c <p> - d -->", "<!-->x-->", "<!--a--b-->", "<!doctype html>", "<script>", "if (a<b) x&amp;", "</SCRIPT >", "<div", ">", "<", '"', "\n", "é\xa0", '<a b = "c">', '<a b="c"d="e">', "<x-y>", "<?pi?>", "</>", "<li a b=c>", "</li x>", "&#65"]
@@ -38,4 +38,5 @@ def test_a_page_counts_its_own_runners(spark):
 
 
 def test_pages_of_few_bytes_are_dealt_over_all_cores(spark):
-    assert pedigrees(spark, SMALL).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    for query in (pedigrees, wins_and_runs):
+        assert query(spark, SMALL).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
