@@ -48,7 +48,7 @@ def envelopes(path: str, folder: str) -> Iterator[tuple]:
     from pyarrow import fs
 
     store = fs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else fs.LocalFileSystem()
-    with store.open_input_stream(path) as stream:
+    with store.open_input_stream(path) as stream:  # a name that ends in .gz is opened as such
         for number, line in enumerate(_lines(stream), 1):
             try:
                 envelope = json.loads(line)
@@ -167,7 +167,9 @@ FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quanti
 def order_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as recorded answers: catalogues of most markets, and books of all, an old one and a new one."""
     folder = scratch(spark, "recordings")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("k"), "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_quantity").alias("l_quantity"))
+    # forty markets an answer, as they are asked for: lines are dealt by answer once, and all that is gathered stays there
+    dealt = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.floor(F.col("l_orderkey") / 40).alias("a"), F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_quantity").repartition("a")
+    lines = dealt.groupBy("a", "k", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_quantity").alias("l_quantity"))
     price = F.round(1 + F.col("l_quantity") / 10, 2)
 
     def step(p: Column, size: Column | float) -> Column:
@@ -177,14 +179,13 @@ def order_books(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = price + shift
         ex = F.struct(F.array(step(p, 5.0), step(p - 0.5, 9.0)).alias("availableToBack"), F.array(step(p + 1, 5.0)).alias("availableToLay"), F.array(step(p, 2.0), step(F.col("l_quantity"), 1.0)).alias("tradedVolume"))
         runner = F.struct(F.col("l_linenumber").alias("selectionId"), F.lit("ACTIVE").alias("status"), F.lit(3.0).alias("totalMatched"), ex.alias("ex"))
-        return lines.groupBy("k").agg(F.collect_list(runner).alias("runners")).select("k", F.struct(F.col("k").cast("string").alias("marketId"), F.lit("OPEN").alias("status"), "runners").alias("market"))
+        return lines.groupBy("a", "k").agg(F.collect_list(runner).alias("runners")).select("a", F.struct(F.col("k").cast("string").alias("marketId"), F.lit("OPEN").alias("status"), "runners").alias("market"))
 
     runner = F.struct(F.col("l_linenumber").alias("selectionId"), F.concat(F.lit("Horse "), F.col("l_partkey").cast("string")).alias("runnerName"))
-    named = lines.where("k % 5 <> 0").groupBy("k").agg(F.collect_list(runner).alias("runners"))
+    named = lines.where("k % 5 <> 0").groupBy("a", "k").agg(F.collect_list(runner).alias("runners"))
     catalogue = F.struct(F.col("k").cast("string").alias("marketId"), F.lit("Win").alias("marketName"), F.struct(F.concat(F.lit("Course "), (F.col("k") % 25).cast("string")).alias("venue")).alias("event"), "runners")
-    for part, rows in (("0", books(7.0)), ("1", named.select("k", catalogue.alias("market"))), ("2", books(0.0))):
-        # forty markets an answer, as they are asked for
-        answers = rows.groupBy(F.floor(F.col("k") / 40).alias("a")).agg(F.collect_list("market").alias("markets")).select(_envelope(F.col("markets")).alias("value"))
-        answers.write.text(f"{folder}/{part}")
+    for part, rows in (("0", books(7.0)), ("1", named.select("a", catalogue.alias("market"))), ("2", books(0.0))):
+        answers = rows.groupBy("a").agg(F.collect_list("market").alias("markets")).select(_envelope(F.col("markets")).alias("value"))
+        answers.write.option("compression", "gzip").text(f"{folder}/{part}")
     out = runner_books(read_recordings(spark, folder))
     return out.select("market_id", F.col("selection_id").cast("int").alias("selection_id"), "venue", "name", F.round("back", 2).alias("back"), F.round("lay", 2).alias("lay"), F.round("vwap", 6).alias("vwap"))
