@@ -59,13 +59,15 @@ def file_index(spark: SparkSession, path: str, needed: list[str], least: int = 3
     A file may be a folder of parts, each with its header. Names are told from paths, columns from
     header lines: lines of which the fields hold all the needed names.
     """
-    name = F.regexp_extract("_metadata.file_path", r"([^/=]*\d{4}_\d{2}_\d{2}[^/=]*\.csv)(?:/[^/]*)?$", 1)
-    lines = spark.read.text(path).select(name.alias("file"), "value").where("file <> ''")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("at"), "value")
     fields = F.split(F.regexp_replace("value", '"', ""), ",")
     is_header = F.col("value").contains(needed[0])
     for c in needed:
         is_header &= F.array_contains(fields, c)
-    files = lines.groupBy("file").agg(F.count_if(~is_header).alias("n"), F.bool_or(is_header).alias("complete")).where(F.col("complete") & (F.col("n") >= least))
+    # lines are counted by part first, and a part's path is an aggregate, so that a condition on its name is no line's
+    parts = lines.groupBy("at").agg(F.first("at").alias("path"), F.count_if(~is_header).alias("n"), F.bool_or(is_header).alias("complete"))
+    name = F.regexp_extract("path", r"([^/=]*\d{4}_\d{2}_\d{2}[^/=]*\.csv)(?:/[^/]*)?$", 1)
+    files = parts.groupBy(name.alias("file")).agg(F.sum("n").alias("n"), F.bool_or("complete").alias("complete")).where((F.col("file") != "") & F.col("complete") & (F.col("n") >= least))
     return files.select("file", F.to_date(F.regexp_extract("file", r"(\d{4}_\d{2}_\d{2})", 1), "yyyy_MM_dd").alias("day"), "n")
 
 

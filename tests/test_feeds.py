@@ -62,3 +62,11 @@ def test_append_twice(spark, tmp_path):
     for _ in range(2):
         feeds.append_new(spark, rows, f"{tmp_path}/new", ["k"], ["p"])
     assert spark.read.option("header", True).csv(f"{tmp_path}/new").count() == 2
+
+
+def test_the_index_tells_no_name_by_the_line(spark, tmp_path):
+    (tmp_path / "uk_2024_01_05.csv").write_text("event_id,bsp\n" + "1,2\n" * 3)
+    frame = feeds.file_index(spark, str(tmp_path), ["event_id", "bsp"])
+    assert [tuple(r) for r in frame.collect()] == [("uk_2024_01_05.csv", date(2024, 1, 5), 3)]
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan[plan.rindex("Aggregate") :]
