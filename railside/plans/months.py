@@ -2,7 +2,8 @@
 
 Both facts lie in folders by ``race_month`` and, within them, in buckets by ``race_id``. A report on
 some days reads their months' files only, since the month is a partition column of the runners too,
-and its join by race needs no exchange, since both sides come in equal buckets.
+and its join by race needs no exchange, since both sides come in equal buckets. The tables hold the
+columns of the warehouse's files; the facts' columns are worked out as they are read.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railside.plans.racing import Racing
+from railside.plans.racing import Racing, selected
 from railside.plans.scratch import scratch
 
-#: Bytes of a month's runners that one bucket holds, about.
+#: Bytes that one bucket of all months holds, about: what a task reads that joins a bucket over a range of whatever length.
 BUCKET_BYTES = 128 << 20
+#: Stands in the tables' names: a new number where their columns change.
+FORMAT = 2
 #: Dimensions whose names stand in the reports.
 DIMENSIONS = ("courses", "horses")
 
@@ -54,27 +57,35 @@ class MonthStore:
     def __init__(self, r: Racing, buckets: int | None = None):
         self.spark = r.spark
         name, size = r.state("races", "runners", *DIMENSIONS)
-        name += f"_{buckets}" if buckets else ""
+        name = f"{FORMAT}_{name}" + (f"_{buckets}" if buckets else "")
         self.races, self.runners, *dimensions = (f"railside_{t}_{name}" for t in ("races", "runners", *DIMENSIONS))
         self.dimensions = dict(zip(DIMENSIONS, dimensions, strict=True))
+        (races, self._races), (runners, self._runners) = r.raw("races"), r.raw("runners")
         if not self.spark.catalog.tableExists(self.runners):
-            known = r.races.where("race_date is not null").withColumn("race_month", month_of("race_date"))
-            months = known.select(F.countDistinct("race_month")).first()[0] or 1
-            self.buckets = buckets or max(1, size // months // BUCKET_BYTES)
+            race, runner = self._races["race_id"].strip("`"), self._runners["race_id"].strip("`")
+            day = F.expr(self._races["race_date"])
+            known = races.where(day.isNotNull()).withColumn("race_month", month_of(day))
+            self.buckets, self.parts = buckets or max(1, size // BUCKET_BYTES), r.parts("races", "runners")
             for dimension, table in self.dimensions.items():
                 getattr(r, dimension).write.mode("overwrite").option("path", scratch(self.spark, table)).saveAsTable(table)
-            self._save(known, self.races)
-            self._save(r.runners.join(known.select("race_id", "race_month"), "race_id"), self.runners)
+            self._save(known, self.races, race)
+            months = known.select(F.col(race).alias(runner), "race_month")
+            self._save(r.with_races(runners, months, runner), self.runners, runner)
 
-    def _save(self, rows: DataFrame, name: str) -> None:
+    def _save(self, rows: DataFrame, name: str, key: str) -> None:
         # one file for each month and bucket, written by one task
-        dealt = rows.repartition(F.col("race_month"), F.pmod(F.hash("race_id"), F.lit(self.buckets)))
-        writer = dealt.write.partitionBy("race_month").bucketBy(self.buckets, "race_id").sortBy("race_id")
+        dealt = rows.repartition(self.parts, F.col("race_month"), F.pmod(F.hash(key), F.lit(self.buckets)))
+        writer = dealt.write.partitionBy("race_month").bucketBy(self.buckets, key).sortBy(key)
         writer.mode("overwrite").option("path", scratch(self.spark, name)).saveAsTable(name)
 
+    def _read(self) -> tuple[DataFrame, DataFrame]:
+        """Races and runners with their months."""
+        tables = ((self.races, self._races), (self.runners, self._runners))
+        return tuple(self.spark.table(t).selectExpr(*selected(columns), "race_month") for t, columns in tables)
+
     def between(self, r: Racing, date_from: str | None, date_to: str | None) -> Racing:
         """The warehouse with the facts of an inclusive range of days."""
-        races, runners = (in_months(self.spark.table(t), "race_month", date_from, date_to) for t in (self.races, self.runners))
+        races, runners = (in_months(rows, "race_month", date_from, date_to) for rows in self._read())
         for bound, side in ((date_from, F.col("race_date").__ge__), (date_to, F.col("race_date").__le__)):
             races = races.where(side(F.lit(date.fromisoformat(bound)))) if bound else races
         named = {dimension: self.spark.table(table) for dimension, table in self.dimensions.items()}
@@ -86,5 +97,5 @@ class MonthStore:
         Which months these lie in is found at run time: the runners' scan waits for it and reads no
         others' files (dynamic partition pruning), as long as the races are few enough to be broadcast.
         """
-        races = self.spark.table(self.races).where(condition)
-        return self.spark.table(self.runners).join(races, ["race_month", "race_id"]).drop("race_month")
+        races, runners = self._read()
+        return runners.join(races.where(condition), ["race_month", "race_id"]).drop("race_month")

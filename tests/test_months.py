@@ -99,3 +99,14 @@ def test_last_and_next_runs_are_stored_by_month(spark, racing):
     assert {int(re.search(r"row_month=(\d+)", f)[1]) for f in first.inputFiles() if "row_month=" in f} <= {199601, 199602, 199603}
     direct = last_next(racing).where("last_date between DATE '1996-01-01' and DATE '1996-03-31' and last_pos = 2 and last_btn <= 99 and last_or is not null and next_or is not null and dsr_next <= 4000 and next_or - last_or <= 99 and next_surface = last_surface")
     assert first.count() == min(200, direct.count()) > 0
+
+
+def test_tables_hold_what_the_files_hold(spark, tmp_path, monkeypatch):
+    for t in ("orders", "lineitem", "part", "nation"):
+        shutil.copy(f"{SMALL}/{t}.parquet", tmp_path / f"{t}.parquet")
+    r = Racing.from_tables(spark, str(tmp_path))
+    monkeypatch.setattr("railside.plans.months.BUCKET_BYTES", r.state("races", "runners", "courses", "horses")[1] // 5)
+    store = MonthStore(r)
+    assert store.buckets == 5  # all months' bytes count, since a task joins a bucket of a whole range
+    assert set(spark.table(store.runners).columns) - {"race_month"} < set(spark.read.parquet(f"{SMALL}/lineitem.parquet").columns)
+    assert store.between(r, None, None).runners.columns == r.runners.columns
