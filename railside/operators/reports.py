@@ -56,9 +56,16 @@ def runners_view(r: Racing) -> DataFrame:
 
 @racing_query("horse_history", "SELECT horse_id, race_id, race_date, CAST(date_diff('day', lag(race_date) OVER (PARTITION BY horse_id ORDER BY race_date, race_id), race_date) AS INT) AS dsr FROM (SELECT DISTINCT horse_id, race_id, race_date FROM runners JOIN races USING (race_id))")
 def horse_history(r: Racing) -> DataFrame:
-    """Every race of every horse with the days since the one before."""
-    runs = r.base.select("horse_id", "race_id", "race_date").distinct()
-    return runs.select("*", F.datediff("race_date", F.lag("race_date").over(Window.partitionBy("horse_id").orderBy("race_date", "race_id"))).alias("dsr"))
+    """Every race of every horse with the days since the one before.
+
+    Runs are dealt by race, then by horse; one sort puts a horse's runs in order, and a run in the
+    same race as the one before it goes.
+    """
+    runs = r.with_races(r.runners.select("horse_id", "race_id"), r.races.select("race_id", "race_date"))
+    at = F.struct("race_date", "race_id")
+    before = F.lag(at).over(Window.partitionBy("horse_id").orderBy("race_date", "race_id"))
+    rows = r.dealt(runs, "horse_id").withColumn("before", before).where(~F.col("before").eqNullSafe(at))
+    return rows.select("horse_id", "race_id", "race_date", F.datediff("race_date", "before.race_date").alias("dsr"))
 
 
 @racing_query("dq_orphan_fk", "SELECT race_id, num, horse_id FROM runners WHERE NOT EXISTS (SELECT 1 FROM horses h WHERE h.horse_id = runners.horse_id AND h.horse_id % 80 <> 0)")
