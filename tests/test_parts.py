@@ -30,3 +30,13 @@ def test_a_run_in_the_same_race_is_no_run_before(spark):
     runners = spark.sql("select * from values (1L, 7L), (1L, 7L), (2L, 7L), (3L, 7L), (3L, 7L), (3L, 8L), (9L, 8L), (3L, null), (3L, null) as t(race_id, horse_id)")
     found = horse_history(Racing(spark, races=races, runners=runners)).collect()
     assert sorted(((r.horse_id, r.race_id, r.dsr) for r in found), key=str) == sorted([(7, 1, None), (7, 2, 0), (7, 3, 4), (8, 3, None), (None, 3, None)], key=str)
+
+
+def test_a_refresh_joins_nothing_again(spark, monkeypatch):
+    from railside.plans.snapshots import Snapshots
+    from railside.sources.queries import refreshed_snapshot
+
+    plans, refresh = [], Snapshots.refresh
+    monkeypatch.setattr(Snapshots, "refresh", lambda self, rows: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), refresh(self, rows))[1])
+    assert refreshed_snapshot(Racing.from_tables(spark, SMALL)).count() > 0
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
