@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from railside.functions.columns import count_where
 from railside.plans.months import in_months, stored
-from railside.plans.racing import Racing
+from railside.plans.racing import Racing, read_by
 from railside.registry import racing_query
 
 _RUN_ORDER = ["race_date", "race_id", "num", "trainer_id", "win_bsp"]
@@ -20,17 +20,39 @@ def runs_with_races(r: Racing) -> DataFrame:
     return r.runners.join(r.races, "race_id")
 
 
+#: What is told of a run as the last one, and of the one that follows.
+_LAST = {"last_race_id": "race_id", "last_date": "race_date", "last_pos": "pos_num", "last_btn": "btn", "last_or": "official", "last_race_type": "race_type", "last_class": "class", "last_dist_f": "dist_f", "last_surface": "surface", "last_going": "going", "last_course_id": "course_id"}
+_NEXT = {"next_race_id": "race_id", "next_date": "race_date", "next_pos": "pos_num", "next_win": "win_flag", "next_or": "official", "next_bsp": "win_bsp", "next_dec": "dec_price", "next_ppwap": "win_ppwap", "next_dist_f": "dist_f", "next_surface": "surface"}
+
+
+def _raw_runs(r: Racing) -> tuple[DataFrame, dict[str, str]]:
+    """Runners with their races as the files hold them, and the columns of both as expressions over that."""
+    (races, a), (runners, b) = r.raw("races"), r.raw("runners")
+    race, runner = a["race_id"].strip("`"), b["race_id"].strip("`")
+    rows = r.with_races(runners, races.withColumnRenamed(race, runner), runner)
+    return rows, {c: e.replace(race, runner) for c, e in a.items()} | b
+
+
+def _pairs(r: Racing) -> tuple[DataFrame, dict[str, str]]:
+    """Each completed run with the horse's next as ``n``, both as the files hold them: what is shuffled and stored."""
+    rows, columns = _raw_runs(r)
+    rows = rows.select(*read_by(rows, columns, "horse_id", *_RUN_ORDER, *_LAST.values(), *_NEXT.values())).where(F.expr(columns["pos_num"]).isNotNull())
+    w = Window.partitionBy(F.expr(columns["horse_id"])).orderBy(*[F.expr(columns[c]) for c in _RUN_ORDER])
+    following = F.lead(F.struct(*read_by(rows, columns, *_NEXT.values()))).over(w)
+    return r.dealt(rows, columns["horse_id"].strip("`")).withColumn("n", following).where("n is not null"), columns
+
+
+def _told(pairs: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The columns of both runs of a pair."""
+    last = pairs.select(F.expr(columns["horse_id"]).alias("last_horse_id"), *[F.expr(columns[c]).alias(name) for name, c in _LAST.items()], "n")
+    both = last.select("last_horse_id", *_LAST, "n.*")
+    out = both.select(F.col("last_horse_id").alias("horse_id"), *_LAST, *[F.expr(columns[c]).alias(name) for name, c in _NEXT.items()])
+    return out.withColumn("dsr_next", F.datediff("next_date", "last_date"))
+
+
 def last_next(r: Racing) -> DataFrame:
     """Each completed run with the horse's next: one lead over a struct, so that ties stay together."""
-    rows = runs_with_races(r).where("pos_num is not null")
-    w = Window.partitionBy("horse_id").orderBy(*_RUN_ORDER)
-    following = F.lead(F.struct("race_id", "race_date", "pos_num", "win_flag", "official", "win_bsp", "dec_price", "win_ppwap", "dist_f", "surface")).over(w)
-    rows = rows.withColumn("n", following).where("n is not null")
-    return rows.select(
-        "horse_id", F.col("race_id").alias("last_race_id"), F.col("race_date").alias("last_date"), F.col("pos_num").alias("last_pos"), F.col("btn").alias("last_btn"), F.col("official").alias("last_or"), F.col("race_type").alias("last_race_type"), F.col("class").alias("last_class"),
-        F.col("dist_f").alias("last_dist_f"), F.col("surface").alias("last_surface"), F.col("going").alias("last_going"), F.col("course_id").alias("last_course_id"), F.col("n.race_id").alias("next_race_id"), F.col("n.race_date").alias("next_date"), F.col("n.pos_num").alias("next_pos"),
-        F.col("n.win_flag").alias("next_win"), F.col("n.official").alias("next_or"), F.datediff("n.race_date", "race_date").alias("dsr_next"), F.col("n.win_bsp").alias("next_bsp"), F.col("n.dec_price").alias("next_dec"), F.col("n.win_ppwap").alias("next_ppwap"), F.col("n.dist_f").alias("next_dist_f"), F.col("n.surface").alias("next_surface"),
-    )
+    return _told(*_pairs(r))
 
 
 _LAST_NEXT = f"""
@@ -73,7 +95,8 @@ def near_miss_past(r: Racing, date_from: str | None = None, date_to: str | None
     Last and next runs are stored by month of the last one: the lead over each horse's runs is taken
     once for the files there are, and a range of days reads its months.
     """
-    rows = in_months(stored(r, "last_next", ["races", "runners"], lambda: last_next(r), "last_date"), "row_month", date_from, date_to).drop("row_month")
+    pairs, columns = _pairs(r)
+    rows = _told(in_months(stored(r, "last_next", ["races", "runners"], lambda: pairs, F.expr(columns["race_date"])), "row_month", date_from, date_to), columns)
     if date_from:
         rows = rows.where(F.col("last_date") >= F.lit(date.fromisoformat(date_from)))
     if date_to:

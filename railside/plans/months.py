@@ -29,9 +29,9 @@ def month_of(day: Column | str) -> Column:
     return F.year(day) * 100 + F.month(day)
 
 
-def stored(r: Racing, name: str, tables: list[str], build: Callable[[], DataFrame], day: str) -> DataFrame:
+def stored(r: Racing, name: str, tables: list[str], build: Callable[[], DataFrame], day: Column) -> DataFrame:
     """The rows of ``build`` as a catalog table by the month of a day, made once for the files that ``tables`` come from."""
-    table = f"railside_{name}_{r.state(*tables)[0]}"
+    table = f"railside_{name}_{FORMAT}_{r.state(*tables)[0]}"
     if not r.spark.catalog.tableExists(table):
         rows = build().withColumn("row_month", month_of(day))
         rows.hint("rebalance", "row_month").write.partitionBy("row_month").mode("overwrite").option("path", scratch(r.spark, table)).saveAsTable(table)

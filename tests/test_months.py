@@ -110,3 +110,12 @@ def test_tables_hold_what_the_files_hold(spark, tmp_path, monkeypatch):
     assert store.buckets == 5  # all months' bytes count, since a task joins a bucket of a whole range
     assert set(spark.table(store.runners).columns) - {"race_month"} < set(spark.read.parquet(f"{SMALL}/lineitem.parquet").columns)
     assert store.between(r, None, None).runners.columns == r.runners.columns
+
+
+def test_pairs_of_runs_are_stored_as_the_files_hold_them(spark, racing):
+    near_miss_past(racing).collect()
+    table = next(t.name for t in spark.catalog.listTables() if t.name.startswith("railside_last_next_") and t.name.endswith(racing.state("races", "runners")[0]))
+    files = {c for t in ("orders", "lineitem") for c in spark.read.parquet(f"{SMALL}/{t}.parquet").columns}
+    assert set(spark.table(table).columns) - {"n", "row_month"} < files and set(spark.table(table).schema["n"].dataType.names) < files
+    frames = Racing(spark, races=racing.races, runners=racing.runners)
+    assert sorted(map(repr, last_next(frames).collect())) == sorted(map(repr, last_next(racing).collect()))
