@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from railside.functions import racing
 from railside.plans.racing import Racing
 from railside.registry import racing_query, table_query
-from railside.sources.html import PARENTS, elements, pedigree_texts, runner_texts, stats_texts
+from railside.sources.html import PARENTS, elements, pedigree_texts, race_texts, stats_texts
+
+# Fixed value: what is white space to a regular expression.
+SPACE = " \t\n\x0b\f\r"
 
 
 def id_of(href: Column | str) -> Column:
@@ -24,7 +27,7 @@ def parent_columns() -> list[Column]:
         name = F.nullif(F.trim(F.split(text, r"\(")[0]), F.lit(""))
         if p == "damsire":
             name = F.nullif(name, F.lit("Damsire Unregistered"))
-        given = F.coalesce(F.nullif(F.regexp_extract(p, r"\(([^)]*)\)", 1), F.lit("")), F.nullif(F.regexp_replace(f"{p}_country", r"[()\s]", ""), F.lit("")))
+        given = F.coalesce(F.nullif(F.regexp_extract(p, r"\(([^)]*)\)", 1), F.lit("")), F.nullif(F.translate(f"{p}_country", f"(){SPACE}", ""), F.lit("")))
         out += [name.alias(p), F.when(name.isNotNull(), F.coalesce(given, F.lit("GB"))).alias(f"{p}_country"), id_of(f"{p}_href").alias(f"{p}_id")]
     return out
 
@@ -35,16 +38,12 @@ def result_runners(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     What a page lacks is null, and where the number of runners is missing the rows are counted.
     Void races (position VOI) have no rows. Pages without runner rows, null and empty ones have none.
     """
-    rows = runner_texts(pages, url, html)
     at = F.split(url, "/")
     part = lambda i: F.try_element_at(at, F.lit(i))
-    own, overall = F.trim(F.split("btn", r"\[")[0]), F.nullif(F.regexp_extract("btn", r"\[([^\]]*)\]", 1), F.lit(""))
-    sp = F.trim(F.regexp_replace("sp", "No Odds", ""))
     ages, ratings = racing.bands(F.col("band"))
-    sex = F.split(F.trim("pedigree"), r"\s+")
-    position = F.trim("pos")
     metres = racing.metres(F.trim("dist"))
-    typed = rows.select(
+    # what is the race's is worked out once for all of its runners
+    races = race_texts(pages, url, html).select(
         F.col(url),
         part(8).try_cast("long").alias("race_id"),
         part(7).try_cast("date").alias("race_date"),
@@ -62,14 +61,24 @@ def result_runners(pages: DataFrame, url: str = "url", html: str = "html") -> Da
         metres.alias("dist_m"),
         racing.race_type(F.col("race_name"), metres, fences=F.col("hurdles")).alias("race_type"),
         F.coalesce(F.regexp_extract("ran", r"(\d+)", 1).try_cast("int"), F.col("rows").cast("int")).alias("ran"),
-        F.regexp_replace("num", r"\.", "").try_cast("int").alias("num"),
-        F.regexp_replace("draw", r"[()\s\x{a0}]", "").try_cast("int").alias("draw"),
+        "runners",
+    )
+    of_race = [c for c in races.columns if c != "runners"]
+    rows = races.select(*of_race, F.inline("runners"))
+    own, overall = F.trim(F.split("btn", r"\[")[0]), F.nullif(F.regexp_extract("btn", r"\[([^\]]*)\]", 1), F.lit(""))
+    sp = F.trim(F.replace("sp", F.lit("No Odds"), F.lit("")))
+    sex = F.split(F.trim("pedigree"), r"\s+")
+    position = F.trim("pos")
+    typed = rows.select(
+        *of_race,
+        F.replace("num", F.lit("."), F.lit("")).try_cast("int").alias("num"),
+        F.translate("draw", f"(){SPACE}\xa0", "").try_cast("int").alias("draw"),
         position.alias("pos"),
         racing.beaten_lengths(own).alias("btn"),
         racing.beaten_lengths(F.coalesce(overall, own)).alias("ovr_btn"),
         F.trim("horse").alias("horse"),
         id_of("horse_href").alias("horse_id"),
-        F.regexp_replace("country", r"[()\s]", "").alias("country"),
+        F.translate("country", f"(){SPACE}", "").alias("country"),
         F.trim("jockey").alias("jockey"),
         id_of("jockey_href").alias("jockey_id"),
         F.trim("trainer").alias("trainer"),
@@ -81,8 +90,8 @@ def result_runners(pages: DataFrame, url: str = "url", html: str = "html") -> Da
         *[F.nullif(F.trim(c), F.lit("–")).try_cast("int").alias(c) for c in ("official", "rpr", "ts")],
         sp.alias("sp"),
         racing.decimal_odds(sp).alias("dec"),
-        F.regexp_replace("prize", r"[,£€$\s]", "").try_cast("double").alias("prize"),
-        F.regexp_replace("comment", ",", " -").alias("comment"),
+        F.translate("prize", f",£€${SPACE}", "").try_cast("double").alias("prize"),
+        F.replace("comment", F.lit(","), F.lit(" -")).alias("comment"),
         F.upper(F.try_element_at(sex, F.when(F.size(sex) > 1, 2).otherwise(1))).alias("sex"),
         *parent_columns(),
         F.col("silk_url"),
