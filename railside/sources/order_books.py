@@ -10,8 +10,10 @@ offset is the last name taken.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -51,16 +53,42 @@ def envelopes(path: str, folder: str) -> Iterator[tuple]:
     with store.open_input_stream(path) as stream:  # a name that ends in .gz is opened as such
         for number, line in enumerate(_lines(stream), 1):
             try:
-                envelope = json.loads(line)
-                if envelope.get("error"):
-                    yield path, number, None, None, str(envelope["error"].get("message"))
-                for market in envelope.get("result") or []:
+                if (markets := _recorded(line)) is None:
+                    envelope = json.loads(line)
+                    if envelope.get("error"):
+                        yield path, number, None, None, str(envelope["error"].get("message"))
+                    markets = ((market, None) for market in envelope.get("result") or [])
+                for market, text in markets:
                     kind = "catalogue" if "event" in market or "marketName" in market else "book"
-                    yield path, number, kind, json.dumps(market), None
+                    yield path, number, kind, text or json.dumps(market), None
             except (ValueError, AttributeError, TypeError) as e:
                 yield path, number, None, None, f"no envelope: {e}"
 
 
+# What stands before and behind the markets of an answer, as an exchange writes it.
+_HEAD, _BETWEEN, _TAIL = re.compile(r'\s*\{\s*(?:"jsonrpc"\s*:\s*"[^"\\]*"\s*,\s*)?"result"\s*:\s*\[\s*', re.ASCII), re.compile(r"\s*,\s*", re.ASCII), re.compile(r'\s*\]\s*(?:,\s*"id"\s*:\s*\d+\s*)?\}\s*', re.ASCII)
+_scan = json.JSONDecoder().scan_once
+
+
+def _recorded(line: bytes) -> list[tuple[object, str]] | None:
+    """The markets of a plain answer, each with its text as it was recorded; None where a line is anything else."""
+    if not line.isascii():
+        return None
+    text = line.decode()
+    if not (head := _HEAD.match(text)):
+        return None
+    at, out = head.end(), []
+    try:
+        while True:
+            market, end = _scan(text, at)
+            out.append((market, text[at:end]))
+            if not (more := _BETWEEN.match(text, end)):
+                return out if _TAIL.fullmatch(text, end) else None
+            at = more.end()
+    except StopIteration:  # no value stands there
+        return None
+
+
 def _lines(stream) -> Iterator[bytes]:
     """Lines that are not empty, a block at a time."""
     left = b""
@@ -128,29 +156,37 @@ def stream_recordings(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format(Recordings.name()).load(folder)
 
 
-def _newest(rows: DataFrame, kind: str, schema: str) -> DataFrame:
-    """The last recorded state of each market, by file and line; partial aggregates, no market in one piece."""
-    read = rows.where(F.col("kind") == kind).select("file", "line", F.from_json("market", schema).alias("m"))
-    return read.groupBy("m.marketId").agg(F.max_by("m", F.struct("file", "line")).alias("m")).select("m.*")
-
-
 def runner_books(rows: DataFrame) -> DataFrame:
     """One row a runner of the last book of each market, with what the last catalogue calls market and runner.
 
     Prices are best offers and the mean price of what was traded. A market that no catalogue names is
-    without venue, time and names.
+    without venue, time and names. The last is told by file and line. Recordings are read once: each
+    market's runners become their few values where they are read, and markets are dealt by their id
+    once, for books and catalogues alike.
     """
-    books = _newest(rows, "book", BOOK).select(F.col("marketId").alias("market_id"), F.col("status").alias("market_status"), "inplay", F.explode("runners").alias("r"))
-    ex = "r.ex"
-    first = lambda side: F.try_element_at(F.col(f"{ex}.{side}"), F.lit(1))["price"]
-    empty = lambda side: F.coalesce(f"{ex}.{side}", F.array().cast(_LADDER))
-    books = books.select(
-        "market_id", "market_status", "inplay", F.col("r.selectionId").alias("selection_id"), F.col("r.status").alias("status"), F.col("r.totalMatched").alias("matched"),
-        best_back(empty("availableToBack"), F.col("r.lastPriceTraded")).alias("back"), first("availableToLay").alias("lay"), weighted_price(empty("tradedVolume"), empty("availableToBack"), empty("availableToLay")).alias("vwap"),
-    )
-    named = _newest(rows, "catalogue", CATALOGUE).select(F.col("marketId").alias("market_id"), "event.venue", F.try_to_timestamp("marketStartTime").alias("off"), F.explode("runners").alias("r"))
-    named = named.select("market_id", "venue", "off", F.col("r.selectionId").alias("selection_id"), F.col("r.runnerName").alias("name"))
-    return books.join(named, ["market_id", "selection_id"], "left")
+    of = lambda kind, schema: F.from_json(F.when(F.col("kind") == kind, F.col("market")), schema)
+    read = rows.select("file", "line", "kind", of("book", BOOK).alias("b"), of("catalogue", CATALOGUE).alias("c")).where("kind is not null")
+    empty = F.array().cast(_LADDER)
+
+    def priced(r: Column) -> Column:
+        back, lay, traded = (F.coalesce(r["ex"][side], empty) for side in ("availableToBack", "availableToLay", "tradedVolume"))
+        first = F.try_element_at(lay, F.lit(1))["price"]
+        return F.struct(
+            r["selectionId"].alias("selection_id"), r["status"].alias("status"), r["totalMatched"].alias("matched"),
+            best_back(back, r["lastPriceTraded"]).alias("back"), first.alias("lay"), weighted_price(traded, back, lay).alias("vwap"),
+        )
+
+    book = F.struct(F.col("b.status").alias("market_status"), F.col("b.inplay").alias("inplay"), F.transform("b.runners", priced).alias("runners"))
+    named = F.struct(F.col("c.event.venue").alias("venue"), F.col("c.marketStartTime").alias("off"), F.transform("c.runners", lambda r: F.struct(r["selectionId"].alias("selection_id"), r["runnerName"].alias("name"))).alias("runners"))
+    states = read.select(F.coalesce("b.marketId", "c.marketId").alias("market_id"), "kind", F.struct("file", "line").alias("at"), F.when(F.col("kind") == "book", book).alias("book"), F.when(F.col("kind") == "catalogue", named).alias("named"))
+    last = lambda kind, state: F.max_by(state, F.when(F.col("kind") == kind, F.col("at"))).alias(state)
+    markets = states.repartition("market_id").groupBy("market_id").agg(last("book", "book"), last("catalogue", "named"))
+    runners = markets.select("market_id", "book.market_status", "book.inplay", "named", F.explode("book.runners").alias("r"))
+    # what a market without an id is called is not known
+    mine = F.when(F.col("market_id").isNotNull(), F.filter("named.runners", lambda x: x["selection_id"] == F.col("r.selection_id")))
+    named_runners = runners.select("market_id", "market_status", "inplay", "r", "named.venue", "named.off", F.explode_outer(mine).alias("n"))
+    known = lambda x: F.when(F.col("n").isNotNull(), x)
+    return named_runners.select("market_id", "r.selection_id", "market_status", "inplay", "r.status", "r.matched", "r.back", "r.lay", "r.vwap", known(F.col("venue")).alias("venue"), known(F.try_to_timestamp("off")).alias("off"), "n.name")
 
 
 def _envelope(markets: Column) -> Column:
@@ -167,25 +203,31 @@ FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quanti
 def order_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as recorded answers: catalogues of most markets, and books of all, an old one and a new one."""
     folder = scratch(spark, "recordings")
-    # forty markets an answer, as they are asked for: lines are dealt by answer once, and all that is gathered stays there
+    # forty markets an answer, as they are asked for: lines are dealt by answer once, all that is gathered stays there, and only its values wait for the three recordings
     dealt = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.floor(F.col("l_orderkey") / 40).alias("a"), F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_quantity").repartition("a")
     lines = dealt.groupBy("a", "k", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_quantity").alias("l_quantity"))
-    price = F.round(1 + F.col("l_quantity") / 10, 2)
+    markets = lines.groupBy("a", "k").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("lines"))
+    answers = markets.groupBy("a").agg(F.collect_list(F.struct("k", "lines")).alias("markets")).select("markets").persist(StorageLevel.DISK_ONLY)
 
     def step(p: Column, size: Column | float) -> Column:
         return F.struct(p.cast("double").alias("price"), (F.lit(size) if isinstance(size, float) else size).cast("double").alias("size"))
 
-    def books(shift: float) -> DataFrame:
-        p = price + shift
-        ex = F.struct(F.array(step(p, 5.0), step(p - 0.5, 9.0)).alias("availableToBack"), F.array(step(p + 1, 5.0)).alias("availableToLay"), F.array(step(p, 2.0), step(F.col("l_quantity"), 1.0)).alias("tradedVolume"))
-        runner = F.struct(F.col("l_linenumber").alias("selectionId"), F.lit("ACTIVE").alias("status"), F.lit(3.0).alias("totalMatched"), ex.alias("ex"))
-        return lines.groupBy("a", "k").agg(F.collect_list(runner).alias("runners")).select("a", F.struct(F.col("k").cast("string").alias("marketId"), F.lit("OPEN").alias("status"), "runners").alias("market"))
-
-    runner = F.struct(F.col("l_linenumber").alias("selectionId"), F.concat(F.lit("Horse "), F.col("l_partkey").cast("string")).alias("runnerName"))
-    named = lines.where("k % 5 <> 0").groupBy("a", "k").agg(F.collect_list(runner).alias("runners"))
-    catalogue = F.struct(F.col("k").cast("string").alias("marketId"), F.lit("Win").alias("marketName"), F.struct(F.concat(F.lit("Course "), (F.col("k") % 25).cast("string")).alias("venue")).alias("event"), "runners")
-    for part, rows in (("0", books(7.0)), ("1", named.select("a", catalogue.alias("market"))), ("2", books(0.0))):
-        answers = rows.groupBy("a").agg(F.collect_list("market").alias("markets")).select(_envelope(F.col("markets")).alias("value"))
-        answers.write.option("compression", "gzip").text(f"{folder}/{part}")
+    def book(shift: float) -> Callable[[Column], Column]:
+        def runner(x: Column) -> Column:
+            p = F.round(1 + x["l_quantity"] / 10, 2) + shift
+            ex = F.struct(F.array(step(p, 5.0), step(p - 0.5, 9.0)).alias("availableToBack"), F.array(step(p + 1, 5.0)).alias("availableToLay"), F.array(step(p, 2.0), step(x["l_quantity"], 1.0)).alias("tradedVolume"))
+            return F.struct(x["l_linenumber"].alias("selectionId"), F.lit("ACTIVE").alias("status"), F.lit(3.0).alias("totalMatched"), ex.alias("ex"))
+
+        return lambda m: F.struct(m["k"].cast("string").alias("marketId"), F.lit("OPEN").alias("status"), F.transform(m["lines"], runner).alias("runners"))
+
+    def catalogue(m: Column) -> Column:
+        runner = lambda x: F.struct(x["l_linenumber"].alias("selectionId"), F.concat(F.lit("Horse "), x["l_partkey"].cast("string")).alias("runnerName"))
+        event = F.struct(F.concat(F.lit("Course "), (m["k"] % 25).cast("string")).alias("venue"))
+        return F.struct(m["k"].cast("string").alias("marketId"), F.lit("Win").alias("marketName"), event.alias("event"), F.transform(m["lines"], runner).alias("runners"))
+
+    named = F.filter("markets", lambda m: m["k"] % 5 != 0)
+    for part, asked, market in (("0", F.col("markets"), book(7.0)), ("1", named, catalogue), ("2", F.col("markets"), book(0.0))):
+        answers.select(asked.alias("asked")).where("size(asked) > 0").select(_envelope(F.transform("asked", market)).alias("value")).write.option("compression", "gzip").text(f"{folder}/{part}")
+    answers.unpersist()
     out = runner_books(read_recordings(spark, folder))
     return out.select("market_id", F.col("selection_id").cast("int").alias("selection_id"), "venue", "name", F.round("back", 2).alias("back"), F.round("lay", 2).alias("lay"), F.round("vwap", 6).alias("vwap"))
